@@ -34,7 +34,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and lost executors cost no recomputation."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -72,3 +72,10 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 ALNUM_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: A-Z become a-z, the rest stays; bytes.split() then parts at 0x20 and 0x09-0x0D, as its words want.
 LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def partitions_for(df: DataFrame, mb: int = 32) -> int:
+    """Partitions of about mb MB of the plan's estimated input, spark.sql.shuffle.partitions at least."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(size // (mb << 20), 1_000_000))
