@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "warc", "simhash", "secrets", "matroska", "token_store")
+MODULES = ("decontaminate", "warc", "simhash", "pieces", "secrets", "quality", "matroska", "suffix_tree", "toxicity", "token_store")
 
 
 def _collect(kind: str) -> dict:
