@@ -10,6 +10,11 @@ broadcast; a tile of more than `CHUNK` fingerprints is dealt into chunks by hash
 task gathers a tile. A task returns a spanning forest of the links that it finds, never all pairs, and components are
 closed by distributed stars.
 
+When one document of each group is to be kept, groups are made by similarity: wide fingerprints (512 bits, made from the same
+hashes remixed) over distinct shingles of five words link where the share of differing bits says a Jaccard similarity of
+0.8 or more (it is within about 0.035 of the exact one). Comparison is tiled by size and population count; its
+cost grows with the square of the number of texts of like size, as an exact comparison of fingerprints has to.
+
 Defined results: null and wordless texts have fingerprint zero and link like others; fewer words than a shingle are one
 shingle; component_id is the smallest id reached, ignoring nulls (null if there are only null ids); repeated rows each
 get their row. When one row of each component is kept, it is the one with the smallest id (nulls last, then the smallest
@@ -18,7 +23,8 @@ hash of the text); of fully equal rows one stays. Other columns may have any nam
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -133,7 +139,6 @@ def _segment(i: int) -> Column:
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct fingerprints (fp) -> (u, v): links that connect what is linked at radius or fewer differing bits."""
-    spark = prints.sparkSession
     tiled = stored(prints.select("fp", F.array(*[_segment(i).cast("int") for i in range(SEGMENTS)]).alias("tile")), "tiled")
     sizes = tiled.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("n_chunks"))
     chunks = stored(
@@ -163,30 +168,136 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
                 vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us).view(np.int64)), pa.array(np.concatenate(vs).view(np.int64))], ["u", "v"])
 
-    del spark
     return pairs.mapInArrow(compare, "u long, v long")
 
 
-def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows (id, content, fp) -> (fp, component_id, keep_content): one row per fingerprint."""
+def _groups(prints: DataFrame, key: str, link: Callable[[DataFrame], DataFrame], also: list[str]) -> DataFrame:
+    """Rows (id, content, key, also) -> (key, component_id, keep_content): one row per key."""
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("content"))).alias("first")
-    reps = stored(prints.groupBy("fp").agg(first), "prints")
-    roots = connected(links(reps.select("fp"), radius))
-    rooted = stored(reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted")
+    reps = stored(prints.groupBy(key).agg(first, *[F.first(c).alias(c) for c in also]), "prints")
+    roots = connected(link(reps.drop("first")))
+    rooted = stored(reps.join(roots, F.col(key) == F.col("node"), "left").select(key, F.coalesce("root", key).alias("root"), "first"), "rooted")
     best = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return rooted.drop("first").join(best, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.content").alias("keep_content"))
+    return rooted.drop("first").join(best, "root").select(key, F.col("first.id").alias("component_id"), F.col("first.content").alias("keep_content"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """One row per document: id, fp, component_id."""
     prints = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words), "prints")
-    return prints.join(components(prints, radius).drop("keep_content"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    found = _groups(prints, "fp", lambda reps: links(reps, radius), [])
+    return prints.join(found.drop("keep_content"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """The documents' rows, one for each component; their columns as they are."""
-    prints = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words), "prints")
-    kept = components(prints, radius).select(F.col("component_id").alias("__id"), F.col("keep_content").alias("__content")).distinct()
+# --- by similarity, on wide fingerprints
+
+SIMILARITY = 0.8
+SIMILAR_WORDS = 5
+#: Words of 64 bits in a wide fingerprint, and how many of them are compared first.
+WIDE, AHEAD = 8, 2
+WIDE_CHUNK = 2048
+SALTS = 8
+_BAND = 32
+
+
+def wide_radius(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Differing bits at which two sets of one size have the given Jaccard similarity on average."""
+    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further hash of each hash (the finaliser of splitmix64)."""
+    with np.errstate(over="ignore"):
+        z = hashes + np.uint64((0x9E3779B97F4A7C15 * k) & (1 << 64) - 1)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def wide_fingerprint(text: bytes | None, k: int = SIMILAR_WORDS) -> tuple[list[int], int]:
+    """A fingerprint of WIDE words over the distinct shingles, as signed longs, and their number."""
+    hashes = np.unique(shingle_hashes(text, k))
+    words = np.array([majority(remixed(hashes, i)) for i in range(WIDE)], np.uint64)
+    return words.view(np.int64).tolist(), len(hashes)
+
+
+def wide_links(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, wide, n) -> (u, v): links that connect nodes whose wide fingerprints say `similarity` or more.
+
+    Sets so similar have sizes in that ratio, so tiles are ranges of size, one ratio wide; only equal and neighbouring
+    ranges are compared, and of those only tiles whose population counts are within the radius. The chunks of a
+    range are dealt over SALTS keys, so that one frequent size is no single task.
+    """
+    radius = wide_radius(similarity)
+    ahead = int(radius * AHEAD / WIDE + 3.5 * math.sqrt(64 * AHEAD * 0.13))
+    pops = F.aggregate("wide", F.lit(0), lambda acc, x: acc + F.bit_count(x))
+    sized = reps.select("node", "wide", "n", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / similarity)).cast("int").alias("size"), F.floor(pops / _BAND).cast("int").alias("band"))
+    tiled = stored(sized, "tiled")
+    counts = tiled.groupBy("size", "band").agg(F.ceil(F.count("*") / F.lit(WIDE_CHUNK)).alias("n_chunks"))
+    chunks = stored(
+        tiled.join(F.broadcast(counts), ["size", "band"])
+        .select("size", "band", F.pmod(F.xxhash64("node"), F.col("n_chunks")).alias("chunk"), F.struct("node", "wide", "n").alias("one"))
+        .groupBy("size", "band", "chunk")
+        .agg(F.collect_list("one").alias("all")),
+        "chunks",
+    )
+    home = chunks.withColumn("salt", F.pmod("chunk", F.lit(SALTS)))
+    visits = chunks.select(F.col("size").alias("from_size"), F.col("band").alias("from_band"), F.col("chunk").alias("from_chunk"), F.col("all").alias("from_all"), F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("to_size"))
+    visits = visits.withColumn("to_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = (F.col("band") == F.col("from_band")) & (F.col("chunk") == F.col("from_chunk")) & (F.col("size") == F.col("from_size"))
+    later = (F.col("band") < F.col("from_band")) | ((F.col("band") == F.col("from_band")) & (F.col("chunk") <= F.col("from_chunk")))
+    pairs = home.join(visits, (F.col("size") == F.col("to_size")) & (F.col("salt") == F.col("to_salt")))
+    pairs = pairs.where((F.col("size") != F.col("from_size")) | later).where((F.abs(F.col("band") - F.col("from_band")) - 1) * _BAND < radius)
+    pairs = pairs.select("all", F.when(~same, F.col("from_all")).alias("from_all"))
+
+    def read(cell: pa.Scalar) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        part = cell.values
+        return part.field("node"), part.field("wide").flatten().to_numpy().view(np.uint64).reshape(-1, WIDE), part.field("n").to_numpy()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            names, a, size_a = read(batch.column(0)[0])
+            other = batch.column(1)[0]
+            alone = not other.is_valid
+            more, b, size_b = (names, a, size_a) if alone else read(other)
+            rows, cols = [], []
+            step = max(1, (1 << 20) // max(1, len(b)))
+            for at in range(0, len(a), step):
+                some = a[at : at + step]
+                far = np.bitwise_count(some[:, 0][:, None] ^ b[:, 0][None, :])
+                for k in range(1, AHEAD):
+                    far += np.bitwise_count(some[:, k][:, None] ^ b[:, k][None, :])
+                i, j = np.nonzero(far <= ahead)
+                i += at
+                keep = np.minimum(size_a[i], size_b[j]) >= similarity * np.maximum(size_a[i], size_b[j])
+                if alone:
+                    keep &= i < j
+                i, j = i[keep], j[keep]
+                near = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= radius
+                rows.append(i[near])
+                cols.append(j[near])
+            i, j = np.concatenate(rows), np.concatenate(cols)
+            if len(i):
+                nodes = names if alone else pa.concat_arrays([names, more])
+                root = forest(len(nodes), i, j if alone else j + len(a))
+                moved = np.flatnonzero(root != np.arange(len(nodes)))
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(moved)), nodes.take(pa.array(root[moved]))], ["u", "v"])
+
+    return pairs.mapInArrow(compare, "u string, v string")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents' rows, one of each group of texts that are similar, by wide fingerprints; their columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [wide_fingerprint(t, shingle_words) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.int64())], ["id", "content", "wide", "n"])
+
+    texts = docs.select(F.col(id_col).alias("id"), content(id_col, text_col).alias("content"), utf8(F.col(text_col)).alias("body"))
+    made = texts.mapInArrow(run, f"id {texts.dtypes[0][1]}, content long, wide array<long>, n long")
+    prints = stored(made.withColumn("node", F.md5(F.concat_ws(",", F.transform("wide", lambda x: x.cast("string"))).cast("binary"))), "prints")
+    found = _groups(prints, "node", lambda reps: wide_links(reps, similarity), ["wide", "n"])
+    kept = found.select(F.col("component_id").alias("__id"), F.col("keep_content").alias("__content")).distinct()
     rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__key"), content(id_col, text_col).alias("__own"))
     joined = rows.join(kept, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__content")))
     nth = F.row_number().over(Window.partitionBy("__key", "__own").orderBy(F.lit(0)))
