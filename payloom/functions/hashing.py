@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of FNV: offset bases and the low parts of the primes.
 BASIS_32, PRIME_32 = 0x811C9DC5, 0x01000193
@@ -141,7 +142,7 @@ def lookup3_words(words: list[int], pc: int = 0, pb: int = 0) -> tuple[int, int]
     return lookup3(b"".join(w.to_bytes(4, "little") for w in words), pc, pb)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lookup3_column(data: pd.Series) -> pd.Series:
     """The 64-bit value b x 2^32 + c of a binary column, as a signed long."""
 

@@ -8,11 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from payloom.parsing import Span
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def byte_entropy(data: pd.Series) -> pd.Series:
     """Shannon entropy in bits of a binary column's bytes; 0 for empty, null for null."""
 

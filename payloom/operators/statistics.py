@@ -42,7 +42,8 @@ def weighted_stats(df: DataFrame, value: str, count: str, threshold: float | Non
     if threshold is not None:
         df = df.where(F.col(count) >= threshold)
     n, s, q = F.sum(count), F.sum(F.col(value) * F.col(count)), F.sum(F.col(value) * F.col(value) * F.col(count))
-    return df.agg(n.alias("n"), (s / n).alias("mu"), F.sqrt(F.greatest(F.lit(0.0), (q - s * s / n) / F.nullif(n - 1, F.lit(0)))).alias("sigma"))
+    variance = (q - s * s / n) / F.nullif(n - 1, F.lit(0))
+    return df.agg(n.alias("n"), (s / n).alias("mu"), F.sqrt(F.when(variance < 0, 0.0).otherwise(variance)).alias("sigma"))
 
 
 def count_entropy(df: DataFrame, count: str) -> DataFrame:

@@ -173,7 +173,7 @@ def gram_saturated(spark, sf):
 @query(f"WITH {PACKETS} SELECT g, cnt, list_aggregate(list_transform([substring(g, 2 * i + 1, 2) FOR i IN range(0, 3)], lambda b: CASE WHEN b >= '20' AND b <= '7E' THEN chr(('0x' || b)::INT) ELSE '(' || ('0x' || b)::INT || ')' END), 'string_agg', '') AS shown FROM ({counts_sql(3)}) WHERE cnt >= 100")
 def gram_report(spark, sf):
     counts = G.gram_counts(packets(spark, sf), 3).where("cnt >= 100")
-    return counts.select(F.hex("g").alias("g"), "cnt", M.printable(F.col("g")).alias("shown"))
+    return hexed(counts.withColumn("shown", M.printable(F.col("g")))).select("g", "cnt", "shown")
 
 
 @query(f"WITH {PACKETS} SELECT g, cnt, ('0x' || g)::BIGINT AS number FROM ({counts_sql(4)}) WHERE cnt >= 50")

@@ -23,6 +23,8 @@ def shown(frame):
             return "null"
         if isinstance(v, float):
             return f"{v:.6g}"
+        if hasattr(v, "isoformat"):
+            return pd.Timestamp(v).isoformat()
         return bytes(v).hex() if isinstance(v, (bytes, bytearray)) else str(v)
 
     cols = sorted(frame.columns)
