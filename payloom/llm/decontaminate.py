@@ -111,7 +111,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """One row per document: id, n_words, hit_words (ranges of words), hit_spans (code points), item_ids (sorted as strings).
 
-    carry: instead, the documents' own columns and one column `leaks`, a struct of the same.
+    carry: instead __row, a struct of the document's own columns, and leaks, a struct of the same.
     """
     spark = docs.sparkSession
     result = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_words", PAIR), T.StructField("hit_spans", PAIR), T.StructField("item_ids", T.ArrayType(T.StringType()))])
@@ -141,12 +141,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(body), leaks], names)
 
         df = df.mapInArrow(scan, df.schema)
-    return df.select("__row.*", "leaks") if carry else df.select(id_col, "leaks.*")
+    return df.select("__row", "leaks") if carry else df.select(id_col, "leaks.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any hit word; their columns as they are."""
-    return find_leaks(docs, benchmark, carry=True, **options).where(F.size("leaks.hit_words") == 0).drop("leaks")
+    return find_leaks(docs, benchmark, carry=True, **options).where(F.size("leaks.hit_words") == 0).select("__row.*")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,8 +175,8 @@ def _groups(prints: DataFrame, key: str, link: Callable[[DataFrame], DataFrame],
     """Rows (id, content, key, also) -> (key, component_id, keep_content): one row per key."""
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("content"))).alias("first")
     reps = stored(prints.groupBy(key).agg(first, *[F.first(c).alias(c) for c in also]), "prints")
-    roots = connected(link(reps.drop("first")))
-    rooted = stored(reps.join(roots, F.col(key) == F.col("node"), "left").select(key, F.coalesce("root", key).alias("root"), "first"), "rooted")
+    roots = connected(link(reps.drop("first"))).withColumnRenamed("node", "linked")
+    rooted = stored(reps.join(roots, F.col(key) == F.col("linked"), "left").select(key, F.coalesce("root", key).alias("root"), "first"), "rooted")
     best = rooted.groupBy("root").agg(F.min("first").alias("first"))
     return rooted.drop("first").join(best, "root").select(key, F.col("first.id").alias("component_id"), F.col("first.content").alias("keep_content"))
 

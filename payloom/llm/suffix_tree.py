@@ -252,7 +252,7 @@ def _finish(tree: Tree, code: np.ndarray, c: np.ndarray, totals: np.ndarray) ->
     log = np.zeros(len(code))
     node, word = code // tree.width, code % tree.width
     share = np.maximum(c - DISCOUNT, 0) / totals[node] if nodes else np.empty(0)
-    rest = np.clip(1 - np.bincount(node, share, nodes), 1e-12, 1) if nodes else np.empty(0)
+    rest = np.clip(1 - np.bincount(node, share, nodes).astype(np.float64), 1e-12, 1) if nodes else np.empty(0)
     root = 10.0 ** tree.root(tree.counts) if len(tree.counts) else np.empty(0)
     for depth in range(1, len(tree.nodes) + 1):
         low, high = tree.depth_of(depth)
@@ -275,7 +275,7 @@ def _finish(tree: Tree, code: np.ndarray, c: np.ndarray, totals: np.ndarray) ->
             state[open_] = np.where(higher >= 0, tree.state[higher], -1)
         p = c[a:b] / totals[node[a:b]]
         at = node[a:b] - low
-        gain = np.bincount(at, p * np.log(p / before), high - low)
+        gain = np.bincount(at, p * np.log(p / before), high - low).astype(np.float64)
         p_rest = np.clip(1 - np.bincount(at, p, high - low), 0, 1)
         q_rest = np.clip(1 - np.bincount(at, before, high - low), 1e-12, 1)
         gain += np.where(p_rest > 0, p_rest * np.log(np.maximum(p_rest, 1e-300) / q_rest), 0)

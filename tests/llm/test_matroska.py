@@ -59,7 +59,7 @@ def test_edges(spark, edge_docs, edge_rows, no_docs):
     got = sorted(((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in rows), key=str)
     want = [(i, len((t or "").encode()), len(padded(t)), hashlib.sha256(padded(t)).hexdigest(), zlib.crc32(padded(t)[-64:])) for i, t in edge_rows]
     assert got == sorted(want, key=str)
-    assert len({(r["media_sha256"], r["feature"]) for r in rows if r["doc_id"] == 11}) == 1
+    assert len({(r["media_sha256"], r["feature"]) for r in rows if r["doc_id"] == 12}) == 1
     table = M.packets(M.to_media(edge_docs)).where("doc_id = 8").orderBy("packet_no").collect()
     assert len(table) == -(-len(padded(dict(edge_rows)[8])) // M.FRAME) and table[1]["timestamp_ns"] == 64_000_000
     assert M.read_media(M.to_media(no_docs)).count() == 0
