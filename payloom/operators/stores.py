@@ -108,6 +108,10 @@ class GramStore(ABC):
         found = self.find(rows.select("n", "g").distinct())
         return rows.join(found, ["n", "g"], "left").select(*keep, "n", "pos", F.coalesce("found", F.lit(0)).alias("found"))
 
+    def totals(self, df: DataFrame, keep: tuple[str, ...], payload: str = "payload") -> DataFrame:
+        """keep..., n, total: the sum of the counts of each row's grams."""
+        return self.probe(df, payload, keep).groupBy(*keep, "n").agg(F.sum("found").alias("total"))
+
     def save(self, path: str, mode: str = "overwrite") -> None:
         """Counters and label as Parquet, counters by n. mode append adds to what is there: counters are summed when loaded."""
         self.table.repartition("n", self.address).write.mode(mode).partitionBy("n").parquet(f"{path}/counters")

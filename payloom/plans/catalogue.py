@@ -96,6 +96,11 @@ def grams_sql(n: int, source: str = "packets", payload: str = "p", keep: str = "
     return f"SELECT {keep}{n} AS n, i AS pos, substring({payload}, 2 * i + 1, {2 * n}) AS g FROM (SELECT {keep}{payload}, unnest(range(0, length({payload}) // 2 - {n} + 1)) AS i FROM {source} WHERE length({payload}) // 2 >= {n})"
 
 
+def docs_sql(n: int) -> str:
+    """Whole texts in overlapping blocks, so that each gram of n bytes starts in one block."""
+    return f"docs AS (SELECT substring(h, s * 2920 + 1, 2920 + {2 * (n - 1)}) AS p FROM (SELECT hex(text) AS h, unnest(range(0, greatest(1, ceil(strlen(text) / 1460.0)::BIGINT))) AS s FROM documents))"
+
+
 def counts_sql(n: int, **more) -> str:
     return f"SELECT n, g, count(*) AS cnt FROM ({grams_sql(n, **more)}) GROUP BY n, g"
 
@@ -149,7 +154,7 @@ def _stats(df: DataFrame) -> DataFrame:
     return df.select("n", *r6("mu", "sigma"), "max", F.col("min").cast("long").alias("min"), F.round("chi_square", 3).alias("chi_square"), "nonzero")
 
 
-@query(f"WITH docs AS (SELECT hex(text) AS p FROM documents) {stats_sql(counts_sql(3, source='docs'), 256**3)}")
+@query(f"WITH {docs_sql(3)} {stats_sql(counts_sql(3, source='docs'), 256**3)}")
 def gram_summary_exact(spark, sf):
     docs = read(spark, sf, "documents").select(F.col("text").cast("binary").alias("payload"))
     return _stats(ExactStore.build(docs, 3).stats())
@@ -376,7 +381,7 @@ def store_label(spark, sf):
 
 # --- comparison and chains
 
-_COMPARE = f"{_B}, docs AS (SELECT hex(text) AS p FROM documents), a AS ({counts_sql(5, source='items')}), b AS ({counts_sql(5, source='docs')}), j AS (SELECT b.n, b.g, b.cnt AS weight, least(coalesce(a.cnt, 0), 65520) AS found FROM b LEFT JOIN a USING (n, g))"
+_COMPARE = f"{_B}, {docs_sql(5)}, a AS ({counts_sql(5, source='items')}), b AS ({counts_sql(5, source='docs')}), j AS (SELECT b.n, b.g, b.cnt AS weight, least(coalesce(a.cnt, 0), 65520) AS found FROM b LEFT JOIN a USING (n, g))"
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -404,6 +409,17 @@ def probe_dist(spark, sf):
     return S.sequence_stats(found, "found", "pos", "item_id").select("item_id", "n", *r6("mu", "sigma", "rho"))
 
 
+@query(f"WITH {_B}, {PACKETS}, a AS ({counts_sql(3)}) SELECT item_id, n, sum(least(coalesce(cnt, 0), 65520))::BIGINT AS total FROM ({grams_sql(3, source='items', keep='item_id, ')}) LEFT JOIN a USING (n, g) GROUP BY item_id, n")
+def item_totals(spark, sf):
+    return ExactStore.build(packets(spark, sf), 3).totals(_items(spark, sf), ("item_id",))
+
+
+@query(f"WITH blocks AS (SELECT substring(h, s * 1024 + 1, 1024) AS p FROM (SELECT hex(text) AS h, unnest(range(0, greatest(1, ceil(strlen(text) / 512.0)::BIGINT))) AS s FROM documents)) {counts_sql(4, source='blocks')}")
+def block_gram_count(spark, sf):
+    docs = read(spark, sf, "documents").select(F.col("text").cast("binary").alias("payload"))
+    return hexed(G.gram_counts(G.chunks(docs, 512), 4))
+
+
 @query(f"WITH {PACKETS}, t AS (SELECT substring(g, 1, 4) AS prefix, ('0x' || substring(g, 5, 2))::INT AS byte, cnt FROM ({counts_sql(3)})), c AS (SELECT *, sum(cnt) OVER (PARTITION BY prefix) AS total, sum(cnt) OVER (PARTITION BY prefix ORDER BY byte) AS cumulative FROM t) SELECT prefix, byte, cnt, total::BIGINT AS total, cumulative::BIGINT AS cumulative, greatest(0, cumulative * 65536 // total - 1)::BIGINT AS code FROM c")
 def markov_cdf(spark, sf):
     return C.cumulative_codes(G.gram_counts(packets(spark, sf), 3)).withColumn("prefix", F.hex("prefix"))
