@@ -10,10 +10,11 @@ broadcast; a tile of more than `CHUNK` fingerprints is dealt into chunks by hash
 task gathers a tile. A task returns a spanning forest of the links that it finds, never all pairs, and components are
 closed by distributed stars.
 
-When one document of each group is to be kept, groups are made by similarity: wide fingerprints (512 bits, made from the same
-hashes remixed) over distinct shingles of five words link where the share of differing bits says a Jaccard similarity of
-0.8 or more (it is within about 0.035 of the exact one). Comparison is tiled by size and population count; its
-cost grows with the square of the number of texts of like size, as an exact comparison of fingerprints has to.
+When one document of each group is to be kept, groups are made by the exact Jaccard similarity of the sets of distinct
+five-word shingles (as their 64-bit hashes). Wide fingerprints (512 bits, made from the same hashes remixed) only find
+candidates, at a radius that loses a pair of similarity 0.8 with a probability below one in a million; every candidate
+is verified before it links. Comparison is tiled by size and population count; its cost grows with the square of the
+number of texts of like size, as an exact comparison of fingerprints has to.
 
 Defined results: null and wordless texts have fingerprint zero and link like others; fewer words than a shingle are one
 shingle; component_id is the smallest id reached, ignoring nulls (null if there are only null ids); repeated rows each
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from hashlib import md5
 from itertools import product
 
 import numpy as np
@@ -175,7 +177,7 @@ def _groups(prints: DataFrame, key: str, link: Callable[[DataFrame], DataFrame],
     """Rows (id, content, key, also) -> (key, component_id, keep_content): one row per key."""
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("content"))).alias("first")
     reps = stored(prints.groupBy(key).agg(first, *[F.first(c).alias(c) for c in also]), "prints")
-    roots = connected(link(reps.drop("first"))).withColumnRenamed("node", "linked")
+    roots = connected(link(reps)).withColumnRenamed("node", "linked")
     rooted = stored(reps.join(roots, F.col(key) == F.col("linked"), "left").select(key, F.coalesce("root", key).alias("root"), "first"), "rooted")
     best = rooted.groupBy("root").agg(F.min("first").alias("first"))
     return rooted.drop("first").join(best, "root").select(key, F.col("first.id").alias("component_id"), F.col("first.content").alias("keep_content"))
@@ -194,16 +196,17 @@ SIMILARITY = 0.8
 SIMILAR_WORDS = 5
 #: Words of 64 bits in a wide fingerprint, and how many of them are compared first.
 WIDE, AHEAD = 8, 2
+#: Differing bits of a candidate. At Jaccard 0.8 a bit differs with probability 0.1515; ties of the majority in short texts
+#: make that 0.1875 at worst (4 against 5 shingles), and 0.1612 otherwise. Beyond 140 of 512 bits lie 8e-7 of the pairs at
+#: 0.1875 and 5e-11 at most of the others; beyond 48 of the first 128 lie 2e-7 at 0.1875.
+CANDIDATE, CANDIDATE_AHEAD = 140, 48
+#: Bits of the filter that picks the texts whose shingles are made again; a false hit only costs time.
+FILTER_BITS = 1 << 27
 WIDE_CHUNK = 2048
 SALTS = 8
 _BAND = 32
 
 
-def wide_radius(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Differing bits at which two sets of one size have the given Jaccard similarity on average."""
-    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
 def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
     """The k-th further hash of each hash (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):
@@ -213,90 +216,148 @@ def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def wide_fingerprint(text: bytes | None, k: int = SIMILAR_WORDS) -> tuple[list[int], int]:
-    """A fingerprint of WIDE words over the distinct shingles, as signed longs, and their number."""
+def wide_fingerprint(text: bytes | None, k: int = SIMILAR_WORDS) -> tuple[list[int], int, str]:
+    """A fingerprint of WIDE words over the distinct shingles, as signed longs, their number, and a digest of their set."""
     hashes = np.unique(shingle_hashes(text, k))
     words = np.array([majority(remixed(hashes, i)) for i in range(WIDE)], np.uint64)
-    return words.view(np.int64).tolist(), len(hashes)
+    return words.view(np.int64).tolist(), len(hashes), md5(hashes.tobytes(), usedforsecurity=False).hexdigest()
 
 
-def wide_links(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, wide, n) -> (u, v): links that connect nodes whose wide fingerprints say `similarity` or more.
-
-    Sets so similar have sizes in that ratio, so tiles are ranges of size, one ratio wide; only equal and neighbouring
-    ranges are compared, and of those only tiles whose population counts are within the radius. The chunks of a
-    range are dealt over SALTS keys, so that one frequent size is no single task.
-    """
-    radius = wide_radius(similarity)
-    ahead = int(radius * AHEAD / WIDE + 3.5 * math.sqrt(64 * AHEAD * 0.13))
+def wide_chunks(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, wide, n, maybe group) -> (size, band, chunk, all): the nodes in tiles of like size and population count, dealt into chunks."""
     pops = F.aggregate("wide", F.lit(0), lambda acc, x: acc + F.bit_count(x))
-    sized = reps.select("node", "wide", "n", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / similarity)).cast("int").alias("size"), F.floor(pops / _BAND).cast("int").alias("band"))
+    fields = [c for c in ("node", "wide", "n", "group") if c in reps.columns]
+    sized = reps.select(*fields, F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / similarity)).cast("int").alias("size"), F.floor(pops / _BAND).cast("int").alias("band"))
     tiled = stored(sized, "tiled")
     counts = tiled.groupBy("size", "band").agg(F.ceil(F.count("*") / F.lit(WIDE_CHUNK)).alias("n_chunks"))
-    chunks = stored(
+    return stored(
         tiled.join(F.broadcast(counts), ["size", "band"])
-        .select("size", "band", F.pmod(F.xxhash64("node"), F.col("n_chunks")).alias("chunk"), F.struct("node", "wide", "n").alias("one"))
+        .select("size", "band", F.pmod(F.xxhash64("node"), F.col("n_chunks")).alias("chunk"), F.struct(*fields).alias("one"))
         .groupBy("size", "band", "chunk")
         .agg(F.collect_list("one").alias("all")),
         "chunks",
     )
+
+
+def candidates(chunks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Chunks -> (u, v): pairs of nodes within the candidate radius and of fitting sizes.
+
+    Where nodes have a group (a further field of `all`), all pairs of different groups are given; else, for each node of
+    a pair of chunks, only its nearest earlier node, so that a large group of near copies gives no square of pairs.
+
+    Sets so similar have sizes in that ratio, so tiles are ranges of size, one ratio wide; only equal and neighbouring
+    ranges are compared, and of those only tiles whose population counts are within the radius. The chunks of a
+    range are dealt over SALTS keys, so that one frequent size is no single task.
+    """
+    grouped = "group" in chunks.schema["all"].dataType.elementType.names
     home = chunks.withColumn("salt", F.pmod("chunk", F.lit(SALTS)))
     visits = chunks.select(F.col("size").alias("from_size"), F.col("band").alias("from_band"), F.col("chunk").alias("from_chunk"), F.col("all").alias("from_all"), F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("to_size"))
     visits = visits.withColumn("to_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     same = (F.col("band") == F.col("from_band")) & (F.col("chunk") == F.col("from_chunk")) & (F.col("size") == F.col("from_size"))
     later = (F.col("band") < F.col("from_band")) | ((F.col("band") == F.col("from_band")) & (F.col("chunk") <= F.col("from_chunk")))
     pairs = home.join(visits, (F.col("size") == F.col("to_size")) & (F.col("salt") == F.col("to_salt")))
-    pairs = pairs.where((F.col("size") != F.col("from_size")) | later).where((F.abs(F.col("band") - F.col("from_band")) - 1) * _BAND < radius)
+    pairs = pairs.where((F.col("size") != F.col("from_size")) | later).where((F.abs(F.col("band") - F.col("from_band")) - 1) * _BAND < CANDIDATE)
     pairs = pairs.select("all", F.when(~same, F.col("from_all")).alias("from_all"))
 
-    def read(cell: pa.Scalar) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    def read(cell: pa.Scalar) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray | None]:
         part = cell.values
-        return part.field("node"), part.field("wide").flatten().to_numpy().view(np.uint64).reshape(-1, WIDE), part.field("n").to_numpy()
+        wide = part.field("wide").flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
+        return part.field("node"), wide, part.field("n").to_numpy(), part.field("group").to_numpy() if grouped else None
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            names, a, size_a = read(batch.column(0)[0])
+            names, a, size_a, group_a = read(batch.column(0)[0])
             other = batch.column(1)[0]
             alone = not other.is_valid
-            more, b, size_b = (names, a, size_a) if alone else read(other)
-            rows, cols = [], []
+            more, b, size_b, group_b = (names, a, size_a, group_a) if alone else read(other)
             step = max(1, (1 << 20) // max(1, len(b)))
             for at in range(0, len(a), step):
                 some = a[at : at + step]
                 far = np.bitwise_count(some[:, 0][:, None] ^ b[:, 0][None, :])
                 for k in range(1, AHEAD):
                     far += np.bitwise_count(some[:, k][:, None] ^ b[:, k][None, :])
-                i, j = np.nonzero(far <= ahead)
+                i, j = np.nonzero(far <= CANDIDATE_AHEAD)
                 i += at
                 keep = np.minimum(size_a[i], size_b[j]) >= similarity * np.maximum(size_a[i], size_b[j])
                 if alone:
-                    keep &= i < j
+                    keep &= j < i
+                if grouped:
+                    keep &= group_a[i] != group_b[j]
                 i, j = i[keep], j[keep]
-                near = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= radius
-                rows.append(i[near])
-                cols.append(j[near])
-            i, j = np.concatenate(rows), np.concatenate(cols)
-            if len(i):
-                nodes = names if alone else pa.concat_arrays([names, more])
-                root = forest(len(nodes), i, j if alone else j + len(a))
-                moved = np.flatnonzero(root != np.arange(len(nodes)))
-                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(moved)), nodes.take(pa.array(root[moved]))], ["u", "v"])
+                whole = np.concatenate([np.bitwise_count(a[i[x : x + (1 << 18)]] ^ b[j[x : x + (1 << 18)]]).sum(axis=1, dtype=np.int64) for x in range(0, max(1, len(i)), 1 << 18)])
+                near = whole <= CANDIDATE
+                i, j, whole = i[near], j[near], whole[near]
+                if not grouped:
+                    order = np.lexsort((j, whole, i))
+                    i, j = i[order], j[order]
+                    nearest = np.append(True, i[1:] != i[:-1])[: len(i)]
+                    i, j = i[nearest], j[nearest]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), more.take(pa.array(j))], ["u", "v"])
 
     return pairs.mapInArrow(compare, "u string, v string")
 
 
+def verified(found: DataFrame, reps: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have a Jaccard similarity of `similarity` or more.
+
+    found: pairs of nodes; reps: (node, first.content); texts: (content, body). Sets are made again, and only of texts that
+    a bit filter of fixed size lets through, so no set is stored or shuffled that no pair asks for.
+    """
+    found = stored(found.distinct(), "candidates")
+    asked = found.select(F.col("u").alias("node")).union(found.select(F.col("v").alias("node"))).distinct()
+    asked = stored(asked.join(reps.select("node", F.col("first.content").alias("content")), "node"), "asked")
+    at = F.pmod("content", F.lit(FILTER_BITS)) + 1
+    filled = asked.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in filled.toLocalIterator():
+        bits[(row["part"] - 1) * 4096 : row["part"] * 4096] = np.frombuffer(row["bits"], np.uint8)
+    shared = found.sparkSession.sparkContext.broadcast(bits)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            place = batch.column(0).to_numpy() % FILTER_BITS
+            batch = batch.filter(pa.array((shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
+            made = [np.unique(shingle_hashes(t, shingle_words)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["content", "shingles"])
+
+    def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                good.append(both >= similarity * ((len(x) + len(y)) // 8 - both))
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    known = stored(texts.mapInArrow(sets, "content long, shingles binary").join(asked, "content").select("node", "shingles").dropDuplicates(["node"]), "sets")
+    ends = [known.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "uv"]
+    return found.join(ends[0], "u").join(ends[1], "v").select("u", "v", "of_u", "of_v").mapInArrow(jaccard, "u string, v string")
+
+
+def similar_links(reps: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
+    """reps (node, wide, n, first), texts (content, body) -> (u, v): links that connect nodes of `similarity` or more.
+
+    Nearest candidates are verified and connected first; then all candidates between the groups so made are.
+    """
+    chunks = wide_chunks(reps, similarity)
+    first = stored(verified(candidates(chunks, similarity), reps, texts, similarity, shingle_words), "links")
+    roots = connected(first).withColumnRenamed("node", "linked")
+    groups = reps.join(roots, F.col("node") == F.col("linked"), "left").select("node", "wide", "n", F.xxhash64(F.coalesce("root", "node")).alias("group"))
+    again = wide_chunks(groups, similarity)
+    return first.union(verified(candidates(again, similarity), reps, texts, similarity, shingle_words))
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents' rows, one of each group of texts that are similar, by wide fingerprints; their columns as they are."""
+    """The documents' rows, one of each group of texts that are similar; their columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [wide_fingerprint(t, shingle_words) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.int64())], ["id", "content", "wide", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.string())], ["id", "content", "wide", "n", "node"])
 
     texts = docs.select(F.col(id_col).alias("id"), content(id_col, text_col).alias("content"), utf8(F.col(text_col)).alias("body"))
-    made = texts.mapInArrow(run, f"id {texts.dtypes[0][1]}, content long, wide array<long>, n long")
-    prints = stored(made.withColumn("node", F.md5(F.concat_ws(",", F.transform("wide", lambda x: x.cast("string"))).cast("binary"))), "prints")
-    found = _groups(prints, "node", lambda reps: wide_links(reps, similarity), ["wide", "n"])
+    prints = stored(texts.mapInArrow(run, f"id {texts.dtypes[0][1]}, content long, wide array<long>, n long, node string"), "prints")
+    found = _groups(prints, "node", lambda reps: similar_links(reps, texts.select("content", "body"), similarity, shingle_words), ["wide", "n"])
     kept = found.select(F.col("component_id").alias("__id"), F.col("keep_content").alias("__content")).distinct()
     rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__key"), content(id_col, text_col).alias("__own"))
     joined = rows.join(kept, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__content")))

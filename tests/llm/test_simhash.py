@@ -76,3 +76,34 @@ def test_one_of_each_group_stays(spark, edge_docs, no_docs):
     assert kept.columns == edge_docs.columns
     assert S.keep_one(no_docs).count() == 0 and S.near_duplicates(no_docs).count() == 0
     assert S.keep_one(edge_docs).count() == 14
+
+
+def test_similarity_against_brute_force(spark):
+    rng = random.Random(11)
+    sets, rows = [], []
+
+    def add(words):
+        shingles = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+        sets.append(shingles)
+        rows.append((len(rows), " ".join(words)))
+
+    fresh = iter(range(10**6)).__next__
+    for size in (4, 5, 8, 9, 12, 20, 40, 100, 300):
+        for _ in range(14):
+            base = [f"w{fresh()}" for _ in range(size + 4)]
+            add(base)
+            if size < 40:
+                add(base + [f"w{fresh()}" for _ in range(rng.randint(1, 1 + size // 4))])
+            else:
+                cut = rng.uniform(0.10, 0.15)  # of the shingles on either side: Jaccard 0.74 to 0.82
+                add(base[: -round(size * cut)] + [f"w{fresh()}" for _ in range(round(size * cut))])
+                add(base + [f"w{fresh()}" for _ in range(round(size * rng.uniform(0.15, 0.3)))])
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    kept = {r["doc_id"] for r in S.keep_one(make_docs(spark, rows)).collect()}
+    assert kept == {i for i, g in enumerate(group) if i == g}
