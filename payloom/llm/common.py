@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +76,31 @@ ALNUM_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57
 LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Bits of a filter that picks rows by a long; a false hit only costs time.
+FILTER_BITS = 1 << 27
+
+
+@dataclass
+class Bits:
+    """A set of longs as a bit filter of fixed size: has never misses a member."""
+
+    bits: np.ndarray
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        place = values % FILTER_BITS
+        return (self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bit_filter(df: DataFrame, col: str) -> Bits:
+    """The filter of a column of longs; what reaches the driver is FILTER_BITS / 8 bytes at most, at any size."""
+    at = F.pmod(F.col(col), F.lit(FILTER_BITS)) + 1
+    filled = df.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in filled.toLocalIterator():
+        bits[(row["part"] - 1) * 4096 : row["part"] * 4096] = np.frombuffer(row["bits"], np.uint8)
+    return Bits(bits)
+
+
 def partitions_for(df: DataFrame, mb: int = 32) -> int:
     """Partitions of about mb MB of the plan's estimated input, spark.sql.shuffle.partitions at least."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -3,6 +3,10 @@
 Every round replaces neighbours by the smallest one, with partial aggregation before each shuffle; components end as
 stars around their smallest node after about log rounds. Each round is written to the shared folder, so lineage stays
 short and a lost executor costs one round at most. Nothing is collected but two numbers a round.
+
+The centre of a large star is one key with very many edges. Nodes with over 1 / `HOT` of all edges (so fewer than HOT of
+them) are broadcast with their smallest neighbour, so their edges stay where they are; only edges of other nodes are
+dealt out by node.
 """
 
 from __future__ import annotations
@@ -12,13 +16,29 @@ from pyspark.sql import functions as F
 
 from payloom.llm.common import stored
 
+#: A key with more than 1 / HOT of all rows is hot.
+HOT = 512
+
+
+def split_join(rows: DataFrame, one: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with one (unique by key, with cnt: how many rows each key has, out of total).
+
+    Keys with more than total / HOT rows, fewer than HOT, are joined by broadcast; the others by shuffle.
+    """
+    hot = F.col("cnt") * HOT > total
+    few = F.broadcast(one.where(hot).drop("cnt"))
+    names = F.broadcast(one.where(hot).select(key))
+    rest = rows.join(names, key, "left_anti").join(one.where(~hot).drop("cnt"), key, how)
+    return rows.join(few, key).unionByName(rest)
+
 
-def _round(edges: DataFrame) -> DataFrame:
+def _round(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("cnt"))
+    large = split_join(both, least, "u", 2 * total).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    large = stored(large, "large")
+    least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("cnt"))
+    small = split_join(large, least, "u", total).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -34,4 +54,4 @@ def connected(edges: DataFrame) -> DataFrame:
         if now[0] == 0 or now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-        edges = stored(_round(edges), "edges")
+        edges = stored(_round(edges, now[0]), "edges")

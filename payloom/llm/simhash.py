@@ -11,10 +11,13 @@ task gathers a tile. A task returns a spanning forest of the links that it finds
 closed by distributed stars.
 
 When one document of each group is to be kept, groups are made by the exact Jaccard similarity of the sets of distinct
-five-word shingles (as their 64-bit hashes). Wide fingerprints (512 bits, made from the same hashes remixed) only find
-candidates, at a radius that loses a pair of similarity 0.8 with a probability below one in a million; every candidate
-is verified before it links. Comparison is tiled by size and population count; its cost grows with the square of the
-number of texts of like size, as an exact comparison of fingerprints has to.
+five-word shingles (as 64-bit hashes). Equal sets are reduced to one first. Blocks come from prefix filtering: in an order
+of shingles that all texts share, sets of similarity 0.8 have a shingle in common among the first fifth of each, so texts
+meet in the blocks of those shingles and nowhere else; no pair is lost there. Shingles that very many texts have come last
+in the order, so a common passage makes no large block unless texts consist of it. Within a block 128-bit fingerprints are
+compared by exclusive-or and bit counts, large blocks in tiles of like size and population count, of which only fitting
+pairs meet, each pair a unit of work. Candidates differ in CANDIDATE bits at most, which loses a pair of similarity 0.8
+with a probability below one in a million; every candidate is verified by its sets before it links.
 
 Defined results: null and wordless texts have fingerprint zero and link like others; fewer words than a shingle are one
 shingle; component_id is the smallest id reached, ignoring nulls (null if there are only null ids); repeated rows each
@@ -34,14 +37,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from payloom.llm.common import LOWER_TABLE, slices, stored, table, utf8
-from payloom.llm.components import connected
+from payloom.llm.common import LOWER_TABLE, Bits, bit_filter, slices, stored, table, utf8
+from payloom.llm.components import connected, split_join
 
 SHINGLE_WORDS = 3
 RADIUS = 2
 SEED = 42
 #: Fingerprints in a chunk of a tile: a pair of chunks is 32 MB of comparisons at most, made in pieces.
 CHUNK = 4096
+#: Chunks of a tile that one key holds: a chunk visits each lane of a tile by itself, so a large tile is many tasks.
+LANE = 16
 SEGMENTS = 4
 _WIDTH = 64 // SEGMENTS
 _BASE = _WIDTH + 1
@@ -153,9 +158,13 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     steps = F.explode(F.array(*[F.array(*map(F.lit, d)) for d in _steps(radius)]))
     moved = F.zip_with("tile", "step", lambda a, b: a + b)
     inside = F.forall("near", lambda x: (x >= 0) & (x <= _WIDTH))
+    lane = F.floor(F.col("chunk") / LANE).cast("int")
+    lanes = F.broadcast(sizes.select(F.col("tile").alias("near"), F.explode(F.sequence(F.lit(0), F.floor((F.col("n_chunks") - 1) / LANE).cast("int"))).alias("to_lane")))
     visits = chunks.select("tile", "chunk", "fps", steps.alias("step")).select(moved.alias("near"), F.col("tile").alias("from_tile"), F.col("chunk").alias("from_chunk"), F.col("fps").alias("from_fps")).where(inside)
+    visits = visits.join(lanes, "near")
     pairs = (
-        chunks.join(visits, F.col("tile") == F.col("near"))
+        chunks.withColumn("lane", lane)
+        .join(visits, (F.col("tile") == F.col("near")) & (F.col("lane") == F.col("to_lane")))
         .where((F.col("tile") != F.col("from_tile")) | (F.col("chunk") <= F.col("from_chunk")))
         .select("fps", F.when((F.col("tile") != F.col("from_tile")) | (F.col("chunk") != F.col("from_chunk")), F.col("from_fps")).alias("from_fps"))
     )
@@ -173,38 +182,55 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.mapInArrow(compare, "u long, v long")
 
 
-def _groups(prints: DataFrame, key: str, link: Callable[[DataFrame], DataFrame], also: list[str]) -> DataFrame:
-    """Rows (id, content, key, also) -> (key, component_id, keep_content): one row per key."""
+def _groups(prints: DataFrame, key: str, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (id, content, key) -> (key, component_id, keep_content, cnt): one row per key; cnt: how many rows it has."""
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("content"))).alias("first")
-    reps = stored(prints.groupBy(key).agg(first, *[F.first(c).alias(c) for c in also]), "prints")
+    reps = stored(prints.groupBy(key).agg(first, F.count("*").alias("cnt")), "reps")
     roots = connected(link(reps)).withColumnRenamed("node", "linked")
-    rooted = stored(reps.join(roots, F.col(key) == F.col("linked"), "left").select(key, F.coalesce("root", key).alias("root"), "first"), "rooted")
-    best = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return rooted.drop("first").join(best, "root").select(key, F.col("first.id").alias("component_id"), F.col("first.content").alias("keep_content"))
+    rooted = stored(reps.join(roots, F.col(key) == F.col("linked"), "left").select(key, F.coalesce("root", key).alias("root"), "first", F.col("cnt").alias("rows")), "rooted")
+    best = rooted.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("cnt"))
+    named = split_join(rooted.drop("first"), best, "root", rooted.count())
+    return named.select(key, F.col("first.id").alias("component_id"), F.col("first.content").alias("keep_content"), F.col("rows").alias("cnt"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """One row per document: id, fp, component_id."""
     prints = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words), "prints")
-    found = _groups(prints, "fp", lambda reps: links(reps, radius), [])
-    return prints.join(found.drop("keep_content"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    found = stored(_groups(prints, "fp", lambda reps: links(reps, radius)).drop("keep_content"), "groups")
+    return split_join(prints, found, "fp", prints.count()).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-# --- by similarity, on wide fingerprints
+# --- by similarity
 
 SIMILARITY = 0.8
 SIMILAR_WORDS = 5
-#: Words of 64 bits in a wide fingerprint, and how many of them are compared first.
-WIDE, AHEAD = 8, 2
-#: Differing bits of a candidate. At Jaccard 0.8 a bit differs with probability 0.1515; ties of the majority in short texts
-#: make that 0.1875 at worst (4 against 5 shingles), and 0.1612 otherwise. Beyond 140 of 512 bits lie 8e-7 of the pairs at
-#: 0.1875 and 5e-11 at most of the others; beyond 48 of the first 128 lie 2e-7 at 0.1875.
-CANDIDATE, CANDIDATE_AHEAD = 140, 48
-#: Bits of the filter that picks the texts whose shingles are made again; a false hit only costs time.
-FILTER_BITS = 1 << 27
-WIDE_CHUNK = 2048
-SALTS = 8
+#: Differing bits of two 128-bit fingerprints that a candidate may have. At Jaccard 0.8 a bit differs with probability 0.1515;
+#: ties of the majority in short texts make that 0.1875 at worst (4 against 5 shingles), and 0.1612 otherwise. Beyond 48 of 128
+#: bits lie 2e-7 of the pairs at 0.1875, 3e-9 at 0.1612 and 2e-10 of long pairs.
+CANDIDATE = 48
+#: A shingle with more than this share of all shingles, so one of 1 / COMMON at most, comes last in every text's order.
+COMMON = 1e-6
+LEAST_COMMON = 64
+#: Texts of a block in one tile, and tiles of a chunk's visits in one key.
+TILE = 2048
+#: Blocks of so many texts at most are compared many at a time.
+SMALL = 64
 _BAND = 32
+FLUSH_HASHES = 1 << 21
+CACHE = 500_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class WordHashes(dict):
+    """XXH64 of words; a worker remembers CACHE of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > CACHE:
+            self.clear()
+        h = self[word] = xxh64_intdigest(word, SEED)
+        return h
 
 
 def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -216,86 +242,247 @@ def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def wide_fingerprint(text: bytes | None, k: int = SIMILAR_WORDS) -> tuple[list[int], int, str]:
-    """A fingerprint of WIDE words over the distinct shingles, as signed longs, their number, and a digest of their set."""
-    hashes = np.unique(shingle_hashes(text, k))
-    words = np.array([majority(remixed(hashes, i)) for i in range(WIDE)], np.uint64)
-    return words.view(np.int64).tolist(), len(hashes), md5(hashes.tobytes(), usedforsecurity=False).hexdigest()
-
-
-def wide_chunks(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, wide, n, maybe group) -> (size, band, chunk, all): the nodes in tiles of like size and population count, dealt into chunks."""
-    pops = F.aggregate("wide", F.lit(0), lambda acc, x: acc + F.bit_count(x))
-    fields = [c for c in ("node", "wide", "n", "group") if c in reps.columns]
-    sized = reps.select(*fields, F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / similarity)).cast("int").alias("size"), F.floor(pops / _BAND).cast("int").alias("band"))
-    tiled = stored(sized, "tiled")
-    counts = tiled.groupBy("size", "band").agg(F.ceil(F.count("*") / F.lit(WIDE_CHUNK)).alias("n_chunks"))
-    return stored(
-        tiled.join(F.broadcast(counts), ["size", "band"])
-        .select("size", "band", F.pmod(F.xxhash64("node"), F.col("n_chunks")).alias("chunk"), F.struct(*fields).alias("one"))
-        .groupBy("size", "band", "chunk")
-        .agg(F.collect_list("one").alias("all")),
-        "chunks",
-    )
+def shingle_set(text: bytes | None, words: WordHashes, k: int = SIMILAR_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; a shingle's hash is mixed from those of its words."""
+    split = (text or b"").translate(LOWER_TABLE).split()
+    if not split:
+        return np.empty(0, np.uint64)
+    ids = np.fromiter(map(words.__getitem__, split), np.uint64, len(split))
+    k = min(k, len(ids))
+    n = len(ids) - k + 1
+    h = np.full(n, k, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            h = (h ^ ids[j : j + n]) * _ODD
+            h ^= h >> np.uint64(32)
+    return np.unique(h)
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first n - ceil(similarity n) + 1 of n shingles in an order that all texts share: common ones last, else by hash.
+
+    Two sets of that similarity share at least one shingle of these, whatever the order.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles
+    if len(common):
+        at = np.searchsorted(common, shingles)
+        at[at == len(common)] = 0
+        last = common[at] == shingles
+        if last.any():
+            shingles = np.concatenate((shingles[~last], shingles[last]))
+    return shingles[: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
-def candidates(chunks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Chunks -> (u, v): pairs of nodes within the candidate radius and of fitting sizes.
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
-    Where nodes have a group (a further field of `all`), all pairs of different groups are given; else, for each node of
-    a pair of chunks, only its nearest earlier node, so that a large group of near copies gives no square of pairs.
 
-    Sets so similar have sizes in that ratio, so tiles are ranges of size, one ratio wide; only equal and neighbouring
-    ranges are compared, and of those only tiles whose population counts are within the radius. The chunks of a
-    range are dealt over SALTS keys, so that one frequent size is no single task.
+def set_prints(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """(id, content, body) -> id, content, node (digest of the set), n (its size), a, b (128-bit fingerprint) of each text; and rows
+    with no node that count shingles that a part of a task has often (h, c), and how many it has in all (h null)."""
+    names = ["id", "content", "node", "n", "a", "b", "h", "c"]
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, size, id_type = WordHashes(), [], 0, None
+
+        def often() -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            h, c = h[c >= 8], c[c >= 8]
+            k = len(h) + 1
+            none = lambda t: pa.nulls(k, t)
+            return pa.RecordBatch.from_arrays([none(id_type), none(pa.int64()), none(pa.binary()), none(pa.int64()), none(pa.int64()), none(pa.int64()), pa.array([*h.view(np.int64).tolist(), None], pa.int64()), pa.array([*c.tolist(), size], pa.int64())], names)
+
+        for batch in slices(batches):
+            id_type = batch.column(0).type
+            sets = [shingle_set(t, words, shingle_words) for t in batch.column(2).to_pylist()]
+            nodes = pa.array([md5(s.tobytes(), usedforsecurity=False).digest() for s in sets], pa.binary())
+            a, b = (_signed(np.array([majority(remixed(s, i)) for s in sets], np.uint64)) for i in (1, 2))
+            n = np.array([len(s) for s in sets], np.int64)
+            none = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, pa.array(n), a, b, none, none], names)
+            held += sets
+            size += int(n.sum())
+            if size > FLUSH_HASHES:
+                yield often()
+                held, size = [], 0
+        if size:
+            yield often()
+
+    return texts.mapInArrow(run, f"id {kind}, content long, node binary, n long, a long, b long, h long, c long")
+
+
+def common_shingles(prints: DataFrame) -> np.ndarray:
+    """The hashes with over COMMON of all shingles (LEAST_COMMON at least), in order; rows are those of set_prints with no node."""
+    rows = prints.where("node IS NULL").groupBy("h").agg(F.sum("c").alias("c"))
+    total = rows.where("h IS NULL").first()
+    least = max(LEAST_COMMON, COMMON * (total["c"] if total else 0))
+    got = rows.where(F.col("h").isNotNull() & (F.col("c") > least)).select("h").toPandas()["h"].to_numpy(np.int64)
+    return np.sort(got.view(np.uint64))
+
+
+def prefix_rows(texts: DataFrame, reps: Bits, common: np.ndarray, keys: Bits | None, similarity: float, shingle_words: int) -> DataFrame:
+    """The prefixes of the texts that reps lets through: (key, c) counted within a task, or, where keys are given, (key, node, n, a, b) of those that keys lets through."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast((reps, common, keys))
+
+    def sets(batches: Iterator[pa.RecordBatch]):
+        words, (wanted, last, _) = WordHashes(), shared.value
+        for batch in slices(batches):
+            batch = batch.filter(pa.array(wanted.has(batch.column(0).to_numpy())))
+            yield [shingle_set(t, words, shingle_words) for t in batch.column(1).to_pylist()], last
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def rows() -> pa.RecordBatch:
+            key, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([_signed(key), pa.array(c)], ["key", "c"])
+
+        for some, last in sets(batches):
+            held += [prefix(s, last, similarity) for s in some]
+            size += sum(map(len, held[len(held) - len(some) :]))
+            if size > FLUSH_HASHES:
+                yield rows()
+                held, size = [], 0
+        if size:
+            yield rows()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, last in sets(batches):
+            for s in some:
+                key = prefix(s, last, similarity).view(np.int64)
+                key = key[shared.value[2].has(key)]
+                if len(key):
+                    k = len(key)
+                    node = pa.array([md5(s.tobytes(), usedforsecurity=False).digest()] * k, pa.binary())
+                    a, b = (np.full(k, majority(remixed(s, i)), np.uint64) for i in (1, 2))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), node, pa.array(np.full(k, len(s))), _signed(a), _signed(b)], ["key", "node", "n", "a", "b"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in place(batches):
+            held.append(batch)
+            size += batch.num_rows
+            if size > 1 << 15:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    rows = texts.select("content", "body")
+    return rows.mapInArrow(count, "key long, c long") if keys is None else rows.mapInArrow(joined, "key long, node binary, n long, a long, b long")
+
+
+def tiled(rows: DataFrame, similarity: float) -> DataFrame:
+    """(key, n_key, node, n, a, b, maybe group) -> (key, size, band, salt, n_salts, all): the texts of a block in tiles.
+
+    A block of more than TILE texts is parted by size (ranges one similarity wide), population count and a hash.
     """
-    grouped = "group" in chunks.schema["all"].dataType.elementType.names
-    home = chunks.withColumn("salt", F.pmod("chunk", F.lit(SALTS)))
-    visits = chunks.select(F.col("size").alias("from_size"), F.col("band").alias("from_band"), F.col("chunk").alias("from_chunk"), F.col("all").alias("from_all"), F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("to_size"))
-    visits = visits.withColumn("to_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    same = (F.col("band") == F.col("from_band")) & (F.col("chunk") == F.col("from_chunk")) & (F.col("size") == F.col("from_size"))
-    later = (F.col("band") < F.col("from_band")) | ((F.col("band") == F.col("from_band")) & (F.col("chunk") <= F.col("from_chunk")))
-    pairs = home.join(visits, (F.col("size") == F.col("to_size")) & (F.col("salt") == F.col("to_salt")))
-    pairs = pairs.where((F.col("size") != F.col("from_size")) | later).where((F.abs(F.col("band") - F.col("from_band")) - 1) * _BAND < CANDIDATE)
-    pairs = pairs.select("all", F.when(~same, F.col("from_all")).alias("from_all"))
-
-    def read(cell: pa.Scalar) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray | None]:
-        part = cell.values
-        wide = part.field("wide").flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
-        return part.field("node"), wide, part.field("n").to_numpy(), part.field("group").to_numpy() if grouped else None
+    fields = [c for c in ("node", "n", "a", "b", "group") if c in rows.columns]
+    hot = lambda c: F.when(F.col("n_salts") > 1, c).otherwise(0).cast("int")
+    pops = F.bit_count("a") + F.bit_count("b")
+    placed = rows.withColumn("n_salts", F.ceil(F.col("n_key") / F.lit(TILE)).cast("int")).select(
+        "key", "n_salts", hot(F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / similarity))).alias("size"), hot(F.floor(pops / _BAND)).alias("band"),
+        hot(F.pmod(F.xxhash64("node"), F.col("n_salts"))).alias("salt"), F.struct(*fields).alias("one"),
+    )
+    keys = ["key", "size", "band", "salt"]
+    return placed.repartition(*keys).groupBy(*keys).agg(F.max("n_salts").alias("n_salts"), F.collect_set("one").alias("all"))
+
+
+def tile_pairs(tiles: DataFrame) -> DataFrame:
+    """(all, from_all): tiles alone (from_all null) and pairs of tiles of one block whose sizes and population counts can fit."""
+    fits = (F.abs(F.col("band") - F.col("from_band")) - 1) * _BAND < CANDIDATE
+    many = tiles.where("n_salts > 1")
+    steps = F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("to_salt")
+    visits = many.select("key", F.col("size").alias("from_size"), F.col("band").alias("from_band"), F.col("salt").alias("from_salt"), F.col("all").alias("from_all"), F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("to_size"), "n_salts")
+    visits = visits.select(F.col("key").alias("from_key"), "from_size", "from_band", "from_salt", "from_all", "to_size", steps)
+    pairs = many.join(visits, (F.col("key") == F.col("from_key")) & (F.col("size") == F.col("to_size")) & (F.col("salt") == F.col("to_salt")))
+    later = (F.col("band") < F.col("from_band")) | ((F.col("band") == F.col("from_band")) & (F.col("salt") < F.col("from_salt")))
+    pairs = pairs.where(((F.col("size") != F.col("from_size")) | later) & fits).select("all", "from_all")
+    alone = tiles.where(F.size("all") > 1)
+    return alone.select("all", F.lit(None).cast(alone.schema["all"].dataType).alias("from_all")).unionByName(pairs)
+
+
+class _Rows:
+    """The texts of tiles as arrays; group is each text's own number where texts have none."""
+
+    def __init__(self, values: pa.StructArray):
+        self.node = values.field("node")
+        self.n, self.a, self.b = (values.field(c).to_numpy() for c in ("n", "a", "b"))
+        self.a, self.b = self.a.view(np.uint64), self.b.view(np.uint64)
+        grouped = any(f.name == "group" for f in values.type)
+        self.group = values.field("group").to_numpy() if grouped else None
+
+    def near(self, i: np.ndarray, other: _Rows, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs (i, j) those that can be similar, with their differing bits."""
+        far = np.bitwise_count(self.a[i] ^ other.a[j]) + np.bitwise_count(self.b[i] ^ other.b[j])
+        keep = (far <= CANDIDATE) & (np.minimum(self.n[i], other.n[j]) >= similarity * np.maximum(self.n[i], other.n[j]) - 1e-9)
+        if self.group is not None:
+            keep &= self.group[i] != other.group[j]
+        return i[keep], j[keep], far[keep]
+
+
+def _nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i its nearest j, the first of equals."""
+    order = np.lexsort((j, far, i))
+    i, j = i[order], j[order]
+    first = np.append(True, i[1:] != i[:-1])[: len(i)]
+    return i[first], j[first]
+
+
+def candidates(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(all, from_all) -> (u, v): pairs of nodes within the candidate radius and of fitting sizes, by exclusive-or and bit counts.
+
+    Where nodes have a group, all pairs of different groups are given; else, for each node of a tile or pair of tiles, only its
+    nearest earlier node, so that a large group of near copies gives no square of pairs.
+    """
+    grouped = "group" in pairs.schema["all"].dataType.elementType.names
+
+    def given(x: _Rows, i: np.ndarray, y: _Rows, j: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([x.node.take(pa.array(i)), y.node.take(pa.array(j))], ["u", "v"])
+
+    def big(x: _Rows, y: _Rows | None) -> Iterator[pa.RecordBatch]:
+        other = y or x
+        step = max(1, (1 << 20) // max(1, len(other.n)))
+        for at in range(0, len(x.n), step):
+            far = np.bitwise_count(x.a[at : at + step, None] ^ other.a[None, :]) + np.bitwise_count(x.b[at : at + step, None] ^ other.b[None, :])
+            i, j = np.nonzero(far <= CANDIDATE)
+            i += at
+            if y is None:
+                i, j = i[j < i], j[j < i]
+            i, j, some = x.near(i, other, j, similarity)
+            if not grouped:
+                i, j = _nearest(i, j, some)
+            if len(i):
+                yield given(x, i, other, j)
+
+    def small(x: _Rows, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        place = np.arange(len(x.n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        found = []
+        for d in range(1, int(sizes.max(initial=0))):
+            i = np.flatnonzero(place >= d)
+            found.append(x.near(i, x, i - d, similarity))
+        if found:
+            i, j, far = map(np.concatenate, zip(*found, strict=True))
+            if not grouped:
+                i, j = _nearest(i, j, far)
+            if len(i):
+                yield given(x, i, x, j)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            names, a, size_a, group_a = read(batch.column(0)[0])
-            other = batch.column(1)[0]
-            alone = not other.is_valid
-            more, b, size_b, group_b = (names, a, size_a, group_a) if alone else read(other)
-            step = max(1, (1 << 20) // max(1, len(b)))
-            for at in range(0, len(a), step):
-                some = a[at : at + step]
-                far = np.bitwise_count(some[:, 0][:, None] ^ b[:, 0][None, :])
-                for k in range(1, AHEAD):
-                    far += np.bitwise_count(some[:, k][:, None] ^ b[:, k][None, :])
-                i, j = np.nonzero(far <= CANDIDATE_AHEAD)
-                i += at
-                keep = np.minimum(size_a[i], size_b[j]) >= similarity * np.maximum(size_a[i], size_b[j])
-                if alone:
-                    keep &= j < i
-                if grouped:
-                    keep &= group_a[i] != group_b[j]
-                i, j = i[keep], j[keep]
-                whole = np.concatenate([np.bitwise_count(a[i[x : x + (1 << 18)]] ^ b[j[x : x + (1 << 18)]]).sum(axis=1, dtype=np.int64) for x in range(0, max(1, len(i)), 1 << 18)])
-                near = whole <= CANDIDATE
-                i, j, whole = i[near], j[near], whole[near]
-                if not grouped:
-                    order = np.lexsort((j, whole, i))
-                    i, j = i[order], j[order]
-                    nearest = np.append(True, i[1:] != i[:-1])[: len(i)]
-                    i, j = i[nearest], j[nearest]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), more.take(pa.array(j))], ["u", "v"])
-
-    return pairs.mapInArrow(compare, "u string, v string")
+        for batch in slices(batches, 4096):
+            whole, other = batch.column(0), batch.column(1)
+            sizes = np.diff(whole.offsets.to_numpy())
+            few = (sizes <= SMALL) & other.is_null().to_numpy(zero_copy_only=False)
+            if few.any():
+                yield from small(_Rows(whole.filter(pa.array(few)).flatten()), sizes[few])
+            for k in np.flatnonzero(~few).tolist():
+                yield from big(_Rows(whole[k].values), _Rows(other[k].values) if other[k].is_valid else None)
+
+    return pairs.mapInArrow(compare, "u binary, v binary")
 
 
 def verified(found: DataFrame, reps: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
@@ -304,21 +491,16 @@ def verified(found: DataFrame, reps: DataFrame, texts: DataFrame, similarity: fl
     found: pairs of nodes; reps: (node, first.content); texts: (content, body). Sets are made again, and only of texts that
     a bit filter of fixed size lets through, so no set is stored or shuffled that no pair asks for.
     """
-    found = stored(found.distinct(), "candidates")
+    found = stored(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
     asked = found.select(F.col("u").alias("node")).union(found.select(F.col("v").alias("node"))).distinct()
     asked = stored(asked.join(reps.select("node", F.col("first.content").alias("content")), "node"), "asked")
-    at = F.pmod("content", F.lit(FILTER_BITS)) + 1
-    filled = asked.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in filled.toLocalIterator():
-        bits[(row["part"] - 1) * 4096 : row["part"] * 4096] = np.frombuffer(row["bits"], np.uint8)
-    shared = found.sparkSession.sparkContext.broadcast(bits)
+    shared = found.sparkSession.sparkContext.broadcast(bit_filter(asked, "content"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
         for batch in slices(batches):
-            place = batch.column(0).to_numpy() % FILTER_BITS
-            batch = batch.filter(pa.array((shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
-            made = [np.unique(shingle_hashes(t, shingle_words)).tobytes() for t in batch.column(1).to_pylist()]
+            batch = batch.filter(pa.array(shared.value.has(batch.column(0).to_numpy())))
+            made = [shingle_set(t, words, shingle_words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["content", "shingles"])
 
     def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,38 +508,40 @@ def verified(found: DataFrame, reps: DataFrame, texts: DataFrame, similarity: fl
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                good.append(both >= similarity * ((len(x) + len(y)) // 8 - both))
+                good.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    known = stored(texts.mapInArrow(sets, "content long, shingles binary").join(asked, "content").select("node", "shingles").dropDuplicates(["node"]), "sets")
+    known = stored(texts.select("content", "body").mapInArrow(sets, "content long, shingles binary").join(asked, "content").select("node", "shingles").dropDuplicates(["node"]), "sets")
     ends = [known.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "uv"]
-    return found.join(ends[0], "u").join(ends[1], "v").select("u", "v", "of_u", "of_v").mapInArrow(jaccard, "u string, v string")
+    return found.join(ends[0], "u").join(ends[1], "v").select("u", "v", "of_u", "of_v").mapInArrow(jaccard, "u binary, v binary")
 
 
-def similar_links(reps: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
-    """reps (node, wide, n, first), texts (content, body) -> (u, v): links that connect nodes of `similarity` or more.
+def similar_links(reps: DataFrame, texts: DataFrame, common: np.ndarray, similarity: float = SIMILARITY, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
+    """reps (node, first), texts (content, body) -> (u, v): links that connect nodes of `similarity` or more.
 
-    Nearest candidates are verified and connected first; then all candidates between the groups so made are.
+    Nearest candidates of each block are verified and connected first; then all candidates between the groups so made are.
     """
-    chunks = wide_chunks(reps, similarity)
-    first = stored(verified(candidates(chunks, similarity), reps, texts, similarity, shingle_words), "links")
+    chosen = bit_filter(reps.select(F.col("first.content").alias("content")), "content")
+    counts = prefix_rows(texts, chosen, common, None, similarity, shingle_words).groupBy("key").agg(F.sum("c").alias("n_key")).where("n_key > 1")
+    counts = stored(counts, "keys")
+    rows = prefix_rows(texts, chosen, common, bit_filter(counts, "key"), similarity, shingle_words).join(counts, "key")
+    tiles = stored(tiled(rows, similarity).where("n_salts > 1 OR size(all) > 1"), "tiles")
+    first = stored(verified(candidates(tile_pairs(tiles), similarity), reps, texts, similarity, shingle_words), "links")
     roots = connected(first).withColumnRenamed("node", "linked")
-    groups = reps.join(roots, F.col("node") == F.col("linked"), "left").select("node", "wide", "n", F.xxhash64(F.coalesce("root", "node")).alias("group"))
-    again = wide_chunks(groups, similarity)
-    return first.union(verified(candidates(again, similarity), reps, texts, similarity, shingle_words))
+    sizes = tiles.select("key", F.size("all").alias("n"), F.explode("all").alias("one")).select("key", "one.*")
+    grouped = sizes.join(roots, F.col("node") == F.col("linked"), "left").select("key", "node", "n", "a", "b", F.xxhash64(F.coalesce("root", "node")).alias("group"))
+    mixed = stored(grouped, "grouped")
+    blocks = mixed.groupBy("key").agg(F.count("*").alias("n_key"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key", "n_key")
+    again = stored(tiled(mixed.join(blocks, "key"), similarity), "tiles")
+    return first.union(verified(candidates(tile_pairs(again), similarity), reps, texts, similarity, shingle_words))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The documents' rows, one of each group of texts that are similar; their columns as they are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [wide_fingerprint(t, shingle_words) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.string())], ["id", "content", "wide", "n", "node"])
-
     texts = docs.select(F.col(id_col).alias("id"), content(id_col, text_col).alias("content"), utf8(F.col(text_col)).alias("body"))
-    prints = stored(texts.mapInArrow(run, f"id {texts.dtypes[0][1]}, content long, wide array<long>, n long, node string"), "prints")
-    found = _groups(prints, "node", lambda reps: similar_links(reps, texts.select("content", "body"), similarity, shingle_words), ["wide", "n"])
+    prints = stored(set_prints(texts, shingle_words), "prints")
+    common = common_shingles(prints)
+    found = _groups(prints.where("node IS NOT NULL"), "node", lambda reps: similar_links(reps, texts, common, similarity, shingle_words))
     kept = found.select(F.col("component_id").alias("__id"), F.col("keep_content").alias("__content")).distinct()
     rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__key"), content(id_col, text_col).alias("__own"))
     joined = rows.join(kept, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__content")))

@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from payloom.llm import simhash as S
-from payloom.llm.components import connected
+from payloom.llm.components import connected, split_join
 from tests.llm.conftest import make_docs
 
 
@@ -98,6 +99,11 @@ def test_similarity_against_brute_force(spark):
                 cut = rng.uniform(0.10, 0.15)  # of the shingles on either side: Jaccard 0.74 to 0.82
                 add(base[: -round(size * cut)] + [f"w{fresh()}" for _ in range(round(size * cut))])
                 add(base + [f"w{fresh()}" for _ in range(round(size * rng.uniform(0.15, 0.3)))])
+    kept = {r["doc_id"] for r in S.keep_one(make_docs(spark, rows)).collect()}
+    assert kept == smallest_of_groups(sets)
+
+
+def smallest_of_groups(sets):
     group = list(range(len(sets)))
     for i in range(len(sets)):
         for j in range(i):
@@ -105,5 +111,38 @@ def test_similarity_against_brute_force(spark):
             if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and group[i] != group[j]:
                 old, new = max(group[i], group[j]), min(group[i], group[j])
                 group = [new if g == old else g for g in group]
-    kept = {r["doc_id"] for r in S.keep_one(make_docs(spark, rows)).collect()}
-    assert kept == {i for i, g in enumerate(group) if i == g}
+    return {i for i, g in enumerate(group) if i == g}
+
+
+def test_large_blocks_against_brute_force(spark, monkeypatch):
+    """Many texts around few originals, and a passage that all texts share: blocks of many tiles."""
+    monkeypatch.setattr(S, "TILE", 8)
+    monkeypatch.setattr(S, "LEAST_COMMON", 10_000)
+    rng = random.Random(3)
+    fresh = iter(range(10**6)).__next__
+    passage = [f"p{i}" for i in range(30)]
+    bases = [[f"w{fresh()}" for _ in range(n)] for n in (40, 90, 120)]
+    texts = []
+    for k in range(120):
+        words = bases[k % 3][:]
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = f"w{fresh()}"
+        texts.append(passage + words[: len(words) - rng.randint(0, 12)])
+    texts += [passage + [f"w{fresh()}" for _ in range(rng.randint(20, 80))] for _ in range(60)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    docs = make_docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    want = smallest_of_groups(sets)
+    assert {r["doc_id"] for r in S.keep_one(docs).collect()} == want and 63 < len(want) < 150
+    monkeypatch.setattr(S, "LEAST_COMMON", 16)  # the passage's shingles come last in the order: the same groups
+    assert {r["doc_id"] for r in S.keep_one(docs).collect()} == want
+
+
+def test_no_task_gathers_a_star(spark):
+    """Edges of a node with a third of all edges stay where they are: only the other nodes are dealt out."""
+    edges = spark.range(60_000).select((F.when(F.col("id") % 3 == 0, 7).otherwise(1_000_000 + F.col("id"))).alias("u"), (F.col("id") + 100).alias("v"))
+    got = connected(edges)
+    assert got.where("root = 7").count() == 20_000 and got.count() == 60_000
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("cnt"))
+    rest = edges.join(least.where("cnt * 512 <= 60000"), "u")
+    assert rest.groupBy("u").count().agg(F.max("count")).first()[0] == 1
+    assert split_join(edges, least, "u", 60_000).count() == 60_000
