@@ -1,3 +1,4 @@
+import random
 import re
 
 from payloom.llm.decontaminate import drop_contaminated, find_leaks
@@ -59,3 +60,20 @@ def test_empty_tables_and_dropping(spark, edge_docs, no_docs):
     assert all(not r["hit_words"] for r in find_leaks(edge_docs, none).collect())
     kept = drop_contaminated(edge_docs, items)
     assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count() - 1
+
+
+def test_many_places_against_brute_force(spark):
+    """Few words, so that each pattern stands at many places of many items."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(i, say(rng.randint(1, 14))) for i in range(60)] + [(90, None), (91, " "), (None, say(9))]
+    docs = [(i, say(rng.randint(0, 40))) for i in range(80)] + [(81, "a " * 50)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for window in (1, 2, 5, 8, 10):
+        assert run(spark, frame, items, window=window)[0] == brute(docs, items, window)
+
+
+def test_clashing_columns_of_items(spark, edge_docs):
+    items = spark.createDataFrame([(1, "two words", "x", "y", 3, None)], "item_id bigint, text string, item string, body string, leaks int, doc_id string")
+    rows = {r["doc_id"]: r["item_ids"] for r in find_leaks(edge_docs, items).collect()}
+    assert rows[5] == ["1"] and rows[6] == []
