@@ -1,18 +1,24 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Tokens are words (A-Z lower-cased, parted by ASCII white space) and one end per text. Three rules grow the tree, all
-relative to N, the number of training tokens, so that it behaves alike at every size:
+Tokens are words (A-Z lower-cased, parted by ASCII white space) and one end per text. What the tree holds grows with N,
+the number of training tokens, as its square root, so it stays a small share of the corpus and yet never stops growing:
 
-- contexts of up to `DEPTH` tokens whose probability is `P_CONTEXT` at least become nodes (1 / P_CONTEXT a depth at most);
-- a node names the next tokens whose joint probability with it is `P_NEXT` at least (1 / P_NEXT a depth at most); what it
-  doesn't name, and a discount of what it names, is shared out as its parent does;
+- contexts of up to `DEPTH` tokens that occur sqrt(N) / `CONTEXTS` times at least (8 at least) become nodes, so
+  CONTEXTS x sqrt(N) a depth at most; depths end where no context is left;
+- a node names the next tokens that follow it sqrt(N) / `NEXTS` times at least (twice at least), so NEXTS x sqrt(N) a depth at
+  most; what it doesn't name, and a discount of what it names, is shared out as its parent does;
 - a node is retained as a state if count x divergence (Kullback-Leibler, from its parent's smoothed distribution)
   exceeds `DIVERGENCE` x ln N.
 
+These bounds are what is broadcast: some 20 bytes a node or named token, for 10^9 tokens 16 MB a depth at most, for 10^13 (60 TB of
+text) 1.6 GB a depth at most; a tenth of that has been measured, as most text is in rarer grams. The words that may
+be named are broadcast too: those of probability `P_WORD` at least (1 / P_WORD at most) or as frequent as a named token.
+
 Each token is scored from the longest retained suffix of what precedes it in its text. The root is the add-one unigram
-distribution over all training tokens, without any cut: words of probability `P_NEXT` at least are broadcast with the
-tree (bounded by the rules above); occurrences of rarer words, of which none can be hot, get their counts through a
-shuffled join with the full word table. All counts are taken over the whole training part by distributed sums.
+distribution over all training tokens, without any cut: occurrences of words that aren't broadcast get their counts through
+a shuffled join with the full word table, which grows with the corpus. Words that training text has not are told by
+a bit filter of fixed size before that join, so a word that only held-out text has is no hot key. Texts are turned
+into ids once; each depth counts on those. All counts are taken over the whole training part by distributed sums.
 
 Defined results: a null text is empty and has the end alone; a null id counts as empty text in the remainder; repeated
 rows each get their row; with no training rows every token has log probability log10(1 / 1) = 0. Other columns are
@@ -30,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payloom.llm.common import LOWER_TABLE, remainder, slices, stored, table, utf8
+from payloom.llm.common import LOWER_TABLE, bit_filter, remainder, slices, stored, table, utf8
 
-DEPTH = 2
-P_CONTEXT = 1e-4
-P_NEXT = 2e-6
+DEPTH = 5
+CONTEXTS, LEAST_CONTEXT = 8, 8
+NEXTS, LEAST_NEXT = 32, 2
+P_WORD = 2e-6
 DIVERGENCE = 3.0
 DISCOUNT = 0.75
 END = b"\n"
@@ -101,7 +108,7 @@ class Tree:
 
     def log_probability(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 of each token's probability; for the id of other words, without the root's part."""
-        node = self.longest(ids, starts, DEPTH)
+        node = self.longest(ids, starts, len(self.keys))
         state = np.where(node >= 0, self.state[node], -1) if len(self.state) else node
         out = np.zeros(len(ids))
         open_ = np.flatnonzero(state >= 0)
@@ -154,13 +161,27 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def count_next(texts: DataFrame, tree: Tree, depth: int) -> DataFrame:
-    """Column body -> (code, c): code is node x width + id of the next token, for the nodes of one depth."""
-    shared = texts.sparkSession.sparkContext.broadcast(tree)
+def token_ids(texts: DataFrame, words: list[bytes]) -> DataFrame:
+    """Column body -> ids: each text's tokens as places in words, len(words) for others."""
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds(shared.value)
+        for batch in slices(batches):
+            flat, starts, _ = _tokens(batch.column(0).to_pylist(), ids)
+            offsets = pa.array(np.append(starts, len(flat)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))], ["ids"])
+
+    return texts.mapInArrow(run, "ids array<int>")
+
+
+def count_next(tokens: DataFrame, tree: Tree, depth: int) -> DataFrame:
+    """Column ids -> (code, c): code is node x width + id of the next token, for the nodes of one depth."""
+    shared = tokens.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        ids, (low, high) = WordIds(model.words), model.depth_of(depth)
+        low, high = model.depth_of(depth)
         held, size = [], 0
 
         def rows() -> pa.RecordBatch:
@@ -168,8 +189,9 @@ def count_next(texts: DataFrame, tree: Tree, depth: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(code), pa.array(c)], ["code", "c"])
 
         for batch in slices(batches):
-            flat, starts, _ = _tokens(batch.column(0).to_pylist(), ids)
-            node = model.longest(flat, starts, depth)
+            column = batch.column(0)
+            flat = column.flatten().to_numpy().astype(np.int64)
+            node = model.longest(flat, column.offsets.to_numpy()[:-1].astype(np.int64) - column.offsets[0].as_py(), depth)
             at = (node >= low) & (node < high)
             held.append(node[at] * model.width + flat[at])
             size += len(held[-1])
@@ -179,7 +201,7 @@ def count_next(texts: DataFrame, tree: Tree, depth: int) -> DataFrame:
         if size:
             yield rows()
 
-    return texts.mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    return tokens.mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
 def train(docs: DataFrame, *, text_col: str = "text") -> tuple[Tree, DataFrame]:
@@ -187,10 +209,12 @@ def train(docs: DataFrame, *, text_col: str = "text") -> tuple[Tree, DataFrame]:
     texts = docs.select(utf8(F.col(text_col)).alias("body"))
     words = stored(count_words(texts), "words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    heavy = words.where(F.col("c") >= n * P_NEXT).orderBy(F.desc("c"), "word").toPandas()
+    least, named_least = max(LEAST_CONTEXT, n**0.5 / CONTEXTS), max(LEAST_NEXT, n**0.5 / NEXTS)
+    heavy = words.where(F.col("c") >= min(n * P_WORD, named_least)).orderBy(F.desc("c"), "word").toPandas()
     tree = Tree([bytes(w) for w in heavy["word"]], heavy["c"].to_numpy(np.int64), n, v)
     width, totals = tree.width, np.empty(0)
-    frequent = np.flatnonzero(tree.counts >= n * P_CONTEXT)  # contexts of one token, as (root, word)
+    tokens = stored(token_ids(texts, tree.words), "tokens")
+    frequent = np.flatnonzero(tree.counts >= least)  # contexts of one token, as (root, word)
     end = next((i for i, w in enumerate(tree.words) if w == END), -1)
     frequent = frequent[frequent != end]
     keys, total, suffixes = frequent.astype(np.int64), tree.counts[frequent], np.full(len(frequent), -1, np.int64)
@@ -204,15 +228,15 @@ def train(docs: DataFrame, *, text_col: str = "text") -> tuple[Tree, DataFrame]:
         tree.nodes.append(first + np.arange(len(keys)))
         tree.suffix = np.concatenate((tree.suffix, suffixes[order]))
         totals = np.concatenate((totals, total[order]))
-        counts = stored(count_next(texts, tree, depth), "next")
-        kept = counts.where((F.col("c") >= n * P_NEXT) & (F.col("code") % width < width - 1)).toPandas()
+        counts = count_next(tokens, tree, depth).where((F.col("c") >= named_least) & (F.col("code") % width < width - 1))
+        kept = counts.toPandas()
         code, c = kept["code"].to_numpy(np.int64), kept["c"].to_numpy(np.int64)
         named["code"].append(code)
         named["c"].append(c)
         if depth == DEPTH:
             break
         # a context one longer: this node's tokens and the next one; its suffix node drops the oldest token
-        more = (c >= n * P_CONTEXT) & (code % width != end)
+        more = (c >= least) & (code % width != end)
         older = _words_of(tree, code[more] // width, depth)
         shorter = _node_of(tree, np.column_stack((older[:, 1:], code[more] % width)))
         ok = shorter >= 0
@@ -292,20 +316,32 @@ def _finish(tree: Tree, code: np.ndarray, c: np.ndarray, totals: np.ndarray) ->
 def score(docs: DataFrame, tree: Tree, words: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, base_score, score of every document."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(tree)
+    shared = spark.sparkContext.broadcast((tree, bit_filter(words.select(F.xxhash64("word").alias("h")), "h")))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("key"), utf8(F.col(text_col)).alias("body"))
     names = ["id", "key", "n_tokens", "known", "base", "model", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        from xxhash import xxh64_intdigest
+
+        model, known = shared.value
         ids = WordIds(model.words)
         root = np.append(model.root(model.counts), 0.0)
+        absent = float(model.root(np.zeros(1))[0])
         for batch in slices(batches):
             flat, starts, texts = _tokens(batch.column(2).to_pylist(), ids)
             other = flat == ids.other
             sums = [np.add.reduceat(x, starts) if len(starts) else x for x in (~other * 1, root[flat], model.log_probability(flat, starts))]
             bounds = np.append(starts, len(flat))
-            rare = [[w[i] for i in np.flatnonzero(other[a:b]).tolist()] for w, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            place = np.flatnonzero(other)
+            text = np.repeat(np.arange(len(texts)), np.diff(bounds))[place]
+            found = [texts[t][i] for t, i in zip(text.tolist(), (place - bounds[text]).tolist(), strict=True)]
+            there = known.has(np.fromiter((xxh64_intdigest(w, 42) for w in found), np.uint64, len(found)).view(np.int64))
+            lost = np.bincount(text[~there], minlength=len(texts)) * absent  # words that training text has not
+            sums[1], sums[2] = sums[1] + lost, sums[2] + lost
+            rare: list[list[bytes]] = [[] for _ in texts]
+            for t, w, ok in zip(text.tolist(), found, there.tolist(), strict=True):
+                if ok:
+                    rare[t].append(w)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds)), *map(pa.array, sums), pa.array(rare, pa.list_(pa.binary()))], names)
 
     kind = dict(rows.dtypes)["id"]
