@@ -3,12 +3,15 @@ r"""Secret scans over a trigram inverted index, with DataFrame functions only.
 Each rule's regular expression gives a Boolean trigram query (see trigrams). The index holds a posting (trigram, row)
 for each trigram that the rules ask for and each text in which it occurs, sorted by trigram in its files; the
 postings of a row are brought together, the queries are evaluated on them, and only rows that satisfy a rule's query are
-scanned with its expression. Rules without mandatory trigrams (hex runs) scan every text. Postings and candidates are
-narrow; candidates come back to the texts through one join on a row key, broadcast by Spark where they are few.
+scanned with its expression. Rules without mandatory trigrams (hex runs) scan every text.
+
+Postings and candidates are narrow. Up to `BROADCAST_CANDIDATES` candidates (counted first) come back to the texts by
+broadcast, and no text is shuffled; beyond that, texts in which some query holds are shuffled to them, and no others.
 
 Spans are code points, end exclusive, found as running sums over the parts between matches and the matches themselves;
-sums are made over blocks of `BLOCK` matches, so that a text with very many matches costs time in proportion. A rule's
-matches are leftmost and don't overlap; those that fail its least length are dropped afterwards.
+sums are made over blocks of blocks of `BLOCK` matches, each level a column of its own, so a text with very many matches
+costs time in proportion to them (and to the square of their number over BLOCK^2). A rule's matches are leftmost and
+don't overlap; those that fail its least length are dropped afterwards.
 
 Defined results: a null text is empty and has no spans; rows with a null or repeated id are scanned like others; an
 empty table gives an empty one. Other columns are ignored, whatever their names. Redaction puts [kind] in the place of
@@ -17,6 +20,7 @@ each span (spans that overlap count as one, under the first's kind).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,7 +30,9 @@ from pyspark.sql import functions as F
 from payloom.llm.common import stored, table
 from payloom.llm.trigrams import Query, trigram_query
 
-BLOCK = 256
+BLOCK = 64
+#: Candidate rows (some 60 bytes each) that are broadcast at most.
+BROADCAST_CANDIDATES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -98,35 +104,73 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return merged.select("key", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
-def running(lengths: Column) -> Column:
-    """Sums of all earlier elements, for each element of an array of longs."""
+def with_running(rows: DataFrame, names: dict[str, str], most: bool = False) -> DataFrame:
+    """Adds, for each array column of longs (names: new -> given), the sums (most: the maxima, 0 at least) of all earlier elements.
+
+    Blocks, and blocks of blocks, are columns of their own; each is named more than once, so that Spark doesn't put its
+    expression into the lambdas that read it.
+    """
     zero = F.lit(0).cast("long")
-    total = lambda a: F.aggregate(a, zero, lambda x, y: x + y)
-    n_blocks = F.ceil(F.size(lengths) / F.lit(BLOCK)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
-    whole = F.transform(blocks, total)
-    per_block = F.transform(blocks, lambda block, b: F.transform(block, lambda x, i: total(F.slice(whole, F.lit(1), b)) + total(F.slice(block, F.lit(1), i))))
-    return F.when(F.size(lengths) > BLOCK, F.flatten(per_block)).otherwise(F.transform(lengths, lambda x, i: total(F.slice(lengths, F.lit(1), i))))
+    plus = (lambda x, y: F.greatest(x, y)) if most else (lambda x, y: x + y)
+    total = lambda a: F.aggregate(a, zero, plus)
+    empty = F.array().cast("array<bigint>")
+
+    def blocks(c: str) -> Column:
+        n = F.ceil(F.size(c) / F.lit(BLOCK)).cast("int")
+        return F.when(F.size(c) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda b: total(F.slice(c, b * BLOCK + 1, F.lit(BLOCK))))).otherwise(empty)
+
+    def one(c: str, i: Column) -> Column:
+        block, top = F.floor(i / BLOCK).cast("int"), F.floor(i / (BLOCK * BLOCK)).cast("int")
+        within = total(F.slice(f"{c}_b", top * BLOCK + 1, block - top * BLOCK))
+        return plus(plus(F.element_at(f"{c}_t", top + 1), within), total(F.slice(c, block * BLOCK + 1, i - block * BLOCK)))
+
+    def reader(c: str) -> Callable:
+        return lambda x, i: one(c, i)
+
+    rows = rows.select("*", *[blocks(c).alias(f"{c}_b") for c in names.values()])
+    rows = rows.select("*", *[blocks(f"{c}_b").alias(f"{c}_c") for c in names.values()])
+    before = lambda c: F.when(F.size(c) > 0, F.transform(c, lambda x, k: total(F.slice(c, F.lit(1), k)))).otherwise(empty)
+    rows = rows.select("*", *[before(f"{c}_c").alias(f"{c}_t") for c in names.values()])
+    made = [F.when((F.size(f"{c}_t") > 0) & (F.size(f"{c}_b") > 0), F.transform(c, reader(c))).otherwise(empty).alias(new) for new, c in names.items()]
+    return rows.select("*", *made).drop(*[f"{c}_{x}" for c in names.values() for x in "bct"])
 
 
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
+def _holds(query: Query, low: Column) -> Column:
+    """Whether a trigram query holds for a lower-cased text."""
+    all_of = lambda s: reduce(lambda a, b: a & b, [F.contains(low, F.lit(t)) for t in sorted(s)])
+    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, map(all_of, clause)) for clause in query])
+
+
+def _with_kinds(rows: DataFrame, named: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """rows (key, body, ...) with the kinds that the index named for them, or null."""
+    if named.count() <= BROADCAST_CANDIDATES:
+        return rows.join(F.broadcast(named), "key", "left")
+    some = F.coalesce(reduce(lambda a, b: a | b, [_holds(r.query, F.lower("body")) for r in rules if r.query]), F.lit(False))
+    asked = rows.withColumn("asked", some)
+    none = F.lit(None).cast("array<string>").alias("kinds")
+    return asked.where("asked").drop("asked").join(named, "key", "left").unionByName(asked.where("NOT asked").drop("asked").select("*", none))
+
+
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, carry: bool = False) -> DataFrame:
-    """row (the id) and found: the spans (start, rank, end, kind) in order of start, then of the rules. carry: row is a struct of all columns, and body has the text."""
+    """row (the id) and found: the spans (start, rank, end, kind) in order of start, then of the rules.
+
+    carry: row is a struct of all columns, body has the text, and spans are bytes of its UTF-8, not code points.
+    """
     trigrams = sorted({t for r in rules for clause in r.query for s in clause for t in s})
-    named = candidates(build_index(docs, trigrams, id_col=id_col, text_col=text_col), rules)
+    named = stored(candidates(build_index(docs, trigrams, id_col=id_col, text_col=text_col), rules), "candidates")
     rows = docs.select(F.struct("*").alias("row") if carry else F.col(id_col).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"), row_key(id_col, text_col).alias("key"))
-    rows = rows.join(named, "key", "left")
+    rows = _with_kinds(rows, named, rules)
     hit = lambda r: F.array_contains("kinds", r.kind) if r.query else F.lit(True)
     none = F.array().cast("array<string>")
     rows = rows.select("row", "body", *[F.when(hit(r), F.regexp_extract_all("body", F.lit(r.pattern), F.lit(0))).otherwise(none).alias(f"m{i}") for i, r in enumerate(rules)])
-    parts = [F.when(F.size(f"m{i}") > 0, F.split("body", r.pattern, -1)).alias(f"p{i}") for i, r in enumerate(rules)]
+    parts = [F.when(F.size(f"m{i}") > 0, F.split("body", r.pattern, -1)).otherwise(none).alias(f"p{i}") for i, r in enumerate(rules)]
     rows = rows.select("row", *["body"] * carry, *[f"m{i}" for i in range(len(rules))], *parts)
-    size = lambda x: F.length(x).cast("long")
+    size = lambda x: (F.octet_length(x) if carry else F.length(x)).cast("long")
     lengths = [F.zip_with(F.slice(f"p{i}", 1, F.size(f"m{i}")), f"m{i}", lambda p, m: size(p) + size(m)).alias(f"l{i}") for i in range(len(rules))]
-    rows = rows.select("*", *lengths)
-    rows = rows.select("*", *[F.when(F.size(f"m{i}") > 0, running(F.col(f"l{i}"))).alias(f"s{i}") for i in range(len(rules))])
+    rows = with_running(rows.select("*", *lengths), {f"s{i}": f"l{i}" for i in range(len(rules))})
 
     def spans(i: int, r: Rule) -> Column:
         at = F.zip_with(f"s{i}", F.slice(f"p{i}", 1, F.size(f"m{i}")), lambda s, p: s + size(p))
@@ -136,21 +180,19 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         made = F.transform(made, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
         return F.when(F.size(f"m{i}") > 0, made).otherwise(F.array().cast(SPAN))
 
-    found = F.array_sort(F.concat(*[spans(i, r) for i, r in enumerate(rules)])).alias("found")
+    found = F.sort_array(F.concat(*[spans(i, r) for i, r in enumerate(rules)])).alias("found")
     return rows.select("row", *["body"] * carry, found)
 
 
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with [kind] in the place of each secret; chars_col, where there is such a column, counts anew."""
     scanned = scan_secrets(docs, id_col=id_col, text_col=text_col, rules=rules, carry=True)
-    first = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("body"), (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int"))
-        later = F.struct(s["end"].alias("pos"), F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]")).alias("out"))
-        return F.when(s["start"] >= acc["pos"], later).otherwise(F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out")))
-
-    clean = F.aggregate("found", first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("body"), (acc["pos"] + 1).cast("int"), F.length("body"))))
+    scanned = scanned.select("row", "found", F.col("body").cast("binary").alias("raw"), F.transform("found", lambda x: x["end"]).alias("ends"))
+    scanned = with_running(scanned, {"before": "ends"}, most=True)  # where the spans before each one end
+    cut = lambda a, b: F.decode(F.substring("raw", (a + 1).cast("int"), (b - a).cast("int")), "UTF-8")
+    first = F.filter(F.arrays_zip("found", "before"), lambda x: x["found"]["start"] >= x["before"])
+    marks = F.transform(first, lambda x: F.concat(cut(x["before"], x["found"]["start"]), F.lit("["), x["found"]["kind"], F.lit("]")))
+    clean = F.concat(F.array_join(marks, ""), cut(F.array_max("ends"), F.length("raw")))
     scanned = scanned.select("row", F.when(F.size("found") > 0, clean).otherwise(F.col("row").getField(text_col)).alias("clean"))
     out = []
     for field in docs.schema.fields:

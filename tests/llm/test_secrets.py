@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from payloom.llm import secrets as S
 from payloom.llm.trigrams import trigram_query
@@ -35,12 +36,35 @@ def test_edges_against_brute_force(spark, edge_docs, edge_rows):
 
 
 def test_many_matches_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(S, "BLOCK", 7)
-    text = "x secret=abcdef " * 100
+    monkeypatch.setattr(S, "BLOCK", 3)
+    text = "é secret=abcdef " * 100
     (row,) = S.scan_secrets(make_docs(spark, [(1, text)])).collect()
     assert [tuple(s) for s in row["found"]] == brute(text)
 
 
+def test_very_many_matches(spark):
+    text = "é secret=abcdef 🙂" * 100_000
+    began = time.perf_counter()
+    (row,) = S.scan_secrets(make_docs(spark, [(1, text)])).collect()
+    assert [tuple(s) for s in row["found"]] == brute(text)
+    (row,) = S.redact(make_docs(spark, [(1, text)])).collect()
+    assert row["text"] == "é [assign] 🙂" * 100_000
+    assert time.perf_counter() - began < 120
+
+
+def test_large_candidate_sets_are_joined_by_shuffle(spark, edge_docs, monkeypatch):
+    key = lambda df: sorted(((r["row"], [tuple(s) for s in r["found"]]) for r in df.collect()), key=str)
+    want = key(S.scan_secrets(edge_docs))
+    monkeypatch.setattr(S, "BROADCAST_CANDIDATES", 0)
+    assert key(S.scan_secrets(edge_docs)) == want
+
+
+def test_overlapping_spans_are_one_mark(spark):
+    rows = [(1, "é token=" + "0" * 30 + " x"), (2, "é" * 5 + "AKIA" + "A" * 16), (3, "0" * 24)]
+    got = {r["doc_id"]: r["text"] for r in S.redact(make_docs(spark, rows)).collect()}
+    assert got == {1: "é [assign] x", 2: "é" * 5 + "[access]", 3: "[hex]"}
+
+
 def test_redaction(spark, edge_docs, no_docs):
     kept = S.redact(edge_docs)
     assert kept.columns == edge_docs.columns and kept.schema == edge_docs.schema
