@@ -6,18 +6,19 @@ a logistic fit on labelled rows that made no dictionary turns that and its sign-
 and 1. Texts longer than `WINDOW` bytes are compressed window by window and their sizes added, so that a dictionary
 keeps its weight however long a text is.
 
-Training takes at most `SAMPLE` labelled rows (the documented bound; those with the smallest hash of the id); their
-texts are cut to `PIECE` bytes from the middle, for training alone, so what reaches the driver is bounded. Scoring reads whole
-texts in one pass, without shuffle; two dictionaries of `DICTIONARY` bytes are broadcast.
+Training takes at most `SAMPLE` labelled rows (the documented bound; those with the smallest hash of the id), and their whole
+texts stay on the executors. Texts of the first part are cut into pieces of `PIECE` bytes, of which each class's `PIECES`
+with the smallest hash, from wherever in the texts, train its dictionary; of the second part three sizes a row reach the
+driver. Scoring reads whole texts in one pass, without shuffle; two dictionaries of `DICTIONARY` bytes are broadcast.
 
 Defined results: null and empty texts are compressed as empty and score what the fit says of that; rows without label train
-nothing; repeated documents each get their row; with no labelled rows, or of one class only, every score is the share of good
-labels (0.5 with none). Other columns are ignored, whatever their names.
+nothing; repeated documents each get their row; of rows that repeat an id the text with the smallest hash counts; with no labelled rows, or of
+one class only in either part, every score is the share of good labels (0.5 with none). Where texts are too few for zstandard's trainer
+to make a dictionary of them, their pieces themselves are the dictionary. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,24 +27,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payloom.llm.common import remainder, slices, table, utf8
+from payloom.llm.common import remainder, slices, stored, table, utf8
 
 SAMPLE = 12_000
-PIECE = 4096
+PIECE, PIECES = 1024, 8192
 WINDOW = 4096
 DICTIONARY = 64 << 10
 LEVEL = 3
-HOLD = 0.4
+HOLD = 40
 THRESHOLD = 0.3
 MODULUS, HELD = 5, 0
 
 
+@dataclass
+class Dictionary:
+    """trained: made by zstandard's trainer, with its entropy tables; else plain content."""
+
+    data: bytes
+    trained: bool
+
+
 @dataclass
 class Compressors:
     """Sizes under the two dictionaries and under none."""
 
-    good: bytes
-    bad: bytes
+    good: Dictionary
+    bad: Dictionary
     made: list = field(default_factory=list)
 
     def __getstate__(self) -> dict:
@@ -55,9 +64,9 @@ class Compressors:
         if not self.made:
             options = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
             for d in (self.good, self.bad):
-                raw = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                raw.precompute_compress(level=LEVEL)
-                self.made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, **options).compress)
+                loaded = zstandard.ZstdCompressionDict(d.data, dict_type=zstandard.DICT_TYPE_FULLDICT if d.trained else zstandard.DICT_TYPE_RAWCONTENT)
+                loaded.precompute_compress(level=LEVEL)
+                self.made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=loaded, **options).compress)
             self.made.append(zstandard.ZstdCompressor(level=LEVEL, **options).compress)
         text = text or b""
         good = bad = plain = 0
@@ -86,18 +95,15 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.compressors.features(text) @ self.weights, -40, 40))))
 
 
-def dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
-    """A dictionary of the given size from texts: zstandard's own trainer where it can, else the texts' own bytes."""
+def dictionary(pieces: list[bytes], size: int = DICTIONARY) -> Dictionary:
+    """A dictionary of the given size, or an eighth of the pieces where those are few, by zstandard's trainer."""
     import zstandard
 
-    pieces = [t[i : i + 1024] for t in texts for i in range(0, len(t), 1024)]
-    if sum(map(len, pieces)) > 8 * size:
-        try:
-            return zstandard.train_dictionary(size, pieces, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    share = max(64, size // max(1, len(texts)))
-    return b"".join(t[:share] for t in texts)[-size:] or b"\n" * 8
+    size = min(size, max(256, sum(map(len, pieces)) // 8))
+    try:
+        return Dictionary(zstandard.train_dictionary(size, pieces, level=LEVEL).as_bytes(), True)
+    except zstandard.ZstdError:  # too few or too short
+        return Dictionary(b"".join(pieces)[-DICTIONARY:] or b"\n" * 8, False)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 100) -> np.ndarray:
@@ -120,31 +126,43 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 10
     return out
 
 
-def fit(texts: list[bytes], labels: np.ndarray) -> Model:
-    """Dictionaries from the first part of the rows, calibration on the rest."""
-    y = np.asarray(labels, np.int64)
-    n_fit = len(y) - int(len(y) * HOLD)
-    parts = [[t for t, k in zip(texts[:n_fit], y[:n_fit], strict=True) if k == label] for label in (1, 0)]
-    if len(set(y[n_fit:].tolist())) < 2 or not all(parts):
-        return Model(Compressors(b"", b""), None, float(y.mean()) if len(y) else 0.5)
-    compressors = Compressors(*map(dictionary, parts))
-    x = np.stack([compressors.features(t) for t in texts[n_fit:]])
-    return Model(compressors, logistic(x, y[n_fit:]))
+def _pieces(rows: DataFrame, label: int) -> list[bytes]:
+    """Of the pieces of the class's texts those with the smallest hashes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [t[i : i + PIECE] for t in batch.column(0).to_pylist() for i in range(0, len(t), PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["piece"])
+
+    cut_up = rows.where((F.col("label") == label) & ~F.col("hold")).select("body").mapInArrow(cut, "piece binary")
+    return [bytes(r["piece"]) for r in cut_up.orderBy(F.xxhash64("piece"), "piece").limit(PIECES).collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", modulus: int = MODULUS, held: int = HELD, sample: int = SAMPLE) -> Model:
-    """Fit on labelled rows outside the held-out part, `sample` at most."""
+    """Fit on labelled rows outside the held-out part, `sample` at most: dictionaries on some, calibration on the others."""
     named = labels.where(F.col(label_col).isNotNull() & F.col(label_id_col).isNotNull()).where(remainder(F.col(label_id_col), modulus) != held)
     named = named.groupBy(F.col(label_id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     chosen = named.orderBy(F.xxhash64("id"), "id").limit(sample)
     body = F.coalesce(utf8(F.col(text_col)), F.lit(b""))
-    middle = F.substring("body", F.greatest(F.lit(1), F.floor((F.length("body") - PIECE) / 2) + 1).cast("int"), F.lit(PIECE))
-    rows = docs.select(F.col(id_col).alias("id"), body.alias("body")).join(F.broadcast(chosen), "id").select(F.col("id").cast("string").alias("id"), "label", middle.alias("body"))
-    got = rows.toPandas()
-    got["body"] = got["body"].map(bytes)
-    got["order"] = [zlib.crc32(i.encode()) for i in got["id"]]
-    got = got.sort_values(["order", "id", "body"]).drop_duplicates("id")
-    return fit(got["body"].tolist(), got["label"].to_numpy())
+    rows = docs.select(F.col(id_col).alias("id"), body.alias("body")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("body").alias("h"), F.col("body"))).alias("one"))
+    hold = F.pmod(F.xxhash64(F.lit("hold"), F.col("id")), F.lit(100)) < HOLD
+    rows = stored(rows.select("label", hold.alias("hold"), F.col("one.body").alias("body")), "labelled")
+    counts = {(r["label"], r["hold"]): r["n"] for r in rows.groupBy("label", "hold").agg(F.count("*").alias("n")).collect()}
+    if any(not counts.get((label, part)) for label in (0, 1) for part in (False, True)):
+        total = sum(counts.values())
+        return Model(Compressors(Dictionary(b"", False), Dictionary(b"", False)), None, sum(n * label for (label, _), n in counts.items()) / total if total else 0.5)
+    compressors = Compressors(dictionary(_pieces(rows, 1)), dictionary(_pieces(rows, 0)))
+    shared = docs.sparkSession.sparkContext.broadcast(compressors)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shared.value.features(t).tolist() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["label", "features"])
+
+    got = rows.where("hold").select("label", "body").mapInArrow(measure, "label int, features array<double>").toPandas()
+    got = got.assign(key=got["features"].map(tuple)).sort_values(["key", "label"])  # one order at every number of tasks
+    return Model(compressors, logistic(np.stack(got["features"].tolist()), got["label"].to_numpy(np.float64)))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

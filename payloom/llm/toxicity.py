@@ -4,12 +4,13 @@ A text's terms are its distinct words (A-Z lower-cased, letters, digits and non-
 2^`BITS` columns; columns in fewer than `LEAST` training texts weigh nothing. The machine scores w0 + the sum of w + the
 sum over all pairs of terms of the product of their factor vectors; the pairs are what a linear model misses (an insult
 near a group's name). It is fitted on logistic loss on the driver, the linear part by follow-the-regularised-leader
-with a sparse penalty, the factors of the columns so kept by AdaGrad, from at most `SAMPLE` labelled rows (the documented
+with a sparse penalty, the factors by AdaGrad with a penalty of their own that shrinks whole vectors to nil, whatever the column's
+weight, so a word that says nothing alone can be in a pair (if `PAIR_LEAST` texts and `PAIR_SHARE` of all have it). A column is dropped only if its weight and its factors are nil. Fitting takes at most `SAMPLE` labelled rows (the documented
 bound; those with the smallest hash of the id), whose hashed terms alone are collected. The last `HOLD` part of the
 sample fits a logistic calibration of the machine's output.
 
-Scores: one pass over the documents, without shuffle; the model has the columns that the sparse penalty kept, a share of
-those in the bounded sample, and is broadcast.
+Scores: one pass over the documents, without shuffle; the model has the columns that the penalties kept, a share of
+those in the bounded sample, and is broadcast. Of rows that repeat an id the one with the smallest columns counts.
 
 Defined results: null and wordless texts have no terms and score the calibrated bias; rows without a label or with a null label train nothing;
 repeated documents each get their row; with no labelled rows, or of one class only, every score is the share of toxic
@@ -40,6 +41,10 @@ HOLD = 0.2
 LEAST = 3
 #: Strength of the sparse penalty of the linear part.
 SPARSE = 4.0
+#: Strengths of the penalties on a column's factor vector: what it loses of its length, and of its square, at each step.
+SHRINK, RIDGE = 0.1, 0.05
+#: Training texts, and share of them, that a column must be in to have factors: pairs of rarer ones can't be told from chance.
+PAIR_LEAST, PAIR_SHARE = 50, 0.01
 SEED = 7
 THRESHOLD = 0.3
 MODULUS, HELD = 4, 2
@@ -119,23 +124,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, epochs: int = EPOCHS, alp
         return Machine(0, np.zeros(0, np.int32), np.zeros(0), np.zeros((0, FACTORS)), constant=float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(SEED)
     columns, times = np.unique(np.concatenate(rows[:n_fit]), return_counts=True)
-    columns = columns[times >= LEAST]
+    columns, times = columns[times >= LEAST], times[times >= LEAST]
     given, rows = rows, [np.searchsorted(columns, r[np.isin(r, columns, assume_unique=True)]) for r in rows[:n_fit]]
+    may_pair = times >= max(PAIR_LEAST, PAIR_SHARE * n_fit)
     w, z, n = np.zeros(len(columns)), np.zeros(len(columns)), np.zeros(len(columns))
-    v, gv = rng.normal(0, 0.01, (len(columns), FACTORS)), np.full((len(columns), FACTORS), 1e-2)
+    v, gv = rng.normal(0, 0.01, (len(columns), FACTORS)) * may_pair[:, None], np.full((len(columns), FACTORS), 1e-2)
     share = y[:n_fit].mean()
     bias, gb = float(np.log(share / (1 - share))), 1.0
-    for _ in range(epochs):
+    for epoch in range(epochs):
         order = rng.permutation(n_fit)
         for at in range(0, n_fit, BATCH):
             some = order[at : at + BATCH]
             sizes = np.array([len(rows[i]) for i in some])
             cols = np.concatenate([rows[i] for i in some])
             seg = np.repeat(np.arange(len(some)), sizes)
-            live = w[cols] != 0  # pairs are learnt among columns that the sparse linear part has kept
-            lc, ls = cols[live], seg[live]
-            total = np.stack([np.bincount(ls, v[lc, k], len(some)) for k in range(FACTORS)], axis=1)
-            square = np.bincount(ls, (v[lc] ** 2).sum(axis=1), len(some))
+            total = np.stack([np.bincount(seg, v[cols, k], len(some)) for k in range(FACTORS)], axis=1)
+            square = np.bincount(seg, (v[cols] ** 2).sum(axis=1), len(some))
             raw = bias + np.bincount(seg, w[cols], len(some)) + 0.5 * ((total * total).sum(axis=1) - square)
             g = 1 / (1 + np.exp(-np.clip(raw, -40, 40))) - y[some]
             if len(cols):
@@ -145,15 +149,19 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, epochs: int = EPOCHS, alp
                 z[uniq] += dw - sigma * w[uniq]
                 n[uniq] += dw * dw
                 w[uniq] = np.where(np.abs(z[uniq]) <= sparse, 0, -(z[uniq] - np.sign(z[uniq]) * sparse) / ((1 + np.sqrt(n[uniq])) / alpha))
+            lc, ls = cols[may_pair[cols]], seg[may_pair[cols]]
             if len(lc):
                 uniq, place = np.unique(lc, return_inverse=True)
                 each = g[ls][:, None] * (total[ls] - v[lc])
-                dv = np.stack([np.bincount(place, each[:, k], len(uniq)) for k in range(FACTORS)], axis=1) + 0.05 * v[uniq]
+                dv = np.stack([np.bincount(place, each[:, k], len(uniq)) for k in range(FACTORS)], axis=1) + RIDGE * v[uniq]
                 gv[uniq] += dv * dv
                 v[uniq] -= rate * dv / np.sqrt(gv[uniq])
+                if epoch >= epochs // 3:  # pairs may form first
+                    length = np.sqrt((v[uniq] ** 2).sum(axis=1))
+                    v[uniq] *= np.maximum(0, 1 - rate * SHRINK / np.maximum(length, 1e-12))[:, None]
             gb += g.sum() ** 2
             bias -= 0.5 * alpha * g.sum() / np.sqrt(gb)
-    kept = w != 0
+    kept = (w != 0) | (v != 0).any(axis=1)
     model = Machine(bias, columns[kept], w[kept], v[kept])
     raw = np.array([model.raw(r) for r in given[n_fit:]])
     if len(set(y[n_fit:].tolist())) == 2:
@@ -175,9 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             rows = [terms.of(t).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), pa.array(rows, pa.binary())], ["id", "label", "columns"])
 
-    got = joined.mapInArrow(hashed, "id string, label int, columns binary").toPandas()
+    rows = joined.mapInArrow(hashed, "id string, label int, columns binary")
+    got = rows.groupBy("id").agg(F.max("label").alias("label"), F.min("columns").alias("columns")).toPandas()
     got["order"] = [zlib.crc32(str(i).encode()) for i in got["id"]]
-    got = got.sort_values(["order", "id", "columns"]).drop_duplicates("id")
+    got = got.sort_values(["order", "id"])
     return fit([np.frombuffer(c, np.int32) for c in got["columns"]], got["label"].to_numpy())
 
 

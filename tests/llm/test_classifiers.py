@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from payloom.llm import quality as Q
 from payloom.llm import toxicity as X
@@ -33,18 +34,60 @@ def test_held_out_accuracy(spark, query, label, modulus, at, least):
 
 
 def test_pairs_are_learnt():
-    """Two harmless words that are toxic only together."""
+    """Two words that say nothing alone: toxic if just one of them is there, which no sum of weights can tell."""
     rng, rows, labels = np.random.default_rng(0), [], []
     for _ in range(4000):
         a, b = rng.random(2) < 0.5
         words = {1: a, 2: b}
         rows.append(np.array(sorted([k for k, v in words.items() if v] + rng.choice(np.arange(10, 60), 5, replace=False).tolist()), np.int32))
-        labels.append(int(a and b))
-    model = X.fit(rows, np.array(labels), sparse=0.5, epochs=30)
-    score = lambda *c: model.score(np.array(c, np.int32))
-    assert score(1, 2, 20) > 0.7 > 0.3 > max(score(1, 20), score(2, 20), score(20))
+        labels.append(int(a ^ b))
+    model = X.fit(rows, np.array(labels))
+    assert np.mean([(model.score(r) >= 0.3) == y for r, y in zip(rows, labels, strict=True)]) > 0.99
     v = {int(c): model.factors[i] for i, c in enumerate(model.columns)}
-    assert v[1] @ v[2] > 0
+    assert v[1] @ v[2] < 0
+
+
+def test_toxicity_scores_by_a_plain_double_loop(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 4000")
+    model = X.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    model.factors = np.random.default_rng(1).normal(0, 0.2, model.factors.shape)  # the test tables teach few pairs
+    place = {int(c): i for i, c in enumerate(model.columns)}
+    bodies = {r["doc_id"]: r["text"] for r in docs.where("doc_id < 60").collect()}
+    got = {r["row"]: r["score"] for r in X.score(docs, model).where("row < 60").collect()}
+    for i, text in bodies.items():
+        words = set((text or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))).split())
+        at = [place[c] for c in {zlib.crc32(w) & (1 << 26) - 1 for w in words} if c in place]
+        raw = model.bias + sum(model.linear[k] for k in at)
+        for x in range(len(at)):
+            for y in range(x):
+                raw += sum(float(p) * float(q) for p, q in zip(model.factors[at[x]], model.factors[at[y]], strict=True))
+        assert abs(got[i] - 1 / (1 + np.exp(-(model.slope * raw + model.offset)))) < 1e-9
+
+
+def test_quality_sizes_by_direct_calls(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = Q.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert model.compressors.good.trained and model.compressors.bad.trained
+    options = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
+
+    def size(part, data):
+        given = {"dict_data": zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_FULLDICT)} if data else {}
+        return len(zstandard.ZstdCompressor(level=Q.LEVEL, **given, **options).compress(part))
+
+    got = {r["doc_id"]: r["score"] for r in Q.score(docs, model).where("doc_id < 40").collect()}
+    for r in docs.where("doc_id < 40").collect():
+        text = (r["text"] or "").encode()
+        good, bad, plain = (sum(size(text[a : a + Q.WINDOW], d) for a in range(0, max(1, len(text)), Q.WINDOW)) for d in (model.compressors.good.data, model.compressors.bad.data, None))
+        n = max(1, len(text))
+        raw = sum(w * x for w, x in zip(model.weights.tolist(), ((bad - good) / plain, good / n, bad / n, 1.0), strict=True))
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
+def test_clashing_columns_and_repeated_rows_of_labels(spark, edge_docs):
+    rows = [(i, i % 2, i % 2, "x", 0.5, 7) for i in range(1, 17) for _ in range(2)]
+    labels = spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int, body string, label double, id int")
+    for part in (Q, X):
+        assert part.score(edge_docs, part.train(edge_docs, labels)).count() == edge_docs.count()
 
 
 @pytest.mark.parametrize("part", [Q, X])
