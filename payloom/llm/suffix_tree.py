@@ -18,7 +18,7 @@ Each token is scored from the longest retained suffix of what precedes it in its
 distribution over all training tokens, without any cut: occurrences of words that aren't broadcast get their counts through
 a shuffled join with the full word table, which grows with the corpus. Words that training text has not are told by
 a bit filter of fixed size before that join, so a word that only held-out text has is no hot key. Texts are turned
-into ids once; each depth counts on those. All counts are taken over the whole training part by distributed sums.
+into ids once; each depth counts on those, and they are scored. All counts are taken over the whole training part by distributed sums.
 
 Defined results: a null text is empty and has the end alone; a null id counts as empty text in the remainder; repeated
 rows each get their row; with no training rows every token has log probability log10(1 / 1) = 0. Other columns are
@@ -41,14 +41,14 @@ from payloom.llm.common import LOWER_TABLE, bit_filter, remainder, slices, store
 DEPTH = 5
 CONTEXTS, LEAST_CONTEXT = 8, 8
 NEXTS, LEAST_NEXT = 32, 2
-P_WORD = 2e-6
+P_WORD = 5e-7
 DIVERGENCE = 3.0
 DISCOUNT = 0.75
 END = b"\n"
 MODULUS, HELD = 7, 2
 #: Tokens that a worker counts before it hands counts on.
 FLUSH_TOKENS = 1 << 21
-FLUSH_WORDS = 300_000
+FLUSH_WORDS = 500_000
 
 
 class WordIds(dict):
@@ -161,18 +161,39 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def token_ids(texts: DataFrame, words: list[bytes]) -> DataFrame:
-    """Column body -> ids: each text's tokens as places in words, len(words) for others."""
-    shared = texts.sparkSession.sparkContext.broadcast(words)
+def tokenize(docs: DataFrame, named: list[bytes], words: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, key (tells rows apart), ids (each token's place in named, len(named) for others), rare (the others that the table
+    words has, by a bit filter), absent (how many others it surely has not)."""
+    shared = docs.sparkSession.sparkContext.broadcast((named, bit_filter(words.select(F.xxhash64("word").alias("h")), "h")))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("key"), utf8(F.col(text_col)).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(shared.value)
+        from xxhash import xxh64_intdigest
+
+        places, known = WordIds(shared.value[0]), shared.value[1]
         for batch in slices(batches):
-            flat, starts, _ = _tokens(batch.column(0).to_pylist(), ids)
-            offsets = pa.array(np.append(starts, len(flat)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))], ["ids"])
+            flat, starts, split = _tokens(batch.column(2).to_pylist(), places)
+            at = np.flatnonzero(flat == places.other)
+            text = np.searchsorted(starts, at, "right") - 1
+            found = [split[t][i] for t, i in zip(text.tolist(), (at - starts[text]).tolist(), strict=True)]
+            there = known.has(np.fromiter((xxh64_intdigest(w, 42) for w in found), np.uint64, len(found)).view(np.int64))
+            counts = np.bincount(text[there], minlength=len(split))
+            rare = pa.ListArray.from_arrays(_offsets(counts), pa.array(found, pa.binary()).filter(pa.array(there)))
+            ids = pa.ListArray.from_arrays(_offsets(np.diff(np.append(starts, len(flat)))), pa.array(flat.astype(np.int32)))
+            absent = np.bincount(text[~there], minlength=len(split))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, rare, pa.array(absent)], ["id", "key", "ids", "rare", "absent"])
+
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, key long, ids array<int>, rare array<binary>, absent long")
+
 
-    return texts.mapInArrow(run, "ids array<int>")
+def _offsets(counts: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of lists, and where each list starts."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets[:-1] - offsets[0]
 
 
 def count_next(tokens: DataFrame, tree: Tree, depth: int) -> DataFrame:
@@ -189,9 +210,8 @@ def count_next(tokens: DataFrame, tree: Tree, depth: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(code), pa.array(c)], ["code", "c"])
 
         for batch in slices(batches):
-            column = batch.column(0)
-            flat = column.flatten().to_numpy().astype(np.int64)
-            node = model.longest(flat, column.offsets.to_numpy()[:-1].astype(np.int64) - column.offsets[0].as_py(), depth)
+            flat, starts = _flat(batch.column(0))
+            node = model.longest(flat, starts, depth)
             at = (node >= low) & (node < high)
             held.append(node[at] * model.width + flat[at])
             size += len(held[-1])
@@ -201,19 +221,33 @@ def count_next(tokens: DataFrame, tree: Tree, depth: int) -> DataFrame:
         if size:
             yield rows()
 
-    return tokens.mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    return tokens.select("ids").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
 def train(docs: DataFrame, *, text_col: str = "text") -> tuple[Tree, DataFrame]:
     """The tree of the given texts, and the table of all their words (word, c)."""
-    texts = docs.select(utf8(F.col(text_col)).alias("body"))
-    words = stored(count_words(texts), "words")
+    tree, words = root_of(docs, text_col=text_col)
+    grow(tree, stored(tokenize(docs, tree.words, words, id_col=text_col, text_col=text_col).select("ids"), "tokens"))
+    return tree, words
+
+
+def root_of(docs: DataFrame, *, text_col: str = "text") -> tuple[Tree, DataFrame]:
+    """A tree of the root alone, with the words that may be named, and the table of all words."""
+    words = stored(count_words(docs.select(utf8(F.col(text_col)).alias("body"))), "words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least, named_least = max(LEAST_CONTEXT, n**0.5 / CONTEXTS), max(LEAST_NEXT, n**0.5 / NEXTS)
-    heavy = words.where(F.col("c") >= min(n * P_WORD, named_least)).orderBy(F.desc("c"), "word").toPandas()
-    tree = Tree([bytes(w) for w in heavy["word"]], heavy["c"].to_numpy(np.int64), n, v)
+    heavy = words.where(F.col("c") >= min(n * P_WORD, named_least(n))).orderBy(F.desc("c"), "word").toPandas()
+    return Tree([bytes(w) for w in heavy["word"]], heavy["c"].to_numpy(np.int64), n, v), words
+
+
+def named_least(n: int) -> float:
+    return max(LEAST_NEXT, n**0.5 / NEXTS)
+
+
+def grow(tree: Tree, tokens: DataFrame) -> None:
+    """Adds the nodes of a training part's tokens (ids) to a root."""
+    n = tree.n
+    least = max(LEAST_CONTEXT, n**0.5 / CONTEXTS)
     width, totals = tree.width, np.empty(0)
-    tokens = stored(token_ids(texts, tree.words), "tokens")
     frequent = np.flatnonzero(tree.counts >= least)  # contexts of one token, as (root, word)
     end = next((i for i, w in enumerate(tree.words) if w == END), -1)
     frequent = frequent[frequent != end]
@@ -228,7 +262,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> tuple[Tree, DataFrame]:
         tree.nodes.append(first + np.arange(len(keys)))
         tree.suffix = np.concatenate((tree.suffix, suffixes[order]))
         totals = np.concatenate((totals, total[order]))
-        counts = count_next(tokens, tree, depth).where((F.col("c") >= named_least) & (F.col("code") % width < width - 1))
+        counts = count_next(tokens, tree, depth).where((F.col("c") >= named_least(n)) & (F.col("code") % width < width - 1))
         kept = counts.toPandas()
         code, c = kept["code"].to_numpy(np.int64), kept["c"].to_numpy(np.int64)
         named["code"].append(code)
@@ -242,7 +276,6 @@ def train(docs: DataFrame, *, text_col: str = "text") -> tuple[Tree, DataFrame]:
         ok = shorter >= 0
         keys, total, suffixes = (shorter[ok] + 1) * width + older[ok, 0], c[more][ok], shorter[ok]
     _finish(tree, np.concatenate(named["code"] or [np.empty(0, np.int64)]), np.concatenate(named["c"] or [np.empty(0, np.int64)]), totals)
-    return tree, words
 
 
 def _words_of(tree: Tree, nodes: np.ndarray, depth: int) -> np.ndarray:
@@ -315,51 +348,45 @@ def _finish(tree: Tree, code: np.ndarray, c: np.ndarray, totals: np.ndarray) ->
 
 def score(docs: DataFrame, tree: Tree, words: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, base_score, score of every document."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((tree, bit_filter(words.select(F.xxhash64("word").alias("h")), "h")))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("key"), utf8(F.col(text_col)).alias("body"))
-    names = ["id", "key", "n_tokens", "known", "base", "model", "rare"]
+    tokens = stored(tokenize(docs, tree.words, words, id_col=id_col, text_col=text_col), "tokens")
+    return score_tokens(tokens, tree, words).withColumnRenamed("id", id_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
 
-        model, known = shared.value
-        ids = WordIds(model.words)
+def score_tokens(tokens: DataFrame, tree: Tree, words: DataFrame) -> DataFrame:
+    """As score, of a table that tokenize has made."""
+    shared = tokens.sparkSession.sparkContext.broadcast(tree)
+    names = ["id", "key", "n_tokens", "known", "base", "model"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         root = np.append(model.root(model.counts), 0.0)
-        absent = float(model.root(np.zeros(1))[0])
+        nothing = float(model.root(np.zeros(1))[0])
         for batch in slices(batches):
-            flat, starts, texts = _tokens(batch.column(2).to_pylist(), ids)
-            other = flat == ids.other
-            sums = [np.add.reduceat(x, starts) if len(starts) else x for x in (~other * 1, root[flat], model.log_probability(flat, starts))]
-            bounds = np.append(starts, len(flat))
-            place = np.flatnonzero(other)
-            text = np.repeat(np.arange(len(texts)), np.diff(bounds))[place]
-            found = [texts[t][i] for t, i in zip(text.tolist(), (place - bounds[text]).tolist(), strict=True)]
-            there = known.has(np.fromiter((xxh64_intdigest(w, 42) for w in found), np.uint64, len(found)).view(np.int64))
-            lost = np.bincount(text[~there], minlength=len(texts)) * absent  # words that training text has not
-            sums[1], sums[2] = sums[1] + lost, sums[2] + lost
-            rare: list[list[bytes]] = [[] for _ in texts]
-            for t, w, ok in zip(text.tolist(), found, there.tolist(), strict=True):
-                if ok:
-                    rare[t].append(w)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds)), *map(pa.array, sums), pa.array(rare, pa.list_(pa.binary()))], names)
-
-    kind = dict(rows.dtypes)["id"]
-    parts = stored(rows.mapInArrow(run, f"id {kind}, key long, n_tokens long, known long, base double, model double, rare array<binary>"), "scored")
-    seen = parts.select("key", F.posexplode("rare").alias("nth", "word")).join(words, "word", "left")
+            flat, starts = _flat(batch.column(2))
+            absent = batch.column(3).to_numpy()
+            known, base, score = (np.add.reduceat(x, starts) if len(starts) else x for x in ((flat < len(model.words)) * 1, root[flat], model.log_probability(flat, starts)))
+            sizes = np.diff(np.append(starts, len(flat)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (sizes, known, base + absent * nothing, score + absent * nothing))], names)
+
+    kind = dict(tokens.dtypes)["id"]
+    parts = tokens.select("id", "key", "ids", "absent").mapInArrow(run, f"id {kind}, key long, n_tokens long, known long, base double, model double")
+    seen = tokens.select("key", F.posexplode("rare").alias("nth", "word")).join(words, "word", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(tree.n + tree.v + 1)))
     sums = seen.groupBy("key").agg((F.sum(log) / F.count_if(F.col("nth") == 0)).alias("rare_log"), (F.count("c") / F.count_if(F.col("nth") == 0)).cast("long").alias("rare_known"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return parts.drop("rare").join(sums, "key", "left").select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("known") + zero("rare_known")).alias("n_known"), (F.col("base") + zero("rare_log")).alias("base_score"), (F.col("model") + zero("rare_log")).alias("score")
+    return parts.join(sums, "key", "left").select(
+        "id", "n_tokens", (F.col("known") + zero("rare_known")).alias("n_known"), (F.col("base") + zero("rare_log")).alias("base_score"), (F.col("model") + zero("rare_log")).alias("score")
     )
 
 
 def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder(F.col("doc_id"), MODULUS) == HELD
-    tree, words = train(docs.where(~held))
-    return score(docs, tree, words).withColumns({"held_out": held, "train_tokens": F.lit(tree.n).cast("long")}).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    tree, words = root_of(docs.where(~held))
+    tokens = stored(tokenize(docs, tree.words, words), "tokens").withColumn("held_out", remainder(F.col("id"), MODULUS) == HELD)
+    grow(tree, tokens.where("NOT held_out"))
+    found = score_tokens(tokens, tree, words).withColumnRenamed("id", "doc_id")
+    return found.withColumns({"held_out": held, "train_tokens": F.lit(tree.n).cast("long")}).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES = {"op8_suffix_tree": op8_suffix_tree}
