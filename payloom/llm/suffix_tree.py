@@ -41,14 +41,14 @@ from payloom.llm.common import LOWER_TABLE, bit_filter, remainder, slices, store
 DEPTH = 5
 CONTEXTS, LEAST_CONTEXT = 8, 8
 NEXTS, LEAST_NEXT = 32, 2
-P_WORD = 5e-7
+P_WORD = 1e-6
 DIVERGENCE = 3.0
 DISCOUNT = 0.75
 END = b"\n"
 MODULUS, HELD = 7, 2
 #: Tokens that a worker counts before it hands counts on.
 FLUSH_TOKENS = 1 << 21
-FLUSH_WORDS = 500_000
+FLUSH_WORDS = 300_000
 
 
 class WordIds(dict):
@@ -91,6 +91,12 @@ class Tree:
         node = np.full(len(ids), -1, np.int64)
         going = np.ones(len(ids), bool)
         for d in range(min(depth, len(self.keys))):
+            if d == 0:  # contexts of one word by a table, not by search
+                table = np.full(self.width, -1, np.int64)
+                table[self.keys[0] % self.width] = self.nodes[0]
+                node[1:] = np.where(place[1:] > 0, table[ids[:-1]], -1)
+                going = node >= 0
+                continue
             at = np.flatnonzero(going & (place > d))
             key = (node[at] + 1) * self.width + ids[at - d - 1]
             slot = np.searchsorted(self.keys[d], key)
