@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,16 +12,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python operator turns into Python objects at once.
+#: Rows, and bytes (but for a single row of more), that a Python operator turns into Python objects at once.
 SLICE_ROWS = 256
+SLICE_BYTES = 64 << 20
+
+_MADE: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (where unset, as in tests) a new temp folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (where unset, as in tests) a new temp folder.
+
+    Without a local master there must be such a folder: executors don't share the driver's temp folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
         root = sc.getCheckpointDir()
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not root:
             root = tempfile.mkdtemp(prefix="payloom-")
             sc.setCheckpointDir(root)
@@ -29,8 +37,10 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; clean() removes it."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -40,6 +50,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes what stored() and shared_path() have made in this session; their readers must have ended."""
+    jvm = spark.sparkContext._jvm
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,14 +78,19 @@ def remainder(id_col: Column, modulus: int) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of few rows, so that few long texts are Python objects at a time."""
+    """The batches in slices of few rows and few bytes, so that few long texts are Python objects at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            yield from _halved(batch.slice(at, rows))
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def _halved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows > 1 and batch.nbytes > SLICE_BYTES:
+        half = batch.num_rows // 2
+        yield from _halved(batch.slice(0, half))
+        yield from _halved(batch.slice(half))
+    else:
+        yield batch
 
 
 #: Bytes of a lower-cased word or 32: A-Z become a-z; a-z, 0-9 and bytes from 0x80 stay.
