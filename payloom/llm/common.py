@@ -100,7 +100,7 @@ LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 #: Bits of a filter that picks rows by a long; a false hit only costs time.
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
 
 
 @dataclass

@@ -216,8 +216,8 @@ TILE = 2048
 #: Blocks of so many texts at most are compared many at a time.
 SMALL = 64
 _BAND = 32
-FLUSH_HASHES = 1 << 21
-CACHE = 500_000
+FLUSH_HASHES = 1 << 20
+CACHE = 100_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -342,7 +342,7 @@ def prefix_rows(texts: DataFrame, reps: Bits, common: np.ndarray, keys: Bits | N
             return pa.RecordBatch.from_arrays([_signed(key), pa.array(c)], ["key", "c"])
 
         for some, last in sets(batches):
-            held += [prefix(s, last, similarity) for s in some]
+            held += [prefix(s, last, similarity).copy() for s in some]  # not views, which would keep whole sets
             size += sum(map(len, held[len(held) - len(some) :]))
             if size > FLUSH_HASHES:
                 yield rows()

@@ -49,7 +49,7 @@ SEED = 7
 THRESHOLD = 0.3
 MODULUS, HELD = 4, 2
 #: Words whose column a worker remembers at most.
-CACHE = 500_000
+CACHE = 100_000
 
 
 class Terms(dict):
