@@ -211,8 +211,10 @@ CANDIDATE = 48
 #: A shingle with more than this share of all shingles, so one of 1 / COMMON at most, comes last in every text's order.
 COMMON = 1e-6
 LEAST_COMMON = 64
-#: Texts of a block in one tile, and tiles of a chunk's visits in one key.
+#: Texts of a block in one tile.
 TILE = 2048
+#: Shingles of a prefix that make the first blocks.
+FIRST = 4
 #: Blocks of so many texts at most are compared many at a time.
 SMALL = 64
 _BAND = 32
@@ -323,57 +325,40 @@ def common_shingles(prints: DataFrame) -> np.ndarray:
     return np.sort(got.view(np.uint64))
 
 
-def prefix_rows(texts: DataFrame, reps: Bits, common: np.ndarray, keys: Bits | None, similarity: float, shingle_words: int) -> DataFrame:
-    """The prefixes of the texts that reps lets through: (key, c) counted within a task, or, where keys are given, (key, node, n, a, b) of those that keys lets through."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((reps, common, keys))
+def prefixes(texts: DataFrame, reps: Bits, common: np.ndarray, similarity: float, shingle_words: int) -> DataFrame:
+    """(content, body) -> node, n, a, b, keys (the prefix) of the texts that reps lets through."""
+    shared = texts.sparkSession.sparkContext.broadcast((reps, common))
 
-    def sets(batches: Iterator[pa.RecordBatch]):
-        words, (wanted, last, _) = WordHashes(), shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, (wanted, last) = WordHashes(), shared.value
         for batch in slices(batches):
             batch = batch.filter(pa.array(wanted.has(batch.column(0).to_numpy())))
-            yield [shingle_set(t, words, shingle_words) for t in batch.column(1).to_pylist()], last
+            sets = [shingle_set(t, words, shingle_words) for t in batch.column(1).to_pylist()]
+            keys = [prefix(x, last, similarity) for x in sets]
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
+            flat = np.concatenate([np.empty(0, np.uint64), *keys])
+            nodes = pa.array([md5(x.tobytes(), usedforsecurity=False).digest() for x in sets], pa.binary())
+            a, b = (_signed(np.array([majority(remixed(x, i)) for x in sets], np.uint64)) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([nodes, pa.array([len(x) for x in sets], pa.int64()), a, b, pa.ListArray.from_arrays(offsets, _signed(flat))], ["node", "n", "a", "b", "keys"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    return texts.select("content", "body").mapInArrow(run, "node binary, n long, a long, b long, keys array<long>")
 
-        def rows() -> pa.RecordBatch:
-            key, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([_signed(key), pa.array(c)], ["key", "c"])
 
-        for some, last in sets(batches):
-            held += [prefix(s, last, similarity).copy() for s in some]  # not views, which would keep whole sets
-            size += sum(map(len, held[len(held) - len(some) :]))
-            if size > FLUSH_HASHES:
-                yield rows()
-                held, size = [], 0
-        if size:
-            yield rows()
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some, last in sets(batches):
-            for s in some:
-                key = prefix(s, last, similarity).view(np.int64)
-                key = key[shared.value[2].has(key)]
-                if len(key):
-                    k = len(key)
-                    node = pa.array([md5(s.tobytes(), usedforsecurity=False).digest()] * k, pa.binary())
-                    a, b = (np.full(k, majority(remixed(s, i)), np.uint64) for i in (1, 2))
-                    yield pa.RecordBatch.from_arrays([pa.array(key), node, pa.array(np.full(k, len(s))), _signed(a), _signed(b)], ["key", "node", "n", "a", "b"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in place(batches):
-            held.append(batch)
-            size += batch.num_rows
-            if size > 1 << 15:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+def chosen_keys(rows: DataFrame, keys: Bits) -> DataFrame:
+    """(node, n, a, b, group, keys) -> (key, node, n, a, b, group), a row for each key that the filter lets through."""
+    shared = rows.sparkSession.sparkContext.broadcast(keys)
+    names = ["node", "n", "a", "b", "group"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            column = batch.column(5)
+            flat = column.flatten().to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+            let = shared.value.has(flat)
+            at = pa.array(owner[let])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[let]), *(batch.column(i).take(at) for i in range(5))], ["key", *names])
 
-    rows = texts.select("content", "body")
-    return rows.mapInArrow(count, "key long, c long") if keys is None else rows.mapInArrow(joined, "key long, node binary, n long, a long, b long")
+    return rows.select(*names, "keys").mapInArrow(run, "key long, node binary, n long, a long, b long, group long")
 
 
 def tiled(rows: DataFrame, similarity: float) -> DataFrame:
@@ -389,7 +374,7 @@ def tiled(rows: DataFrame, similarity: float) -> DataFrame:
         hot(F.pmod(F.xxhash64("node"), F.col("n_salts"))).alias("salt"), F.struct(*fields).alias("one"),
     )
     keys = ["key", "size", "band", "salt"]
-    return placed.repartition(*keys).groupBy(*keys).agg(F.max("n_salts").alias("n_salts"), F.collect_set("one").alias("all"))
+    return placed.repartition(*keys).groupBy(*keys).agg(F.max("n_salts").alias("n_salts"), F.sort_array(F.collect_set("one")).alias("all"))
 
 
 def tile_pairs(tiles: DataFrame) -> DataFrame:
@@ -425,24 +410,24 @@ class _Rows:
         return i[keep], j[keep], far[keep]
 
 
-def _nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each i its nearest j, the first of equals."""
     order = np.lexsort((j, far, i))
-    i, j = i[order], j[order]
+    i, j, far = i[order], j[order], far[order]
     first = np.append(True, i[1:] != i[:-1])[: len(i)]
-    return i[first], j[first]
+    return i[first], j[first], far[first]
 
 
 def candidates(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(all, from_all) -> (u, v): pairs of nodes within the candidate radius and of fitting sizes, by exclusive-or and bit counts.
+    """(all, from_all) -> (u, v, far): pairs of nodes within the candidate radius and of fitting sizes, by exclusive-or and bit counts.
 
     Where nodes have a group, all pairs of different groups are given; else, for each node of a tile or pair of tiles, only its
     nearest earlier node, so that a large group of near copies gives no square of pairs.
     """
     grouped = "group" in pairs.schema["all"].dataType.elementType.names
 
-    def given(x: _Rows, i: np.ndarray, y: _Rows, j: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([x.node.take(pa.array(i)), y.node.take(pa.array(j))], ["u", "v"])
+    def given(x: _Rows, i: np.ndarray, y: _Rows, j: np.ndarray, far: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([x.node.take(pa.array(i)), y.node.take(pa.array(j)), pa.array(far.astype(np.int32))], ["u", "v", "far"])
 
     def big(x: _Rows, y: _Rows | None) -> Iterator[pa.RecordBatch]:
         other = y or x
@@ -455,9 +440,9 @@ def candidates(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 i, j = i[j < i], j[j < i]
             i, j, some = x.near(i, other, j, similarity)
             if not grouped:
-                i, j = _nearest(i, j, some)
+                i, j, some = _nearest(i, j, some)
             if len(i):
-                yield given(x, i, other, j)
+                yield given(x, i, other, j, some)
 
     def small(x: _Rows, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         place = np.arange(len(x.n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -468,9 +453,9 @@ def candidates(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         if found:
             i, j, far = map(np.concatenate, zip(*found, strict=True))
             if not grouped:
-                i, j = _nearest(i, j, far)
+                i, j, far = _nearest(i, j, far)
             if len(i):
-                yield given(x, i, x, j)
+                yield given(x, i, x, j, far)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
@@ -482,7 +467,7 @@ def candidates(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             for k in np.flatnonzero(~few).tolist():
                 yield from big(_Rows(whole[k].values), _Rows(other[k].values) if other[k].is_valid else None)
 
-    return pairs.mapInArrow(compare, "u binary, v binary")
+    return pairs.mapInArrow(compare, "u binary, v binary, far int")
 
 
 def verified(found: DataFrame, reps: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
@@ -519,20 +504,23 @@ def verified(found: DataFrame, reps: DataFrame, texts: DataFrame, similarity: fl
 def similar_links(reps: DataFrame, texts: DataFrame, common: np.ndarray, similarity: float = SIMILARITY, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
     """reps (node, first), texts (content, body) -> (u, v): links that connect nodes of `similarity` or more.
 
-    Nearest candidates of each block are verified and connected first; then all candidates between the groups so made are.
+    First each node's nearest in the blocks of its first FIRST shingles is verified, and what links is connected: that is nearly
+    all of each group of near copies. Then all shingles of the prefixes count, but only in blocks where different groups
+    meet, and all candidates between groups are verified. So no link between different groups is lost.
     """
     chosen = bit_filter(reps.select(F.col("first.content").alias("content")), "content")
-    counts = prefix_rows(texts, chosen, common, None, similarity, shingle_words).groupBy("key").agg(F.sum("c").alias("n_key")).where("n_key > 1")
-    counts = stored(counts, "keys")
-    rows = prefix_rows(texts, chosen, common, bit_filter(counts, "key"), similarity, shingle_words).join(counts, "key")
-    tiles = stored(tiled(rows, similarity).where("n_salts > 1 OR size(all) > 1"), "tiles")
-    first = stored(verified(candidates(tile_pairs(tiles), similarity), reps, texts, similarity, shingle_words), "links")
+    found = stored(prefixes(texts, chosen, common, similarity, shingle_words), "prefixes")
+    rows = found.select("node", "n", "a", "b", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("n_key")).where("n_key > 1")
+    tiles = stored(tiled(rows.join(counts, "key"), similarity), "tiles")
+    near = candidates(tile_pairs(tiles), similarity).groupBy("u").agg(F.min(F.struct("far", "v")).alias("one")).select("u", F.col("one.v").alias("v"))
+    first = stored(verified(near, reps, texts, similarity, shingle_words), "links")
     roots = connected(first).withColumnRenamed("node", "linked")
-    sizes = tiles.select("key", F.size("all").alias("n"), F.explode("all").alias("one")).select("key", "one.*")
-    grouped = sizes.join(roots, F.col("node") == F.col("linked"), "left").select("key", "node", "n", "a", "b", F.xxhash64(F.coalesce("root", "node")).alias("group"))
-    mixed = stored(grouped, "grouped")
-    blocks = mixed.groupBy("key").agg(F.count("*").alias("n_key"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key", "n_key")
-    again = stored(tiled(mixed.join(blocks, "key"), similarity), "tiles")
+    groups = reps.join(roots, F.col("node") == F.col("linked"), "left").select("node", F.xxhash64(F.coalesce("root", "node")).alias("group"))
+    grouped = stored(found.join(groups, "node"), "grouped")
+    blocks = grouped.select(F.explode("keys").alias("key"), "group").groupBy("key").agg(F.count("*").alias("n_key"), F.min("group").alias("low"), F.max("group").alias("high"))
+    blocks = stored(blocks.where("low <> high").select("key", "n_key"), "keys")
+    again = stored(tiled(chosen_keys(grouped, bit_filter(blocks, "key")).join(blocks, "key"), similarity), "tiles")
     return first.union(verified(candidates(tile_pairs(again), similarity), reps, texts, similarity, shingle_words))
 
 
