@@ -15,15 +15,25 @@ from pyspark.sql import functions as F
 #: Rows, and bytes (but for a single row of more), that a Python operator turns into Python objects at once.
 SLICE_ROWS = 256
 SLICE_BYTES = 64 << 20
+#: What Spark puts into one Arrow batch for a Python worker, set for the session where it has no setting of its own: its
+#: usual 10,000 long texts a batch take most of a small executor's memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(16 << 20))}
 
 _MADE: dict[str, list[str]] = {}
 
 
+def bound_batches(spark: SparkSession) -> None:
+    for key, (usual, value) in BATCH.items():
+        if spark.conf.get(key, usual) in (usual, str(256 << 20), str((1 << 31) - 1), "-1"):
+            spark.conf.set(key, value)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or (where unset, as in tests) a new temp folder.
 
     Without a local master there must be such a folder: executors don't share the driver's temp folder.
     """
+    bound_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
@@ -59,6 +69,7 @@ def clean(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
