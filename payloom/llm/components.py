@@ -5,8 +5,9 @@ stars around their smallest node after about log rounds. Each round is written t
 short and a lost executor costs one round at most. Nothing is collected but two numbers a round.
 
 The centre of a large star is one key with very many edges. Nodes with over 1 / `HOT` of all edges (so fewer than HOT of
-them) are broadcast with their smallest neighbour, so their edges stay where they are; only edges of other nodes are
-dealt out by node.
+them) come to the driver and are broadcast with their smallest neighbour, so their edges stay where they are; only edges
+of other nodes are dealt out by node. Other joins are sort-merge joins by hint: small tables of binary keys
+would each take a page of 64 MB of the driver to broadcast.
 """
 
 from __future__ import annotations
@@ -16,20 +17,24 @@ from pyspark.sql import functions as F
 
 from payloom.llm.common import stored
 
-#: A key with more than 1 / HOT of all rows is hot.
+#: A key with more than 1 / HOT of all rows, and LEAST_HOT at least, is hot.
 HOT = 512
+LEAST_HOT = 256
 
 
-def split_join(rows: DataFrame, one: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+def split_join(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
     """rows joined with one (unique by key, with cnt: how many rows each key has, out of total).
 
-    Keys with more than total / HOT rows, fewer than HOT, are joined by broadcast; the others by shuffle.
+    Hot keys, fewer than HOT, are joined by broadcast; the others by shuffle. one is stored, as it is read twice.
     """
-    hot = F.col("cnt") * HOT > total
-    few = F.broadcast(one.where(hot).drop("cnt"))
-    names = F.broadcast(one.where(hot).select(key))
-    rest = rows.join(names, key, "left_anti").join(one.where(~hot).drop("cnt"), key, how)
-    return rows.join(few, key).unionByName(rest)
+    one = stored(one, "one")
+    found = one.where((F.col("cnt") * HOT > total) & (F.col("cnt") >= LEAST_HOT)).drop("cnt").collect()
+    if not found:
+        return rows.join(one.drop("cnt").hint("merge"), key)
+    few = F.broadcast(rows.sparkSession.createDataFrame(found, one.drop("cnt").schema))
+    hot = F.col(key).isin([r[key] for r in found])
+    rest = rows.where(~hot).join(one.drop("cnt").where(~hot).hint("merge"), key)
+    return rows.where(hot).join(few, key).unionByName(rest)
 
 
 def _round(edges: DataFrame, total: int) -> DataFrame:

@@ -187,7 +187,7 @@ def _groups(prints: DataFrame, key: str, link: Callable[[DataFrame], DataFrame])
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("content"))).alias("first")
     reps = stored(prints.groupBy(key).agg(first, F.count("*").alias("cnt")), "reps")
     roots = connected(link(reps)).withColumnRenamed("node", "linked")
-    rooted = stored(reps.join(roots, F.col(key) == F.col("linked"), "left").select(key, F.coalesce("root", key).alias("root"), "first", F.col("cnt").alias("rows")), "rooted")
+    rooted = stored(reps.join(roots.hint("merge"), F.col(key) == F.col("linked"), "left").select(key, F.coalesce("root", key).alias("root"), "first", F.col("cnt").alias("rows")), "rooted")
     best = rooted.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("cnt"))
     named = split_join(rooted.drop("first"), best, "root", rooted.count())
     return named.select(key, F.col("first.id").alias("component_id"), F.col("first.content").alias("keep_content"), F.col("rows").alias("cnt"))
@@ -478,7 +478,7 @@ def verified(found: DataFrame, reps: DataFrame, texts: DataFrame, similarity: fl
     """
     found = stored(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
     asked = found.select(F.col("u").alias("node")).union(found.select(F.col("v").alias("node"))).distinct()
-    asked = stored(asked.join(reps.select("node", F.col("first.content").alias("content")), "node"), "asked")
+    asked = stored(asked.join(reps.select("node", F.col("first.content").alias("content")).hint("merge"), "node"), "asked")
     shared = found.sparkSession.sparkContext.broadcast(bit_filter(asked, "content"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -496,9 +496,9 @@ def verified(found: DataFrame, reps: DataFrame, texts: DataFrame, similarity: fl
                 good.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    known = stored(texts.select("content", "body").mapInArrow(sets, "content long, shingles binary").join(asked, "content").select("node", "shingles").dropDuplicates(["node"]), "sets")
+    known = stored(texts.select("content", "body").mapInArrow(sets, "content long, shingles binary").join(asked.hint("merge"), "content").select("node", "shingles").dropDuplicates(["node"]), "sets")
     ends = [known.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "uv"]
-    return found.join(ends[0], "u").join(ends[1], "v").select("u", "v", "of_u", "of_v").mapInArrow(jaccard, "u binary, v binary")
+    return found.join(ends[0].hint("merge"), "u").join(ends[1].hint("merge"), "v").select("u", "v", "of_u", "of_v").mapInArrow(jaccard, "u binary, v binary")
 
 
 def similar_links(reps: DataFrame, texts: DataFrame, common: np.ndarray, similarity: float = SIMILARITY, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
@@ -516,8 +516,8 @@ def similar_links(reps: DataFrame, texts: DataFrame, common: np.ndarray, similar
     near = candidates(tile_pairs(tiles), similarity).groupBy("u").agg(F.min(F.struct("far", "v")).alias("one")).select("u", F.col("one.v").alias("v"))
     first = stored(verified(near, reps, texts, similarity, shingle_words), "links")
     roots = connected(first).withColumnRenamed("node", "linked")
-    groups = reps.join(roots, F.col("node") == F.col("linked"), "left").select("node", F.xxhash64(F.coalesce("root", "node")).alias("group"))
-    grouped = stored(found.join(groups, "node"), "grouped")
+    groups = reps.join(roots.hint("merge"), F.col("node") == F.col("linked"), "left").select("node", F.xxhash64(F.coalesce("root", "node")).alias("group"))
+    grouped = stored(found.join(groups.hint("merge"), "node"), "grouped")
     blocks = grouped.select(F.explode("keys").alias("key"), "group").groupBy("key").agg(F.count("*").alias("n_key"), F.min("group").alias("low"), F.max("group").alias("high"))
     blocks = stored(blocks.where("low <> high").select("key", "n_key"), "keys")
     again = stored(tiled(chosen_keys(grouped, bit_filter(blocks, "key")).join(blocks, "key"), similarity), "tiles")
@@ -532,7 +532,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found = _groups(prints.where("node IS NOT NULL"), "node", lambda reps: similar_links(reps, texts, common, similarity, shingle_words))
     kept = found.select(F.col("component_id").alias("__id"), F.col("keep_content").alias("__content")).distinct()
     rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__key"), content(id_col, text_col).alias("__own"))
-    joined = rows.join(kept, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__content")))
+    joined = rows.join(kept.hint("merge"), F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__content")))
     nth = F.row_number().over(Window.partitionBy("__key", "__own").orderBy(F.lit(0)))
     return joined.withColumn("__nth", nth).where("__nth = 1").select("__row.*")
 
