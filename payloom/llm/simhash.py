@@ -17,7 +17,8 @@ meet in the blocks of those shingles and nowhere else; no pair is lost there. Sh
 in the order, so a common passage makes no large block unless texts consist of it. Within a block 128-bit fingerprints are
 compared by exclusive-or and bit counts, large blocks in tiles of like size and population count, of which only fitting
 pairs meet, each pair a unit of work. Candidates differ in CANDIDATE bits at most, which loses a pair of similarity 0.8
-with a probability below one in a million; every candidate is verified by its sets before it links.
+with a probability below one in a million. Tiles give spanning forests of candidates; within each component of those all
+pairs are verified by their sets, in cells of CELL texts, before anything links, so no row is made for a pair as such.
 
 Defined results: null and wordless texts have fingerprint zero and link like others; fewer words than a shingle are one
 shingle; component_id is the smallest id reached, ignoring nulls (null if there are only null ids); repeated rows each
@@ -215,6 +216,8 @@ LEAST_COMMON = 64
 TILE = 2048
 #: Shingles of a prefix that make the first blocks.
 FIRST = 4
+#: Nodes of a cell in which sets are compared exactly, and shingles of them at once.
+CELL, COLUMNS = 512, 8192
 #: Blocks of so many texts at most are compared many at a time.
 SMALL = 64
 _BAND = 32
@@ -401,61 +404,46 @@ class _Rows:
         grouped = any(f.name == "group" for f in values.type)
         self.group = values.field("group").to_numpy() if grouped else None
 
-    def near(self, i: np.ndarray, other: _Rows, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the pairs (i, j) those that can be similar, with their differing bits."""
+    def near(self, i: np.ndarray, other: _Rows, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs (i, j) those that can be similar."""
         far = np.bitwise_count(self.a[i] ^ other.a[j]) + np.bitwise_count(self.b[i] ^ other.b[j])
         keep = (far <= CANDIDATE) & (np.minimum(self.n[i], other.n[j]) >= similarity * np.maximum(self.n[i], other.n[j]) - 1e-9)
         if self.group is not None:
             keep &= self.group[i] != other.group[j]
-        return i[keep], j[keep], far[keep]
-
-
-def _nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each i its nearest j, the first of equals."""
-    order = np.lexsort((j, far, i))
-    i, j, far = i[order], j[order], far[order]
-    first = np.append(True, i[1:] != i[:-1])[: len(i)]
-    return i[first], j[first], far[first]
+        return i[keep], j[keep]
 
 
 def candidates(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(all, from_all) -> (u, v, far): pairs of nodes within the candidate radius and of fitting sizes, by exclusive-or and bit counts.
-
-    Where nodes have a group, all pairs of different groups are given; else, for each node of a tile or pair of tiles, only its
-    nearest earlier node, so that a large group of near copies gives no square of pairs.
-    """
-    grouped = "group" in pairs.schema["all"].dataType.elementType.names
+    """(all, from_all) -> (u, v): a spanning forest of the pairs within the candidate radius and of fitting sizes, found by
+    exclusive-or and bit counts; where nodes have a group, of the pairs between different groups. Never all pairs."""
 
-    def given(x: _Rows, i: np.ndarray, y: _Rows, j: np.ndarray, far: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([x.node.take(pa.array(i)), y.node.take(pa.array(j)), pa.array(far.astype(np.int32))], ["u", "v", "far"])
+    def given(nodes: pa.Array, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        root = forest(len(nodes), i, j)
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        if len(moved):
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(moved)), nodes.take(pa.array(root[moved]))], ["u", "v"])
 
     def big(x: _Rows, y: _Rows | None) -> Iterator[pa.RecordBatch]:
-        other = y or x
+        other, shift = (x, 0) if y is None else (y, len(x.n))
+        nodes = x.node if y is None else pa.concat_arrays([x.node, y.node])
+        root = np.arange(len(nodes))
         step = max(1, (1 << 20) // max(1, len(other.n)))
         for at in range(0, len(x.n), step):
             far = np.bitwise_count(x.a[at : at + step, None] ^ other.a[None, :]) + np.bitwise_count(x.b[at : at + step, None] ^ other.b[None, :])
             i, j = np.nonzero(far <= CANDIDATE)
-            i += at
-            if y is None:
-                i, j = i[j < i], j[j < i]
-            i, j, some = x.near(i, other, j, similarity)
-            if not grouped:
-                i, j, some = _nearest(i, j, some)
-            if len(i):
-                yield given(x, i, other, j, some)
+            i, j = x.near(i + at, other, j, similarity)
+            moved = np.flatnonzero(root != np.arange(len(nodes)))
+            root = forest(len(nodes), np.concatenate((i, moved)), np.concatenate((j + shift, root[moved])))
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        yield from given(nodes, moved, root[moved])
 
     def small(x: _Rows, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         place = np.arange(len(x.n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        found = []
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         for d in range(1, int(sizes.max(initial=0))):
             i = np.flatnonzero(place >= d)
             found.append(x.near(i, x, i - d, similarity))
-        if found:
-            i, j, far = map(np.concatenate, zip(*found, strict=True))
-            if not grouped:
-                i, j, far = _nearest(i, j, far)
-            if len(i):
-                yield given(x, i, x, j, far)
+        yield from given(x.node, *map(np.concatenate, zip(*found, strict=True)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
@@ -467,19 +455,39 @@ def candidates(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             for k in np.flatnonzero(~few).tolist():
                 yield from big(_Rows(whole[k].values), _Rows(other[k].values) if other[k].is_valid else None)
 
-    return pairs.mapInArrow(compare, "u binary, v binary, far int")
+    return pairs.mapInArrow(compare, "u binary, v binary")
+
+
+def shared_counts(sets: list[np.ndarray], cut: int) -> np.ndarray:
+    """How many members each of the first `cut` sets shares with each of the others (cut 0: each with each), by products of 0/1 columns."""
+    sizes = np.array([len(x) for x in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    owner, often = np.repeat(np.arange(len(sets)), sizes), times[place] > 1
+    owner, column = owner[often], number[place[often]]
+    out = np.zeros((cut or len(sets), len(sets) - cut))
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        some = (column >= low) & (column < low + COLUMNS)
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[owner[some], column[some] - low] = 1
+        out += x[: cut or len(sets)] @ x[cut:].T
+    return out
 
 
-def verified(found: DataFrame, reps: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have a Jaccard similarity of `similarity` or more.
+def verified(roots: DataFrame, reps: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """(u, v): links that connect the nodes whose shingle sets have a Jaccard similarity of `similarity` or more.
 
-    found: pairs of nodes; reps: (node, first.content); texts: (content, body). Sets are made again, and only of texts that
-    a bit filter of fixed size lets through, so no set is stored or shuffled that no pair asks for.
+    roots: (node, root), components of candidates; reps: (node, first.content); texts: (content, body). Components are dealt into
+    cells of CELL nodes; each pair of cells of a component is compared exactly, all its sets at once, and gives a
+    spanning forest. Sets are made again, of texts that a bit filter of fixed size lets through, and go once to each pair of cells.
     """
-    found = stored(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
-    asked = found.select(F.col("u").alias("node")).union(found.select(F.col("v").alias("node"))).distinct()
-    asked = stored(asked.join(reps.select("node", F.col("first.content").alias("content")).hint("merge"), "node"), "asked")
-    shared = found.sparkSession.sparkContext.broadcast(bit_filter(asked, "content"))
+    members = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = stored(members, "members")
+    sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.count("*").alias("cnt"))
+    cells = F.ceil(F.col("m") / CELL).cast("int")
+    placed = split_join(members, sizes, "root", members.count()).select("node", "root", cells.alias("cells"), F.pmod(F.xxhash64("node"), cells).cast("int").alias("cell"))
+    asked = stored(placed.join(reps.select("node", F.col("first.content").alias("content")).hint("merge"), "node"), "asked")
+    shared = texts.sparkSession.sparkContext.broadcast(bit_filter(asked, "content"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -488,40 +496,47 @@ def verified(found: DataFrame, reps: DataFrame, texts: DataFrame, similarity: fl
             made = [shingle_set(t, words, shingle_words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["content", "shingles"])
 
-    def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                good.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9)
-            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    known = stored(texts.select("content", "body").mapInArrow(sets, "content long, shingles binary").join(asked.hint("merge"), "content").select("node", "shingles").dropDuplicates(["node"]), "sets")
-    ends = [known.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "uv"]
-    return found.join(ends[0].hint("merge"), "u").join(ends[1].hint("merge"), "v").select("u", "v", "of_u", "of_v").mapInArrow(jaccard, "u binary, v binary")
+    def compare(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks().sort_by([("cell", "ascending"), ("node", "ascending")])
+        found = [np.frombuffer(x, np.uint64) for x in cell["shingles"].to_pylist()]
+        first = cell["cell"].to_numpy()
+        cut = int((first == first[0]).sum()) % len(first)  # 0: a cell with itself
+        n = np.array([len(x) for x in found])
+        both = shared_counts(found, cut)
+        i, j = np.nonzero(both >= similarity * (n[: cut or len(n), None] + n[None, cut:] - both) - 1e-9)
+        root = forest(len(n), i, j + cut)
+        moved = np.flatnonzero(root != np.arange(len(n)))
+        nodes = cell["node"].combine_chunks()
+        return pa.table([nodes.take(pa.array(moved)), nodes.take(pa.array(root[moved]))], names=["u", "v"])
+
+    made = texts.select("content", "body").mapInArrow(sets, "content long, shingles binary").join(asked.hint("merge"), "content").dropDuplicates(["node"])
+    own = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
+    several = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda o: F.struct(F.least(o, F.col("cell")).alias("low"), F.greatest(o, F.col("cell")).alias("high")))
+    visits = made.withColumn("pair", F.explode(F.when(F.col("cells") > 1, several).otherwise(own)))
+    return visits.select("root", "pair", "cell", "node", "shingles").groupBy("root", "pair").applyInArrow(compare, "u binary, v binary")
 
 
 def similar_links(reps: DataFrame, texts: DataFrame, common: np.ndarray, similarity: float = SIMILARITY, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
     """reps (node, first), texts (content, body) -> (u, v): links that connect nodes of `similarity` or more.
 
-    First each node's nearest in the blocks of its first FIRST shingles is verified, and what links is connected: that is nearly
-    all of each group of near copies. Then all shingles of the prefixes count, but only in blocks where different groups
-    meet, and all candidates between groups are verified. So no link between different groups is lost.
+    Candidates are connected first, by the blocks of each text's first FIRST shingles, which is nearly all of each group of near
+    copies; then by all shingles of the prefixes, but only in blocks where different groups meet. Every pair of
+    similar texts so ends in one component of candidates, and all pairs of a component are verified.
     """
     chosen = bit_filter(reps.select(F.col("first.content").alias("content")), "content")
     found = stored(prefixes(texts, chosen, common, similarity, shingle_words), "prefixes")
     rows = found.select("node", "n", "a", "b", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
     counts = rows.groupBy("key").agg(F.count("*").alias("n_key")).where("n_key > 1")
     tiles = stored(tiled(rows.join(counts, "key"), similarity), "tiles")
-    near = candidates(tile_pairs(tiles), similarity).groupBy("u").agg(F.min(F.struct("far", "v")).alias("one")).select("u", F.col("one.v").alias("v"))
-    first = stored(verified(near, reps, texts, similarity, shingle_words), "links")
-    roots = connected(first).withColumnRenamed("node", "linked")
-    groups = reps.join(roots.hint("merge"), F.col("node") == F.col("linked"), "left").select("node", F.xxhash64(F.coalesce("root", "node")).alias("group"))
+    first = connected(candidates(tile_pairs(tiles), similarity))
+    roots = first.withColumnRenamed("node", "linked").hint("merge")
+    groups = reps.join(roots, F.col("node") == F.col("linked"), "left").select("node", F.xxhash64(F.coalesce("root", "node")).alias("group"))
     grouped = stored(found.join(groups.hint("merge"), "node"), "grouped")
     blocks = grouped.select(F.explode("keys").alias("key"), "group").groupBy("key").agg(F.count("*").alias("n_key"), F.min("group").alias("low"), F.max("group").alias("high"))
     blocks = stored(blocks.where("low <> high").select("key", "n_key"), "keys")
     again = stored(tiled(chosen_keys(grouped, bit_filter(blocks, "key")).join(blocks, "key"), similarity), "tiles")
-    return first.union(verified(candidates(tile_pairs(again), similarity), reps, texts, similarity, shingle_words))
+    links = candidates(tile_pairs(again), similarity).union(first.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    return verified(connected(links), reps, texts, similarity, shingle_words)
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:

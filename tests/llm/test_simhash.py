@@ -117,6 +117,8 @@ def smallest_of_groups(sets):
 def test_large_blocks_against_brute_force(spark, monkeypatch):
     """Many texts around few originals, and a passage that all texts share: blocks of many tiles."""
     monkeypatch.setattr(S, "TILE", 8)
+    monkeypatch.setattr(S, "CELL", 16)
+    monkeypatch.setattr(S, "COLUMNS", 64)
     monkeypatch.setattr(S, "LEAST_COMMON", 10_000)
     rng = random.Random(3)
     fresh = iter(range(10**6)).__next__
