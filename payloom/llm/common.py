@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -93,6 +95,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield from _halved(batch.slice(at, rows))
+    release()
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system, as worker processes live on."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _halved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
