@@ -46,6 +46,23 @@ def _count(data: np.ndarray, left: np.ndarray, n: int) -> tuple[np.ndarray, np.n
         else:
             code, counts = np.unique(code, return_counts=True)
         return code.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - n :], counts
+    # words of 8 bytes (the last overlaps), grouped by a hash of them that is checked
+    parts = []
+    for low in [*range(0, n - 8, 8), n - 8]:
+        code = np.zeros(len(at), np.uint64)
+        for k in range(low, low + 8):
+            code = code << np.uint64(8) | data[at + k]
+        parts.append(code)
+    mixed = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for code in parts:
+            mixed = (mixed ^ code) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+    order = np.argsort(mixed)
+    new = np.append(True, mixed[order][1:] != mixed[order][:-1])[: len(at)]
+    if all(((code[order][1:] == code[order][:-1]) | new[1:]).all() for code in parts):
+        first = np.flatnonzero(new)
+        return data[at[order[first]][:, None] + np.arange(n)], np.diff(np.append(first, len(at)))
     rows = np.ascontiguousarray(data[at[:, None] + np.arange(n)])
     found, counts = np.unique(rows.view(f"V{n}").ravel(), return_counts=True) if len(rows) else (np.empty(0, f"V{n}"), np.empty(0, np.int64))
     return found.view(np.uint8).reshape(-1, n), counts

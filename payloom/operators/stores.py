@@ -9,7 +9,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payloom.functions.hashing import fnv64_halves, spots
@@ -59,6 +59,10 @@ class GramStore(ABC):
     def _counters(self, counts: DataFrame) -> DataFrame:
         """(n, g, cnt) -> (n, address, cnt)."""
 
+    def _deletable(self, counts: DataFrame) -> DataFrame:
+        """Of the grams to be taken away those that may be."""
+        return counts
+
     @abstractmethod
     def find(self, grams: DataFrame) -> DataFrame:
         """(n, g) distinct -> (n, g, found)."""
@@ -74,8 +78,11 @@ class GramStore(ABC):
         return self._with(self._sum(self.table.unionByName(self._counters(gram_counts(df, self.low, self.high, payload=payload)))))
 
     def delete(self, df: DataFrame, payload: str = "payload") -> GramStore:
-        """Takes grams away; counters stop at zero and those that are saturated stay."""
-        gone = self._counters(gram_counts(df, self.low, self.high, payload=payload)).withColumn("cnt", -F.col("cnt"))
+        """Takes grams away; counters stop at zero and those that are saturated stay.
+
+        A filter first looks every gram up and leaves those alone that it has fewer of: their counters belong to others.
+        """
+        gone = self._counters(self._deletable(gram_counts(df, self.low, self.high, payload=payload))).withColumn("cnt", -F.col("cnt"))
         kept = self.table.withColumn("full", F.col("cnt") >= COUNTER_MAX).unionByName(gone.withColumn("full", F.lit(False)))
         summed = kept.groupBy("n", self.address).agg(F.when(F.max("full"), F.lit(COUNTER_MAX)).otherwise(F.sum("cnt")).cast("long").alias("cnt"))
         return self._with(summed.where("cnt > 0"))
@@ -85,9 +92,17 @@ class GramStore(ABC):
             raise ValueError("only stores of one kind and range can be merged")
         return self._with(self._sum(self.table.unionByName(other.table)))
 
+    @property
+    def _per_gram(self) -> int:
+        """How many counters a gram adds to."""
+        return 1
+
+    def _overflow(self) -> Column:
+        return F.greatest(F.col("cnt") - COUNTER_MAX + (1 if self.address == "spot" else 0), F.lit(0))
+
     def counters(self) -> DataFrame:
         """n, address, counter (16 bits), overflow."""
-        return self.table.select("n", self.address, F.least("cnt", F.lit(COUNTER_MAX)).alias("counter"), F.greatest(F.col("cnt") - COUNTER_MAX + (1 if self.address == "spot" else 0), F.lit(0)).alias("overflow"))
+        return self.table.select("n", self.address, F.least("cnt", F.lit(COUNTER_MAX)).alias("counter"), self._overflow().alias("overflow"))
 
     def stats(self) -> DataFrame:
         """n, mu, sigma, max, min, chi_square over all counters, zeros too."""
@@ -95,9 +110,9 @@ class GramStore(ABC):
         return slot_stats(self.table, m)
 
     def label(self) -> DataFrame:
-        """A row per n: kind, m, total, distinct counters, overflow."""
-        over = F.sum(F.greatest(F.col("cnt") - COUNTER_MAX, F.lit(0)))
-        rows = self.table.groupBy("n").agg(F.sum("cnt").alias("total"), F.count("*").alias("distinct_counters"), over.alias("overflow"))
+        """A row per n: kind, m, total (of grams), distinct counters, overflow."""
+        over = F.sum(self._overflow())
+        rows = self.table.groupBy("n").agg((F.sum("cnt") / self._per_gram).cast("long").alias("total"), F.count("*").alias("distinct_counters"), over.alias("overflow"))
         return rows.select("n", F.lit(type(self).__name__).alias("kind"), F.coalesce(*[F.when(F.col("n") == n, F.lit(self.size(n))) for n in range(self.low, self.high + 1)]).cast("long").alias("m"), "total", "distinct_counters", "overflow")
 
     def probe(self, df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
@@ -113,9 +128,10 @@ class GramStore(ABC):
         return self.probe(df, payload, keep).groupBy(*keep, "n").agg(F.sum("found").alias("total"))
 
     def save(self, path: str, mode: str = "overwrite") -> None:
-        """Counters and label as Parquet, counters by n. mode append adds to what is there: counters are summed when loaded."""
+        """Counters and label as Parquet, counters by n. mode append adds to what is there: counters are summed when loaded, and the label is of them all."""
         self.table.repartition("n", self.address).write.mode(mode).partitionBy("n").parquet(f"{path}/counters")
-        self.label().coalesce(1).write.mode("overwrite").parquet(f"{path}/label")
+        whole = self._loaded(self.table.sparkSession, path) if mode == "append" else self
+        whole.label().coalesce(1).write.mode("overwrite").parquet(f"{path}/label")
 
     def _loaded(self, spark: SparkSession, path: str) -> GramStore:
         return self._with(self._sum(spark.read.parquet(f"{path}/counters").select(F.col("n").cast("int"), self.address, "cnt")))
@@ -176,6 +192,14 @@ class BloomStore(GramStore):
         one = lambda n: F.when(F.col("n") == n, spots(F.col("h"), self.k, self.size(n)))
         return hashed.withColumn("spot", F.explode(F.coalesce(*map(one, range(self.low, self.high + 1))))).drop("h")
 
+    @property
+    def _per_gram(self) -> int:
+        return self.k
+
+    def _deletable(self, counts: DataFrame) -> DataFrame:
+        found = self.find(counts.select("n", "g"))
+        return counts.join(found, ["n", "g"]).where("found >= cnt").drop("found")
+
     def _counters(self, counts: DataFrame) -> DataFrame:
         return self._sum(self._spots(counts).select("n", "spot", "cnt"))
 

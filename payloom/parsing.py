@@ -132,12 +132,13 @@ TIME_FORMS = ("%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y
 
 
 def time(text: str) -> dt.datetime | None:
-    """The time that text gives in any of the forms; None if in none."""
+    """The time that text gives in any of the forms, today where it gives no day; None if in none."""
     for form in TIME_FORMS:
         try:
-            return dt.datetime.strptime(text.strip(), form)
+            found = dt.datetime.strptime(text.strip(), form)
         except ValueError:
             continue
+        return found if "%d" in form else dt.datetime.combine(dt.date.today(), found.time())
     return None
 
 

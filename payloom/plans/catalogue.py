@@ -379,6 +379,20 @@ def store_label(spark, sf):
     return ExactStore.build(packets(spark, sf), 4).label()
 
 
+_TAKEN = f"tcp AS (SELECT p FROM packets WHERE proto = 6), slots AS MATERIALIZED ({slot_counts_sql(counts_sql(3))}), taken AS MATERIALIZED ({slots_sql(counts_sql(3, source='tcp'))}), may AS (SELECT n, g FROM taken LEFT JOIN slots s USING (n, spot) GROUP BY n, g HAVING least(min(coalesce(s.cnt, 0)), 65520) >= any_value(taken.cnt)), gone AS (SELECT n, spot, sum(cnt)::BIGINT AS cnt FROM taken JOIN may USING (n, g) GROUP BY n, spot)"
+
+
+@query(f"WITH {PACKETS}, {_TAKEN} SELECT n, spot, CASE WHEN s.cnt >= 65520 THEN 65520 ELSE s.cnt - coalesce(gone.cnt, 0) END AS cnt FROM slots s LEFT JOIN gone USING (n, spot) WHERE s.cnt >= 65520 OR s.cnt > coalesce(gone.cnt, 0)")
+def store_delete_bloom(spark, sf):
+    rows = packets(spark, sf)
+    return BloomStore.build(rows, 3, **BLOOM).delete(rows.where("proto = 6")).table
+
+
+@query(f"WITH {PACKETS} SELECT n, 'BloomStore' AS kind, 1000003::BIGINT AS m, (SELECT count(*) FROM ({grams_sql(3)})) AS total, count(*) AS distinct_counters, sum(greatest(cnt - 65519, 0))::BIGINT AS overflow FROM ({slot_counts_sql(counts_sql(3))}) GROUP BY n")
+def bloom_label(spark, sf):
+    return BloomStore.build(packets(spark, sf), 3, **BLOOM).label()
+
+
 # --- comparison and chains
 
 _COMPARE = f"{_B}, {docs_sql(5)}, a AS ({counts_sql(5, source='items')}), b AS ({counts_sql(5, source='docs')}), j AS (SELECT b.n, b.g, b.cnt AS weight, least(coalesce(a.cnt, 0), 65520) AS found FROM b LEFT JOIN a USING (n, g))"

@@ -134,3 +134,20 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert table(spark.table("running")) == table(store.table)
+
+
+def test_label_of_appended_store(spark, tmp_path):
+    a, b = (spark.createDataFrame([(bytearray(t),)], "payload binary") for t in (b"abcabcabc" * 30, b"xyz"))
+    for kind, size in ((ExactStore, {}), (BloomStore, {"k": 23, "m_of": {3: 9973}})):
+        path = str(tmp_path / kind.__name__)
+        kind.build(a, 3, **size).save(path)
+        kind.build(b, 3, **size).save(path, mode="append")
+        assert spark.read.parquet(f"{path}/label").first()["total"] == 268 + 1
+        assert kind.load(spark, path, 3, 3, **size).label().first()["total"] == 268 + 1
+
+
+def test_filter_keeps_what_was_not_added(spark):
+    a, b = (spark.createDataFrame([(bytearray(t),)], "payload binary") for t in (b"aaa" + b"bbb", b"qrstuvwxyz" * 3))
+    store = BloomStore.build(a, 3, k=5, m_of={3: 9973})
+    assert sorted(store.delete(b).table.collect()) == sorted(store.table.collect())
+    assert store.delete(a).table.count() == 0
