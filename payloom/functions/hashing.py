@@ -6,6 +6,7 @@ are also the two hashes of double hashing.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +40,19 @@ def fnv32(col: Column, variant: str = "1", bits: int = 32) -> Column:
     return h if bits == 32 else h.bitwiseAND(_long((1 << bits) - 1))
 
 
+def fnv32_prefixes(col: Column, low: int, high: int, variant: str = "1") -> Column:
+    """Array of structs (n, hash): the hashes of the first low..high bytes, made in one pass over the bytes."""
+    kind = "struct<h:bigint,n:int,out:array<struct<n:int,hash:bigint>>>"
+    start = F.struct(_long(0 if variant == "0" else BASIS_32).alias("h"), F.lit(0).alias("n"), F.array().cast("array<struct<n:int,hash:bigint>>").alias("out")).cast(kind)
+
+    def step(acc: Column, b: Column) -> Column:
+        n, h = acc["n"] + 1, _step32(acc["h"], b, variant)
+        entry = F.array(F.struct(n.alias("n"), h.alias("hash")))
+        return F.struct(h.alias("h"), n.alias("n"), F.when(n >= low, F.concat(acc["out"], entry)).otherwise(acc["out"]).alias("out")).cast(kind)
+
+    return F.aggregate(byte_values(F.substring(col, 1, high)), start, step, lambda acc: acc["out"])
+
+
 def _halves(basis: int) -> Column:
     return F.struct(_long(basis & MASK).alias("lo"), _long(basis >> 32).alias("hi"))
 
@@ -88,53 +102,40 @@ def spots(halves: Column, k: int, m: int) -> Column:
 
 # --- lookup3
 
-
-def _rot(x: int, k: int) -> int:
-    return (x << k | x >> (32 - k)) & MASK
+# Fixed values of lookup3: the start and the rotations of its two mixing rounds.
+START = 0xDEADBEEF
+MIX, FINAL = (4, 6, 8, 16, 19, 4), (14, 11, 25, 16, 4, 14, 24)
 
 
-def _mix(a: int, b: int, c: int) -> tuple[int, int, int]:
-    # fixed rotations of lookup3's mix
-    for k, who in ((4, 0), (6, 1), (8, 2), (16, 0), (19, 1), (4, 2)):
-        if who == 0:
-            a = ((a - c) & MASK) ^ _rot(c, k)
-            c = (c + b) & MASK
-        elif who == 1:
-            b = ((b - a) & MASK) ^ _rot(a, k)
-            a = (a + c) & MASK
-        else:
-            c = ((c - b) & MASK) ^ _rot(b, k)
-            b = (b + a) & MASK
-    return a, b, c
+def _rot(x: np.ndarray, k: int) -> np.ndarray:
+    return x << np.uint32(k) | x >> np.uint32(32 - k)
 
 
-def _final(a: int, b: int, c: int) -> tuple[int, int, int]:
-    # fixed rotations of lookup3's final
-    c = ((c ^ b) - _rot(b, 14)) & MASK
-    a = ((a ^ c) - _rot(c, 11)) & MASK
-    b = ((b ^ a) - _rot(a, 25)) & MASK
-    c = ((c ^ b) - _rot(b, 16)) & MASK
-    a = ((a ^ c) - _rot(c, 4)) & MASK
-    b = ((b ^ a) - _rot(a, 14)) & MASK
-    c = ((c ^ b) - _rot(b, 24)) & MASK
-    return a, b, c
+def _rounds(data: np.ndarray, pc: int, pb: int, order: str) -> tuple[np.ndarray, np.ndarray]:
+    """lookup3 of rows of bytes of equal length: arrays c and b. Both rounds do the same to a, b and c in turn."""
+    rows, size = data.shape
+    a = np.full(rows, (START + size + pc) & MASK, np.uint32)
+    b, c = a, a + np.uint32(pb & MASK)
+    if not size:
+        return c, b
+    blocks = -(-size // 12)
+    padded = np.zeros((rows, blocks * 12), np.uint8)
+    padded[:, :size] = data
+    words = padded.view("<u4" if order == "little" else ">u4").astype(np.uint32).reshape(rows, blocks, 3)
+    for block in range(blocks):
+        a, b, c = (v + words[:, block, i] for i, v in enumerate((a, b, c)))
+        if block < blocks - 1:
+            for k in MIX:
+                a, b, c = b, c + b, (a - c) ^ _rot(c, k)
+    for k in FINAL:
+        a, b, c = b, (c ^ b) - _rot(b, k), a
+    return b, a  # seven turns leave c in the place of b, and b in that of a
 
 
 def lookup3(data: bytes, pc: int = 0, pb: int = 0, order: str = "little") -> tuple[int, int]:
     """Two 32-bit hashes (c, b) of bytes with two seeds."""
-    a = b = c = (0xDEADBEEF + len(data) + pc) & MASK
-    c = (c + pb) & MASK
-    at = 0
-    while len(data) - at > 12:
-        x, y, z = (int.from_bytes(data[at + i : at + i + 4], order) for i in (0, 4, 8))
-        a, b, c = _mix((a + x) & MASK, (b + y) & MASK, (c + z) & MASK)
-        at += 12
-    if at == len(data):
-        return c, b
-    tail = data[at:].ljust(12, b"\0")
-    x, y, z = (int.from_bytes(tail[i : i + 4], order) for i in (0, 4, 8))
-    _, b, c = _final((a + x) & MASK, (b + y) & MASK, (c + z) & MASK)
-    return c, b
+    c, b = _rounds(np.frombuffer(data, np.uint8).reshape(1, -1), pc, pb, order)
+    return int(c[0]), int(b[0])
 
 
 def lookup3_words(words: list[int], pc: int = 0, pb: int = 0) -> tuple[int, int]:
@@ -144,13 +145,13 @@ def lookup3_words(words: list[int], pc: int = 0, pb: int = 0) -> tuple[int, int]
 
 @F.pandas_udf(T.LongType())
 def lookup3_column(data: pd.Series) -> pd.Series:
-    """The 64-bit value b x 2^32 + c of a binary column, as a signed long."""
-
-    def one(x: bytes | None) -> int | None:
-        if x is None:
-            return None
-        c, b = lookup3(bytes(x))
-        v = b << 32 | c
-        return v - (1 << 64) if v >> 63 else v
-
-    return data.map(one).astype("Int64")
+    """The 64-bit value b x 2^32 + c of a binary column, as a signed long; payloads of one length are hashed at once."""
+    out = np.zeros(len(data), np.int64)
+    there = data.notna().to_numpy()
+    values = data.to_numpy()
+    sizes = np.fromiter((len(x) if x is not None else -1 for x in values), np.int64, len(data))
+    for size in np.unique(sizes[there]):
+        at = np.flatnonzero(sizes == size)
+        c, b = _rounds(np.frombuffer(b"".join(bytes(values[i]) for i in at), np.uint8).reshape(len(at), size), 0, 0, "little")
+        out[at] = (b.astype(np.uint64) << np.uint64(32) | c).view(np.int64)
+    return pd.Series(out).astype("Int64").where(there)

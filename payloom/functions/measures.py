@@ -64,6 +64,25 @@ def packed(gram: Column) -> Column:
     return F.conv(F.hex(gram), 16, 10).cast("long")
 
 
+def unsigned(data: Column, width: int, order: str = "little") -> Column:
+    """Array of the unsigned numbers of width bytes (1 to 8) that follow each other; bytes left over are none."""
+    size = F.floor(F.length(data) / width).cast("int")
+    starts = F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), lambda i: i * width + 1)).otherwise(F.array().cast("array<int>"))
+    steps = range(width - 1, -1, -1) if order == "little" else range(width)
+    number = lambda at: F.conv(F.concat(*[F.hex(F.substring(data, at + k, F.lit(1))) for k in steps]), 16, 10).cast("decimal(20,0)")
+    return F.transform(starts, number)
+
+
+def network(text: Column) -> Column:
+    """A dotted network, with or without /bits, as a struct (subnet, mask); null if it isn't one."""
+    parts = F.split(text, "/", 2)
+    bits = F.when(F.size(parts) == 1, F.lit("32")).otherwise(F.get(parts, F.lit(1)))
+    width = F.when(bits.rlike(r"^\d{1,2}$"), bits).cast("int")
+    mask = F.lit(0xFFFFFFFF) - (F.pow(F.lit(2.0), 32 - width).cast("long") - 1)
+    host = address(parts[0])
+    return F.when(host.isNotNull() & width.between(0, 32), F.struct(host.bitwiseAND(mask).alias("subnet"), mask.alias("mask")))
+
+
 def unpacked(number: Column, n: int) -> Column:
     return F.unhex(F.lpad(F.hex(number), 2 * n, "0"))
 

@@ -12,6 +12,7 @@ from payloom.parsing import Span
 
 ICMP, IPIP, TCP, UDP = 1, 4, 6, 17
 IPV4 = 0x0800
+HEAD = "struct<at:bigint,end:bigint,proto:bigint,src:bigint,dst:bigint>"
 #: Packets after the end of a time range that a file may have before it is left.
 AFTER_MAX = 10
 #: Distinct hosts up to which a host set is broadcast (16 bytes each).
@@ -24,26 +25,28 @@ def _u(data: Column, at: Column | int, width: int) -> Column:
     return F.conv(F.hex(F.substring(data, start.cast("int"), F.lit(width))), 16, 10).cast("long")
 
 
-def decode(raw: DataFrame, protocols: list[Span] | None = None, want: bool = True, depth: int = 3) -> DataFrame:
+def _head(data: Column, at: Column, end: Column, protocols: list[Span] | None, want: bool) -> Column:
+    """What an IPv4 header from at to before end says: where its body is, protocol and addresses; null if it doesn't hold together or isn't selected."""
+    ihl, total = _u(data, at, 1).bitwiseAND(F.lit(15)) * 4, _u(data, at + 2, 2)
+    proto = _u(data, at + 9, 1)
+    last = F.least(end.cast("long"), at + total)
+    good = (end - at >= 20) & (F.shiftright(_u(data, at, 1), 4) == 4) & (ihl >= 20) & (total >= ihl) & (last > at + ihl) & (in_spans(proto, protocols) == F.lit(want))
+    return F.when(good, F.struct((at + ihl).alias("at"), last.alias("end"), proto.alias("proto"), _u(data, at + 12, 4).alias("src"), _u(data, at + 16, 4).alias("dst"))).cast(HEAD)
+
+
+def decode(raw: DataFrame, protocols: list[Span] | None = None, want: bool = True) -> DataFrame:
     """Frames (file, pkt_no, ts, caplen, data, ...) -> file, pkt_no, ts, proto, src, dst, sport, dport, port, payload.
 
-    Ethernet with IPv4 alone; IP in IP is entered up to depth times, if protocol 4 itself is selected. Frames that don't
+    Ethernet with IPv4 alone; IP in IP is entered however deep it goes, if protocol 4 itself is selected. Frames that don't
     hold together are left out. port: the smaller port, or the ICMP type.
     """
     data = F.col("data")
-    rows = raw.where((F.length(data) >= 34) & (_u(data, 12, 2) == IPV4)).select("file", "pkt_no", "ts", F.substring(data, F.lit(15), F.length(data)).alias("ip"))
-    out = None
-    for level in range(depth):
-        ip = F.col("ip")
-        head = rows.where(F.length(ip) >= 20).withColumns({"ihl": _u(ip, 0, 1).bitwiseAND(F.lit(15)) * 4, "version": F.shiftright(_u(ip, 0, 1), 4), "total": _u(ip, 2, 2), "proto": _u(ip, 9, 1).cast("int"), "src": _u(ip, 12, 4), "dst": _u(ip, 16, 4)})
-        head = head.withColumn("size", F.least(F.length(ip), F.col("total")) - F.col("ihl")).where("version = 4 AND ihl >= 20 AND total >= ihl AND size > 0")
-        head = head.where(in_spans(F.col("proto"), protocols) == F.lit(want))
-        body = head.select("file", "pkt_no", "ts", "proto", "src", "dst", "size", F.substring(ip, (F.col("ihl") + 1).cast("int"), F.col("size").cast("int")).alias("body"))
-        ports = body.where(F.col("proto").isin(ICMP, TCP, UDP))
-        out = _transport(ports) if out is None else out.unionByName(_transport(ports))
-        if level + 1 < depth:
-            rows = body.where(F.col("proto") == IPIP).select("file", "pkt_no", "ts", F.col("body").alias("ip"))
-    return out
+    rows = raw.where((F.length(data) >= 34) & (_u(data, 12, 2) == IPV4)).withColumn("ip", _head(data, F.lit(14).cast("long"), F.length(data), protocols, want))
+    deeper = F.when(F.col("ip.proto") == IPIP, F.sequence(F.lit(1), F.floor(F.length(data) / 20).cast("int"))).otherwise(F.array().cast("array<int>"))
+    enter = lambda ip, _: F.when(ip["proto"] == IPIP, _head(data, ip["at"], ip["end"], protocols, want)).otherwise(ip)
+    rows = rows.withColumn("ip", F.aggregate(deeper, F.col("ip"), enter)).where(F.col("ip.proto").isin(ICMP, TCP, UDP))
+    size = F.col("ip.end") - F.col("ip.at")
+    return _transport(rows.select("file", "pkt_no", "ts", F.col("ip.proto").cast("int").alias("proto"), "ip.src", "ip.dst", size.alias("size"), F.substring(data, (F.col("ip.at") + 1).cast("int"), size.cast("int")).alias("body")))
 
 
 def _transport(rows: DataFrame) -> DataFrame:

@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Positions in a block of a sequence without key.
+#: Positions in a block of a sequence.
 BLOCK = 1 << 20
 
 
 def _previous(df: DataFrame, value: str, order: str, key: str | None) -> DataFrame:
-    """x and the value before it, prev. Without a key, order must be a number; blocks of it are ordered one by one and
-    joined by the last value of the block before, so no task has the whole sequence."""
-    if key:
-        w = Window.partitionBy(key).orderBy(order)
-        return df.select(F.col(key), F.col(value).cast("double").alias("x"), F.lag(F.col(value).cast("double")).over(w).alias("prev"))
-    rows = df.select(F.floor(F.col(order) / BLOCK).alias("block"), F.col(order).alias("pos"), F.col(value).cast("double").alias("x"))
-    lasts = rows.groupBy("block").agg(F.max_by("x", "pos").alias("last"))
-    lasts = lasts.select("block", F.lag("last").over(Window.orderBy("block")).alias("before"))
-    w = Window.partitionBy("block").orderBy("pos")
-    return rows.withColumns({"own": F.lag("x").over(w), "nth": F.row_number().over(w)}).join(lasts, "block").select("x", F.when(F.col("nth") > 1, F.col("own")).otherwise(F.col("before")).alias("prev"))
+    """x and the value before it, prev. order must be a number; blocks of it are ordered one by one and joined by the last
+    value of the block before, so no task has a whole sequence, be it all rows or those of one key."""
+    keys = [key] if key else []
+    rows = df.select(*keys, F.floor(F.col(order) / BLOCK).alias("block"), F.col(order).alias("pos"), F.col(value).cast("double").alias("x"))
+    lasts = rows.groupBy(*keys, "block").agg(F.max_by("x", "pos").alias("last"))
+    lasts = lasts.withColumn("before", F.lag("last").over(Window.partitionBy(*keys).orderBy("block"))).select(*[F.col(c).alias(f"__{c}") for c in (*keys, "block")], "before")
+    w = Window.partitionBy(*keys, "block").orderBy("pos")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, "block")])
+    return rows.withColumns({"own": F.lag("x").over(w), "nth": F.row_number().over(w)}).join(lasts, same).select(*keys, "x", F.when(F.col("nth") > 1, F.col("own")).otherwise(F.col("before")).alias("prev"))
 
 
 def sequence_stats(df: DataFrame, value: str, order: str, key: str | None = None) -> DataFrame:

@@ -89,13 +89,12 @@ def analyse(packets: DataFrame, spec: Spec, **sides: DataFrame | None) -> DataFr
 
 
 def run(spark: SparkSession, options: dict[str, str], path: str) -> DataFrame:
-    """The analysis of captures at path with command-line options; -s alert paths, -t days, -l listed hosts."""
+    """The analysis of captures at path with command-line options; -s alert paths, -t days (else those that the alert files' own times allow), -l listed hosts."""
     spec = Spec.parse(options)
     if spec.start or spec.end:
         chosen = P.select_files(first_times(spark, path), spec.start, spec.end)
-        path = ",".join(r["file"] for r in chosen.collect())
-    begin, end = parsing.day_range(options.get("t", "20140101-20150101"))
-    alerts = read_alerts(spark, options["s"], begin, end) if "s" in options else None
+        path = [r["file"] for r in chosen.collect()]
+    alerts = read_alerts(spark, options["s"], *(parsing.day_range(options["t"]) if "t" in options else ())) if "s" in options else None
     listed = hosts(spark, options["l"]) if "l" in options else None
     packets = P.decode(read_captures(spark, path), spec.protocols, spec.protocols_wanted)
     return analyse(packets, spec, alerts=alerts, listed=listed)

@@ -21,6 +21,7 @@ from payloom.operators import statistics as S
 from payloom.operators.stores import BloomStore, ExactStore, bloom_distinct
 from payloom.parsing import Span, cidrs, int_ranges, port_ranges, protocol_ranges
 from payloom.plans.analysis import Spec, analyse, services
+from payloom.sources.captures import parse_captures
 from payloom.sources.texts import parse_alerts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,9 +182,9 @@ def gram_report(spark, sf):
     return hexed(counts.withColumn("shown", M.printable(F.col("g")))).select("g", "cnt", "shown")
 
 
-@query(f"WITH {PACKETS} SELECT g, cnt, ('0x' || g)::BIGINT AS number FROM ({counts_sql(4)}) WHERE cnt >= 50")
+@query(f"WITH {PACKETS} SELECT g, cnt, ('0x' || g)::BIGINT AS number FROM ({counts_sql(4)})")
 def gram_packed(spark, sf):
-    counts = G.gram_counts(packets(spark, sf), 4).where("cnt >= 50")
+    counts = G.gram_counts(packets(spark, sf), 4)
     rows = counts.select(F.col("g"), "cnt", M.packed(F.col("g")).alias("number"))
     return rows.select(F.hex(M.unpacked(F.col("number"), 4)).alias("g"), "cnt", "number")
 
@@ -265,6 +266,71 @@ def nonzero_payloads(spark, sf):
     return packets(spark, sf).agg(F.count("*").alias("packets"), F.count_if(M.nonzero_byte(F.col("payload"))).alias("nonzero"))
 
 
+# --- captures: frames as hexadecimal text by expressions that both engines read, whole and broken ones
+
+
+def _u(x: str, digits: int) -> str:
+    return f"lpad(hex({x}), {digits}, '0')"
+
+
+def _le(x: str) -> str:
+    return "concat(" + ", ".join(f"substring({_u(x, 8)}, {i}, 2)" for i in (7, 5, 3, 1)) + ")"
+
+
+_HALF = "CAST(length({}) / 2 AS BIGINT)"
+_PORTS = f"{_u('1024 + (doc_id * 7919) % 60000', 4)}, {_u('20 + doc_id % 500', 4)}"
+_ADDRESSES = f"{_u('167772160 + doc_id % 500', 8)}, {_u('2164654080 + (doc_id * 31) % 65536', 8)}"
+_FRAME = [
+    ("seg", f"""CASE WHEN doc_id % 10 < 7 THEN concat({_PORTS}, repeat('00', 8), CASE WHEN doc_id % 31 = 0 THEN '40' WHEN doc_id % 3 = 0 THEN '60' ELSE '50' END, CASE WHEN doc_id % 11 = 0 THEN '38' ELSE '18' END,
+      'FFFF0000', CASE WHEN doc_id % 22 = 0 THEN 'FFFF' ELSE '0000' END, CASE WHEN doc_id % 3 = 0 THEN '01010101' ELSE '' END, h)
+      WHEN doc_id % 10 < 9 THEN concat({_PORTS}, {_u(f"CASE WHEN doc_id % 13 = 0 THEN 65535 ELSE 8 + {_HALF.format('h')} END", 4)}, '0000', h)
+      ELSE concat({_u('doc_id % 19', 2)}, repeat('00', 7), h) END"""),
+    ("ip", f"""concat(CASE WHEN doc_id % 37 = 0 THEN '65' WHEN doc_id % 7 = 0 THEN '46' ELSE '45' END, '00', {_u(f"{_HALF.format('seg')} + CASE WHEN doc_id % 7 = 0 THEN 24 ELSE 20 END", 4)}, '0000000040',
+      CASE WHEN doc_id % 41 = 0 THEN '59' WHEN doc_id % 10 < 7 THEN '06' WHEN doc_id % 10 < 9 THEN '11' ELSE '01' END, '0000', {_ADDRESSES}, CASE WHEN doc_id % 7 = 0 THEN '01010101' ELSE '' END, seg)"""),
+    *[("ip", f"CASE WHEN doc_id % {m} = 0 THEN concat('4500', {_u(_HALF.format('ip') + ' + 20', 4)}, '00000000400400000A0000010A000002', ip) ELSE ip END") for m in (5, 6, 10, 20, 40)],
+    ("f", "concat(repeat('0A', 12), CASE WHEN doc_id % 17 = 0 THEN '0806' ELSE '0800' END, ip, repeat('00', CAST(doc_id % 3 AS INT)))"),
+    ("f", "CASE WHEN doc_id % 23 = 0 THEN substring(f, 1, CAST(length(f) - 2 * (doc_id % 40) AS INT)) ELSE f END"),
+]
+
+
+def _framed() -> str:
+    out = "SELECT doc_id, seq, ts, p AS h, '' AS seg, '' AS ip, '' AS f FROM packets"
+    for name, value in _FRAME:
+        out = f"SELECT * REPLACE ({value} AS {name}) FROM ({out})"
+    return out
+
+
+def decoded_sql() -> str:
+    b = lambda x, at, width: f"TRY_CAST('0x' || substring({x}, {2 * at + 1}, {2 * width}) AS BIGINT)"
+    heads = f"""(SELECT *, substring(ip, 2 * ihl + 1, 2 * (least(length(ip) // 2, total) - ihl)) AS body FROM (SELECT *, ({b('ip', 0, 1)} & 15) * 4 AS ihl, {b('ip', 0, 1)} >> 4 AS version, {b('ip', 2, 2)} AS total, {b('ip', 9, 1)} AS proto, {b('ip', 12, 4)} AS src, {b('ip', 16, 4)} AS dst
+      FROM ips WHERE length(ip) >= 40) WHERE version = 4 AND ihl >= 20 AND total >= ihl AND least(length(ip) // 2, total) > ihl)"""
+    return f"""WITH RECURSIVE {PACKETS}, frames AS ({_framed()}),
+      ips AS (SELECT doc_id, seq, ts, substring(f, 29) AS ip FROM frames WHERE length(f) >= 68 AND substring(f, 25, 4) = '0800' UNION ALL SELECT doc_id, seq, ts, body FROM {heads} WHERE proto = 4)
+      SELECT doc_id || '-' || seq // 64 AS file, seq % 64 AS pkt_no, ts, proto::INT AS proto, src, dst, CASE WHEN proto <> 1 THEN sport::INT END AS sport, CASE WHEN proto <> 1 THEN dport::INT END AS dport,
+        (CASE WHEN proto = 1 THEN {b('body', 0, 1)} ELSE least(sport, dport) END)::INT AS port, md5(substring(body, 2 * header + 1)) AS payload_md5
+      FROM (SELECT *, length(body) // 2 AS size, CASE WHEN proto = 6 THEN ({b('body', 12, 1)} >> 4) * 4 ELSE 8 END AS header, {b('body', 0, 2)} AS sport, {b('body', 2, 2)} AS dport FROM {heads})
+      WHERE (proto = 6 AND size >= 20 AND header BETWEEN 20 AND size AND (({b('body', 13, 1)} & 32) = 0 OR {b('body', 18, 2)} <= size - header))
+        OR (proto = 17 AND size >= 8 AND {b('body', 4, 2)} BETWEEN 8 AND size) OR (proto = 1 AND size >= 1)"""
+
+
+def capture_files(spark: SparkSession, sf: str) -> DataFrame:
+    """(file, content): captures of up to 64 packets of a document each."""
+    rows = packets(spark, sf).select("doc_id", "seq", "ts", F.hex("payload").alias("h"))
+    for name, value in _FRAME:
+        rows = rows.withColumn(name, F.expr(value))
+    rows = rows.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumns({"s": F.expr("us div 1000000"), "us": F.col("us") % 1_000_000, "n": F.expr(_HALF.format("f"))})
+    rows = rows.select("doc_id", F.expr("seq div 64").alias("part"), F.struct("seq", F.expr(f"concat({_le('s')}, {_le('us')}, {_le('n')}, {_le('n')}, f)").alias("r")).alias("x"))
+    files = rows.groupBy("doc_id", "part").agg(F.array_join(F.array_sort(F.collect_list("x"))["r"], "").alias("r"))
+    return files.select(F.concat_ws("-", "doc_id", "part").alias("file"), F.unhex(F.concat(F.lit("D4C3B2A1020004000000000000000000FFFF000001000000"), F.col("r"))).alias("content"))
+
+
+@query(decoded_sql())
+def capture_decode(spark, sf):
+    """Captures read and decoded: options, paddings, cuts, nests of up to five, and frames that don't hold together."""
+    rows = P.decode(parse_captures(capture_files(spark, sf)))
+    return rows.select("file", "pkt_no", F.col("ts").cast("timestamp_ntz").alias("ts"), "proto", "src", "dst", "sport", "dport", "port", F.md5(F.hex("payload").cast("binary")).alias("payload_md5"))
+
+
 # --- hashes
 
 _FNV64 = "list_reduce(list_prepend({basis}::HUGEINT, [('0x' || substring({g}, 2 * i + 1, 2))::HUGEINT FOR i IN range(0, length({g}) // 2)]), lambda h, b: {step})"
@@ -319,7 +385,34 @@ def fnv_prefix_range(spark, sf):
     return rows.select("item_id", F.col("x.n").alias("n"), H.hex64(F.col("x")).alias("hash"))
 
 
-@query()
+@query(f"SELECT item_id, n, ({fnv32_sql('q', 'xor((h * 16777619) % 4294967296, b)')})::BIGINT AS hash FROM (SELECT item_id, n, substring(g, 1, 2 * n) AS q FROM (SELECT item_id, g, unnest(range(3, 9)) AS n FROM {_ITEMS}) WHERE length(g) // 2 >= n)")
+def fnv32_prefix_range(spark, sf):
+    rows = _items(spark, sf).select("item_id", F.explode(H.fnv32_prefixes(F.col("payload"), 3, 8)).alias("x"))
+    return rows.select("item_id", "x.n", "x.hash")
+
+
+def lookup3_sql(items: str) -> str:
+    """Blocks of 12 bytes by recursion, a subselect for each turn of a round."""
+    state = "item_id, g, n, pos"
+    rot = lambda x, k: f"((({x} << {k}) & {H.MASK}) | ({x} >> {32 - k}))"
+    word = lambda i: "('0x' || " + " || ".join(f"substring(w, {8 * i + 2 * j + 1}, 2)" for j in (3, 2, 1, 0)) + ")::BIGINT"
+
+    def turns(source: str, first: str, final: bool) -> str:
+        out = f"SELECT {state}, " + ", ".join(f"({v} + {word(i)}) & {H.MASK} AS {v}" for i, v in enumerate("abc")) + f" FROM (SELECT *, rpad(substring(g, 2 * pos + 1, 24), 24, '0') AS w FROM {source} WHERE {first})"
+        for k in H.FINAL if final else H.MIX:
+            new = f"b AS a, (xor(c, b) - {rot('b', k)}) & {H.MASK} AS b, a AS c" if final else f"b AS a, (c + b) & {H.MASK} AS b, xor((a - c) & {H.MASK}, {rot('c', k)}) AS c"
+            out = f"SELECT {state}, {new} FROM ({out})"
+        return out
+
+    start = f"({H.START} + n) & {H.MASK}"
+    signed = "(CASE WHEN {b} >= 2147483648 THEN {b} - 4294967296 ELSE {b} END) * 4294967296 + {c}"
+    return f"""WITH RECURSIVE s AS (SELECT item_id, g, length(g) // 2 AS n, 0::BIGINT AS pos, {start} AS a, {start} AS b, {start} AS c FROM {items}
+      UNION ALL SELECT item_id, g, n, pos + 12, a, b, c FROM ({turns('s', 'n - pos > 12', False)}))
+      SELECT item_id, {signed.format(b='a', c='b')} AS hash FROM ({turns('s', 'n > 0 AND n - pos <= 12', True)})
+      UNION ALL SELECT item_id, {signed.format(b='b', c='c')} FROM s WHERE n = 0"""
+
+
+@query(lookup3_sql(_ITEMS))
 def lookup3(spark, sf):
     return _items(spark, sf).select("item_id", H.lookup3_column(F.col("payload")).alias("hash"))
 
@@ -446,9 +539,13 @@ def markov_next(spark, sf):
     return C.next_bytes(counts, targets).withColumn("prefix", F.hex("prefix"))
 
 
-@query()
+@query("SELECT range AS walk, 200::BIGINT AS size, 197::BIGINT AS grams, 197::BIGINT AS known FROM range(20)")
 def markov_walk(spark, sf):
-    return C.walk(G.gram_counts(_items(spark, sf), 4), 4, 200, walks=20, seed=1)
+    """Walks have the length asked for, and each of their grams occurs."""
+    counts = G.gram_counts(_items(spark, sf), 4)
+    walks = C.walk(counts, 4, 200, walks=20, seed=1)
+    rows = G.explode_grams(walks, 4, payload="text", keep=("walk",)).join(counts.select("g", "cnt"), "g", "left")
+    return rows.groupBy("walk").agg((F.count("*") + 3).alias("size"), F.count("*").alias("grams"), F.count("cnt").alias("known"))
 
 
 # --- statistics
@@ -535,10 +632,19 @@ def address_parse(spark, sf):
     return rows.select("event_id", "host", M.dotted(F.col("host")).alias("text"))
 
 
-@query("SELECT * FROM (VALUES ('10.0.0.0/28', 167772160::BIGINT, 4294967280::BIGINT), ('129.6.64.0/18', 2164670464, 4294950912), ('0.0.0.0/0', 0, 0), ('1.2.3.4', 16909060, 4294967295)) t(text, subnet, mask)")
+@query("SELECT event_id, CASE WHEN w <= 32 THEN (10 * 16777216 + (event_id % 256) * 65536 + 7) & (4294967295 - ((1::BIGINT << (32 - w)) - 1)) END AS subnet, CASE WHEN w <= 32 THEN 4294967295 - ((1::BIGINT << (32 - w)) - 1) END AS mask FROM (SELECT event_id, CASE WHEN event_id % 35 = 34 THEN 32 ELSE event_id % 35 END AS w FROM events)")
 def cidr_parse(spark, sf):
-    texts = ["10.0.0.0/28", "129.6.64.0/18", "0.0.0.0/0", "1.2.3.4"]
-    return spark.createDataFrame([(t, *cidrs(t)[0]) for t in texts], "text string, subnet long, mask long")
+    bits = F.col("event_id") % 35
+    text = F.concat(F.lit("10."), (F.col("event_id") % 256).cast("string"), F.lit(".0.7"), F.when(bits == 34, "").otherwise(F.concat(F.lit("/"), bits.cast("string"))))
+    return read(spark, sf, "events").select("event_id", M.network(text).alias("x")).select("event_id", "x.subnet", "x.mask")
+
+
+@query("SELECT width, count(*) AS n, round(avg(x::DOUBLE), 3) AS mu, min(x)::DOUBLE AS min, max(x)::DOUBLE AS max FROM (SELECT width, ('0x' || list_aggregate([substring(g, 2 * (i * width + width - k) - 1, 2) FOR k IN range(0, width)], 'string_agg', ''))::UBIGINT AS x FROM (SELECT g, width, unnest(range(0, length(g) // 2 // width)) AS i FROM (SELECT hex(text) AS g, unnest([1, 2, 4, 8]) AS width FROM benchmark))) GROUP BY width")
+def unsigned_stats(spark, sf):
+    items = _items(spark, sf)
+    rows = [items.select(F.lit(w).alias("width"), F.explode(M.unsigned(F.col("payload"), w)).alias("x")) for w in (1, 2, 4, 8)]
+    x = F.col("x").cast("double")
+    return reduce(DataFrame.unionByName, rows).groupBy("width").agg(F.count("*").alias("n"), F.round(F.avg(x), 3).alias("mu"), F.min(x).alias("min"), F.max(x).alias("max"))
 
 
 @query("SELECT event_id AS line_no, ts, ts::DATE AS ymd, (event_id % 1400)::INT AS dgmlen, 167772160 + event_id % 256 AS src, 2164654080 + event_id % 256 AS dst FROM events WHERE event_type = 'error'")

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import struct
 
 import pytest
@@ -52,6 +53,8 @@ CASES = [
     ("ipv6", frame(b"\0" * 40, 0x86DD), None),
     ("nested", frame(ip(4, ip(6, tcp(b"in")))), (6, 80, b"in")),
     ("nested twice", frame(ip(4, ip(4, ip(17, udp(b"deep"))))), (17, 53, b"deep")),
+    ("nested deep", frame(ip(4, ip(4, ip(4, ip(4, ip(4, ip(6, tcp(b"deepest")))))))), (6, 80, b"deepest")),
+    ("nested broken", frame(ip(4, ip(4, b"\x45" * 12))), None),
     ("other", frame(ip(89, b"x" * 30)), None),
 ]
 
@@ -120,6 +123,22 @@ def test_alerts(spark, tmp_path):
     assert [(r["ts"].year, r["dgmlen"]) for r in late] == [(2013, 0)]
 
 
+def test_alert_days_come_from_the_file(spark, tmp_path):
+    (tmp_path / "alert").write_text(LOG)
+    for day, want in ((dt.datetime(2015, 1, 2, tzinfo=UTC), [(2014, 12, 31)]), (dt.datetime(2013, 6, 24, tzinfo=UTC), [(2013, 6, 23), (2013, 6, 24)]), (dt.datetime(2013, 6, 23, tzinfo=UTC), [(2013, 6, 23)])):
+        os.utime(tmp_path / "alert", (day.timestamp(), day.timestamp()))
+        got = [r["ymd"] for r in texts.read_alerts(spark, str(tmp_path)).orderBy("ts").collect()]
+        assert got == [dt.date(*d) for d in want]
+
+
+def test_captures_of_other_stores(spark, capture):
+    near, far = captures.read_captures(spark, str(capture)), captures.read_captures(spark, f"file://{capture}")
+    assert sorted(map(tuple, near.drop("file").collect())) == sorted(map(tuple, far.drop("file").collect()))
+    assert captures.read_captures(spark, captures.files_of(str(capture))).count() == near.count()
+    first = {r["file"].rsplit("/", 1)[1]: r["first_ts"] for r in captures.first_times(spark, f"file://{capture}").collect()}
+    assert first == {"a.pcap": dt.datetime(2014, 5, 13, 16, 53, 20), "b.pcap": dt.datetime(2014, 5, 13, 16, 55)}
+
+
 def test_alert_labels(spark):
     t = dt.datetime(2024, 1, 1, 12)
     hour = dt.timedelta(hours=1)
