@@ -61,7 +61,7 @@ def next_bytes(counts: DataFrame, targets: DataFrame) -> DataFrame:
 def walk(counts: DataFrame, n: int, length: int, walks: int = 1, seed: int = 0, start: bytes | None = None) -> DataFrame:
     """(walk, text): random texts of a length in bytes whose grams all occur, each from a seed of its own.
 
-    Every walk is a group of its own; a dead end goes back two bytes, further on repeated failure. The table of grams
+    Every walk is a group of its own; it begins with start or with a prefix that is printable throughout, if there is one. A dead end goes back two bytes, further on repeated failure. The table of grams
     must be small enough to be held by a task (WALK_GRAMS).
     """
     spark = counts.sparkSession
@@ -73,7 +73,8 @@ def walk(counts: DataFrame, n: int, length: int, walks: int = 1, seed: int = 0,
         g = bytes(r["g"])
         total = table.setdefault(g[:-1], [])
         total.append((g[-1], r["cnt"] + (total[-1][1] if total else 0)))
-    shared = spark.sparkContext.broadcast((table, sorted(p for p in table if p and 0x20 <= p[0] <= 0x7E) or sorted(table)))
+    printable = sorted(p for p in table if p and all(0x20 <= b <= 0x7E for b in p))
+    shared = spark.sparkContext.broadcast((table, printable or sorted(table)))
 
     def generate(frames):
         import pandas as pd

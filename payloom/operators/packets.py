@@ -99,14 +99,17 @@ def stop_after(df: DataFrame, end: dt.datetime, *, ts: str = "ts", file: str = "
     return df.join(cut, file, "left").where(F.col("__cut").isNull() | (F.col(order) < F.col("__cut"))).drop("__cut")
 
 
-def select_files(files: DataFrame, start: dt.datetime | None, end: dt.datetime | None, *, file: str = "file", first: str = "first_ts") -> DataFrame:
-    """Files in order of their first packet: the last one before start, those within, and the first one after end."""
+def select_files(files: DataFrame, start: dt.datetime | None, end: dt.datetime | None, *, file: str = "file", first: str = "first_ts", limits: bool = False) -> DataFrame:
+    """Files in order of their first packet: the last one before start, those within, and the first one after end; limits: of these the first and the last alone."""
     w = Window.orderBy(first, file)
     rows = files.select(file, first, F.lead(first).over(w).alias("next"), F.lag(first).over(w).alias("before"))
     if start is not None:
         rows = rows.where(F.col("next").isNull() & (F.col(first) >= F.lit(start)) | (F.col("next") >= F.lit(start)))
     if end is not None:
         rows = rows.where(F.col("before").isNull() & (F.col(first) <= F.lit(end)) | (F.col("before") <= F.lit(end)))
+    if limits:
+        ends = rows.agg(F.min(F.struct(first, file)).alias("a"), F.max(F.struct(first, file)).alias("b")).select(F.explode(F.array_distinct(F.array("a", "b"))).alias("x"))
+        rows = ends.where("x IS NOT NULL").select("x.*")
     return rows.select(file, first)
 
 

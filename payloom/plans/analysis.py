@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from payloom import parsing
 from payloom.operators import packets as P
-from payloom.operators.stores import LARGE, BloomSize, BloomStore, ExactStore, GramStore
+from payloom.operators.stores import LARGE, SMALL, BloomSize, BloomStore, ExactStore, GramStore
 from payloom.parsing import Span
 from payloom.sources.captures import first_times, read_captures
 from payloom.sources.texts import hosts, read_alerts
@@ -42,10 +42,17 @@ class Spec:
     store: str = "bloom"
     size: BloomSize = LARGE
     bloom: dict = field(default_factory=dict)
+    keep_at: str | None = None
+    append: bool = False
+    dump_to: str | None = None
 
     @staticmethod
     def parse(options: dict[str, str]) -> Spec:
-        """From the letters of the command line: I P i p E e S H h L N n T."""
+        """From the letters of the command line: I P i p E e S H h L N n T, and a A D.
+
+        N: bloom, small (a filter of fewer counters and hashes) or any other word for exact counts. a or A: the folder of a
+        store that the grams are added to, or that they replace. D: a folder for the dump of all counters.
+        """
         flag = lambda k: parsing.yes(options[k]) if k in options else None
         spans = lambda k, read: read(parsing.list_or_file(options[k])) if k in options else None
         n = parsing.int_ranges(options.get("n", "4"))[0]
@@ -53,7 +60,8 @@ class Spec:
         default = lambda k: True if flag(k) is None else flag(k)
         return Spec(
             low=int(n.low), high=int(n.high), protocols=spans("P", parsing.protocol_ranges), protocols_wanted=default("I"), ports=spans("p", parsing.port_ranges), ports_wanted=default("i"), entropy=spans("e", parsing.double_ranges), entropy_wanted=flag("E"),
-            alerts_wanted=flag("S"), alerted_hosts_wanted=flag("H"), safe=parsing.cidrs(parsing.list_or_file(options.get("h", ""))), listed_wanted=flag("L"), start=start, end=end, store=options.get("N", "bloom"),
+            alerts_wanted=flag("S"), alerted_hosts_wanted=flag("H"), safe=parsing.cidrs(parsing.list_or_file(options.get("h", ""))), listed_wanted=flag("L"), start=start, end=end, store=options.get("N", "bloom").replace("small", "bloom"), size=SMALL if options.get("N") == "small" else LARGE,
+            keep_at=options.get("a") or options.get("A"), append="a" in options, dump_to=options.get("D"),
         )
 
 
@@ -75,17 +83,34 @@ def select(packets: DataFrame, spec: Spec, *, alerts: DataFrame | None = None, l
 
 def count(rows: DataFrame, spec: Spec) -> GramStore:
     if spec.store == "bloom":
-        return BloomStore.build(rows, spec.low, spec.high, **({"k": spec.size.k, "per_entry": spec.size.per_entry} | spec.bloom))
+        return BloomStore.build(rows, spec.low, spec.high, **_sizes(spec))
     return ExactStore.build(rows, spec.low, spec.high)
 
 
+def _sizes(spec: Spec) -> dict:
+    return {"k": spec.size.k, "per_entry": spec.size.per_entry} | spec.bloom
+
+
+def keep(store: GramStore, spec: Spec) -> GramStore:
+    """Saves a store where the spec says, and dumps it: n, address in hexadecimal or slot, counter. What the folder then has is given back."""
+    if spec.keep_at:
+        store.save(spec.keep_at, mode="append" if spec.append else "overwrite")
+        spark = store.table.sparkSession
+        store = BloomStore.load(spark, spec.keep_at, spec.low, spec.high, **_sizes(spec)) if spec.store == "bloom" else ExactStore.load(spark, spec.keep_at, spec.low, spec.high)
+    if spec.dump_to:
+        rows = store.dump()
+        rows = rows if spec.store == "bloom" else rows.withColumn("g", F.hex("g"))
+        rows.write.mode("overwrite").option("sep", " ").csv(spec.dump_to)
+    return store
+
+
 def summary(store: GramStore) -> DataFrame:
     """n, mu, sigma, max, min, variance over mean: one row per n."""
     return store.stats().select("n", "mu", "sigma", "max", "min", (F.col("sigma") ** 2 / F.col("mu")).alias("dispersion")).orderBy("n")
 
 
 def analyse(packets: DataFrame, spec: Spec, **sides: DataFrame | None) -> DataFrame:
-    return summary(count(select(packets, spec, **sides), spec))
+    return summary(keep(count(select(packets, spec, **sides), spec), spec))
 
 
 def run(spark: SparkSession, options: dict[str, str], path: str) -> DataFrame:

@@ -94,6 +94,9 @@ def test_file_selection(spark):
     day = lambda d: dt.datetime(2024, 1, d)
     files = spark.createDataFrame([(f"f{d}", day(d)) for d in range(1, 9)], "file string, first_ts timestamp")
     assert [r["file"] for r in P.select_files(files, dt.datetime(2024, 1, 3, 12), dt.datetime(2024, 1, 5, 12)).orderBy("file").collect()] == ["f3", "f4", "f5", "f6"]
+    assert [r["file"] for r in P.select_files(files, dt.datetime(2024, 1, 3, 12), dt.datetime(2024, 1, 5, 12), limits=True).orderBy("file").collect()] == ["f3", "f6"]
+    assert [r["file"] for r in P.select_files(files.limit(1), None, None, limits=True).collect()] == ["f1"]
+    assert P.select_files(files.limit(0), None, None, limits=True).count() == 0
 
 
 def test_late_packets_end_a_file(spark):
@@ -165,3 +168,18 @@ def test_analysis_of_captures(spark, capture, tmp_path):
     assert set(rows) == {2, 3} and rows[2]["mu"] * 65536 == pytest.approx(sum(max(0, len(c[2][2]) - 1) for c in CASES if c[2] and c[2][0] in (6, 17)))
     spec = analysis.Spec.parse({"I": "no", "P": "tcp", "E": "yes", "e": "3-5", "S": "0", "h": "10.0.0.0/8", "n": "3"})
     assert (spec.protocols_wanted, spec.entropy_wanted, spec.alerts_wanted, spec.low, spec.high, spec.store) == (False, True, False, 3, 3, "bloom")
+
+
+@pytest.mark.parametrize("kind", ["array", "bloom"])
+def test_analysis_keeps_stores(spark, capture, tmp_path, kind):
+    packets = P.decode(captures.read_captures(spark, str(capture / "a.pcap")))
+    store, dump = str(tmp_path / "store"), str(tmp_path / "dump")
+    options = {"N": kind, "n": "2", "D": dump}
+    once = analysis.analyse(packets, analysis.Spec.parse(options | {"A": store})).first()
+    twice = analysis.analyse(packets, analysis.Spec.parse(options | {"a": store})).first()
+    assert twice["mu"] == pytest.approx(2 * once["mu"]) and twice["max"] == 2 * once["max"]
+    counters = [line.value.split(" ") for line in spark.read.text(dump).collect()]
+    assert len(counters) > 10 and {int(c[0]) for c in counters} == {2} and max(int(c[2]) for c in counters) == twice["max"]
+    again = analysis.analyse(packets, analysis.Spec.parse(options | {"A": store})).first()
+    assert again["mu"] == pytest.approx(once["mu"])
+    assert analysis.Spec.parse({"N": "small"}).size.k == 14 and analysis.Spec.parse({"N": "small"}).store == "bloom"
