@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,33 @@ def test_compat_drops_short_payloads(spark):
     assert table(G.explode_grams(df, 2, 10, compat=True).where("n IN (2, 10)").groupBy("n", "g").agg(F.count("*").alias("cnt"))) == want
 
 
+@pytest.mark.parametrize("n", [24, 25, 40])
+def test_long_grams_by_runs(spark, n, monkeypatch):
+    """Counts are exact over chunks, tasks and blocks of keys, with copies, overlaps and payloads of one byte value."""
+    rng = random.Random(n)
+    line = bytes(rng.randrange(256) for _ in range(60))
+    data = [b"a" * 200, b"ab" * 60, b"", line[:n], line[: n - 1], line, line, b"x" + line + b"y" + line[10:], *(bytes(rng.choice(b"ab") for _ in range(rng.randrange(90))) for _ in range(60))]
+    df = spark.createDataFrame([(bytearray(p),) for p in data] + [(None,)], "payload binary").repartition(4)
+    want = {(n, g): c for g, c in expected(data, n).items()}
+    assert table(G.gram_counts(df, n)) == want
+    monkeypatch.setattr(G, "CHUNK", 50)
+    runs = [t for block in G._blocks(iter([pa.record_batch([pa.array(data, pa.binary())], ["payload"])]), 0) for t in G._runs(*block, n).to_pylist()]
+    runs = pa.RecordBatch.from_pylist(sorted(runs, key=lambda r: r["key"]), pa.schema([("key", pa.int64()), ("body", pa.binary()), ("cnt", pa.int64())]))
+    parts = [b for b in G._count_runs((runs.slice(i, 3) for i in range(0, len(runs), 3)), n)]
+    assert len(parts) > 3 and Counter({(n, r["g"]): r["cnt"] for b in parts for r in b.to_pylist()}) == want
+    monkeypatch.setattr(G, "_mixed", lambda parts: parts[0] % np.uint64(3))  # many different grams of one hash
+    block, weight = np.frombuffer(b"abcabd" * 30 + line, np.uint8), np.full(240, 2)
+    grams, counts = G._count(block, 240 - np.arange(240), n, weight)
+    assert {bytes(g): c for g, c in zip(grams, counts.tolist(), strict=True)} == {g: 2 * c for g, c in expected([block.tobytes()], n).items()}
+
+
+def test_only_the_sizes_asked_are_counted(spark):
+    """Counting grams that a filter would drop took longer than the limit at 0.1 GB."""
+    data = [bytes(range(k)) for k in (0, 2, 38, 39, 40, 60)]
+    df = spark.createDataFrame([(bytearray(p),) for p in data], "payload binary")
+    assert table(G.gram_counts(df, 2, 40, compat=True, only=(2, 40))) == {(n, g): c for n in (2, 40) for g, c in expected(data[3:], n).items()}
+
+
 @pytest.mark.parametrize("kind", [ExactStore, BloomStore])
 def test_merge_delete_save_load(spark, tmp_path, kind):
     size = SIZE if kind is BloomStore else {}
