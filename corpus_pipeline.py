@@ -34,7 +34,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id with the piece ids' number and checksum, the scores of the n best segmentations and the decoding test."""
-    return pieces.piece_summary(docs)
+    return pieces.piece_summary(docs).drop("pieces", "crc32s")
 
 
 STAGES = [

@@ -42,7 +42,9 @@ MODEL = "piece_bpe_32k.model"
 N_BEST = 4
 UNKNOWN = 10
 SPACE = "▁"
-CACHE_WORDS = 800_000
+CACHE_WORDS = 250_000
+#: Words whose n best segmentations a worker remembers.
+CACHE_LISTS = 25_000
 #: Longer words are searched by themselves, not in numpy with others.
 LONG = 48
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
@@ -112,16 +114,20 @@ class Lattice:
         if not single:
             yield end - 1, -1 - ord(word[end - 1]), self.unknown_cost
 
-    def forward(self, word: str) -> list[Key]:
+    def forward(self, word: str, edges: list[list[tuple[int, int, int]]] | None = None) -> list[Key]:
         """The least (cost, pieces) of each prefix."""
         best: list[Key] = [(0, 0)]
-        for end in range(1, len(word) + 1):
-            best.append(min((best[start][0] + cost, best[start][1] + 1) for start, _, cost in self.edges(word, end)))
+        for steps in edges or self.all_edges(word):
+            best.append(min([(best[start][0] + cost, best[start][1] + 1) for start, _, cost in steps]))
         return best
 
-    def n_best(self, word: str, n: int, heuristic: list[Key] | None = None) -> list[Path]:
+    def all_edges(self, word: str) -> list[list[tuple[int, int, int]]]:
+        return [list(self.edges(word, end)) for end in range(1, len(word) + 1)]
+
+    def n_best(self, word: str, n: int) -> list[Path]:
         """The n first segmentations of a word as (cost, pieces, ids from the last to the first)."""
-        prefix = heuristic or self.forward(word)
+        edges = self.all_edges(word)
+        prefix = self.forward(word, edges)
         # a suffix: (the one it extends, its first piece's id, where it begins, its cost, its pieces)
         queue: list[tuple[int, int, int, tuple]] = [(*prefix[-1], 0, (None, 0, len(word), 0, 0))]
         least: list[tuple[int, int]] = []  # the n smallest keys queued so far, negated: each is a segmentation's
@@ -141,7 +147,7 @@ class Lattice:
                     out.append((*key, self._tail(suffix)))
                     continue
                 same = []
-                for start, name, step in self.edges(word, at):
+                for start, name, step in edges[at - 1]:
                     so_far = spent + step
                     more = (prefix[start][0] + so_far, prefix[start][1] + pieces + 1)
                     if more == key:
@@ -322,7 +328,7 @@ class Lattice:
     def word_list(self, word: str, n: int) -> list[Path]:
         got = self.lists.get((word, n))
         if got is None:
-            if len(self.lists) > self.cache_words // 32:
+            if len(self.lists) > CACHE_LISTS:
                 self.lists.clear()
             got = self.lists[word, n] = self.n_best(word, n)
         return got
@@ -392,8 +398,9 @@ class Lattice:
         before = np.cumsum(size) - size
         return self.raw_pool[np.repeat(self.raw_start[ids] - before, size) + np.arange(int(size.sum()))], size
 
-    def batch(self, texts: list[str | None], n: int) -> list[tuple[int, int, int, list[int], bool]]:
-        """Of each text: pieces, crc32 of the best ids (little-endian unsigned 32-bit), number of segmentations, their scores, whether decoding gives the text back."""
+    def batch(self, texts: list[str | None], n: int) -> list[tuple[int, int, int, list[int], list[int], list[int], bool]]:
+        """Of each text: pieces and crc32 of the best ids (little-endian unsigned 32-bit), number of segmentations, their scores, pieces and crc32s,
+        whether decoding each of them gives the text back."""
         split = [self.words(t) for t in texts]
         self.learn({w for words in split for w in words})
         place = np.array([k for words in split for k in map(self.place.__getitem__, words)], np.int64)
@@ -405,12 +412,25 @@ class Lattice:
         del costs, starts, sizes, pool
         total, cuts = np.concatenate(([0], np.cumsum(cost)))[ends], before[ends]
         body, widths = self.decode_flat(ids)
-        byte_cuts, body = np.concatenate(([0], np.cumsum(widths)))[cuts], body.tobytes()
+        bytes_before = np.concatenate(([0], np.cumsum(widths)))
+        byte_cuts, body = bytes_before[cuts], body.tobytes()
         raw, out, at, was, byte_at, spent = memoryview(ids.astype("<u4").tobytes()), [], 0, 0, 0, 0
         for text, words, end, cut, byte_cut, sum_ in zip(texts, split, ends.tolist(), cuts.tolist(), byte_cuts.tolist(), total.tolist(), strict=True):
-            scores = [spent - sum_ - more for more, _, _ in self.search(words, extra[at:end], n)]
-            back = body[byte_at:byte_cut][1:] == (text or "").replace(SPACE, " ").encode("utf-8", "surrogatepass")
-            out.append((cut - was, zlib.crc32(raw[4 * was : 4 * cut]), len(scores), scores, back))
+            want = (text or "").replace(SPACE, " ").encode("utf-8", "surrogatepass")
+            scores, counts, sums, back = [], [], [], True
+            for more, _, other in self.search(words, extra[at:end], n):
+                count, crc, id_at, decoded, text_at = cut - was, 0, was, [], byte_at
+                for i in sorted(other):  # what lies between the words that differ is as in the best
+                    a, b = int(before[at + i]), int(before[at + i + 1])
+                    new = self.to_ids([other[i]])
+                    crc = zlib.crc32(array("I", new), zlib.crc32(raw[4 * id_at : 4 * a], crc))
+                    decoded += [body[text_at : int(bytes_before[a])], *map(self.raw.__getitem__, new)]
+                    count, id_at, text_at = count + len(new) - (b - a), b, int(bytes_before[b])
+                scores.append(spent - sum_ - more)
+                counts.append(count)
+                sums.append(zlib.crc32(raw[4 * id_at : 4 * cut], crc))
+                back = back and b"".join((*decoded, body[text_at:byte_cut]))[1:] == want
+            out.append((counts[0], sums[0], len(scores), scores, counts, sums, back))
             at, was, byte_at, spent = end, cut, byte_cut, sum_
         return out
 
@@ -440,18 +460,20 @@ def segmentations(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def piece_summary(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, n: int = N_BEST) -> DataFrame:
-    """id, n_pieces, ids_crc32, n_best, scores (of the n best), decoded (whether decoding gives the text back)."""
+    """id, n_pieces and ids_crc32 of the best, n_best (how many there are of n), scores, pieces and crc32s of each of them, decoded (whether
+    decoding each of them gives the text back)."""
     file = model or model_path()
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = lattice_of(file).batch
         for batch in slices(batches):
-            columns = list(zip(*encode(batch.column(1).to_pylist(), n), strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [id_col, "n_pieces", "ids_crc32", "n_best", "scores", "decoded"])
+            columns = list(zip(*encode(batch.column(1).to_pylist(), n), strict=True)) or [()] * 7
+            longs = pa.list_(pa.int64())
+            kinds = [pa.int64(), pa.int64(), pa.int32(), longs, longs, longs, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [id_col, "n_pieces", "ids_crc32", "n_best", "scores", "pieces", "crc32s", "decoded"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.dtypes[0][1]}, n_pieces long, ids_crc32 long, n_best int, scores array<long>, decoded boolean")
+    return rows.mapInArrow(run, f"`{id_col}` {rows.dtypes[0][1]}, n_pieces long, ids_crc32 long, n_best int, scores array<long>, pieces array<long>, crc32s array<long>, decoded boolean")
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
 import random
 import time
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from payloom.llm import pieces as P
 
@@ -74,3 +78,22 @@ def test_edges(spark, edge_docs, edge_rows, no_docs):
             assert scores == sorted(scores, reverse=True) and len({tuple(b["ids"]) for b in best[i]}) == len(scores)
     assert P.piece_summary(no_docs).count() == 0
     assert [r["scores"] for r in rows if r["doc_id"] == 7][0][:3] == [b["score"] for b in best[7]]
+
+
+def test_every_segmentation_is_digested(spark, edge_docs, edge_rows):
+    """The ids of all n best, not of the best alone, make the summary."""
+    lattice = P.Lattice(P.model_path())
+    texts = {i: t for i, t in edge_rows if i in (1, 2, 3, 4, 6, 7, 10, 13, 14)}
+    for r in P.piece_summary(edge_docs.where(F.col("doc_id").isin(list(texts)))).collect():
+        best = [ids for _, ids in lattice.encode(texts[r["doc_id"]])]
+        assert r["pieces"] == [len(ids) for ids in best]
+        assert r["crc32s"] == [zlib.crc32(np.array(ids, "<u4").tobytes()) for ids in best]
+        assert (r["n_best"], r["n_pieces"], r["ids_crc32"]) == (len(best), r["pieces"][0], r["crc32s"][0])
+
+
+def test_each_segmentation_is_decoded(monkeypatch):
+    lattice, search = P.Lattice(P.model_path()), P.Lattice.search
+    wrong = lambda self, *a: [x if k < 2 else (*x[:2], {i: (5, *ids) for i, ids in x[2].items()}) for k, x in enumerate(search(self, *a))]
+    assert lattice.batch(["several words here"], 4)[0][-1]
+    monkeypatch.setattr(P.Lattice, "search", wrong)
+    assert not lattice.batch(["several words here"], 4)[0][-1]
