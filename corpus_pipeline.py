@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from payloom.llm import decontaminate, pieces, secrets, simhash, toxicity
-from payloom.llm.common import stored, table
+from payloom.llm.common import discard, stored, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents after all stages; each stage is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, name)
+            if i:
+                discard(before)
     return docs

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from payloom.llm.common import stored
+from payloom.llm.common import discard, stored
 
 #: A key with more than 1 / HOT of all rows, and LEAST_HOT at least, is hot.
 HOT = 512
@@ -58,5 +58,6 @@ def connected(edges: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now[0] == 0 or now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
-        edges = stored(_round(edges, now[0]), "edges")
+        before, old = now, edges
+        edges = stored(_round(old, now[0]), "edges")
+        discard(old)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from payloom.llm.common import LOWER_TABLE, Bits, bit_filter, slices, stored, table, utf8
+from payloom.llm.common import LOWER_TABLE, Bits, bit_filter, discard, slices, stored, table, utf8
 from payloom.llm.components import connected, split_join
 
 SHINGLE_WORDS = 3
@@ -529,14 +529,19 @@ def similar_links(reps: DataFrame, texts: DataFrame, common: np.ndarray, similar
     counts = rows.groupBy("key").agg(F.count("*").alias("n_key")).where("n_key > 1")
     tiles = stored(tiled(rows.join(counts, "key"), similarity), "tiles")
     first = connected(candidates(tile_pairs(tiles), similarity))
+    discard(tiles)
     roots = first.withColumnRenamed("node", "linked").hint("merge")
     groups = reps.join(roots, F.col("node") == F.col("linked"), "left").select("node", F.xxhash64(F.coalesce("root", "node")).alias("group"))
     grouped = stored(found.join(groups.hint("merge"), "node"), "grouped")
+    discard(found)
     blocks = grouped.select(F.explode("keys").alias("key"), "group").groupBy("key").agg(F.count("*").alias("n_key"), F.min("group").alias("low"), F.max("group").alias("high"))
     blocks = stored(blocks.where("low <> high").select("key", "n_key"), "keys")
     again = stored(tiled(chosen_keys(grouped, bit_filter(blocks, "key")).join(blocks, "key"), similarity), "tiles")
+    discard(grouped, blocks)
     links = candidates(tile_pairs(again), similarity).union(first.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    return verified(connected(links), reps, texts, similarity, shingle_words)
+    roots = connected(links)
+    discard(again)
+    return verified(roots, reps, texts, similarity, shingle_words)
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -545,9 +550,10 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     prints = stored(set_prints(texts, shingle_words), "prints")
     common = common_shingles(prints)
     found = _groups(prints.where("node IS NOT NULL"), "node", lambda reps: similar_links(reps, texts, common, similarity, shingle_words))
-    kept = found.select(F.col("component_id").alias("__id"), F.col("keep_content").alias("__content")).distinct()
-    rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__key"), content(id_col, text_col).alias("__own"))
-    joined = rows.join(kept.hint("merge"), F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__content")))
+    # ids in structs are equal where both are null, so one shuffle of the rows serves the join and the window
+    kept = stored(found.select(F.struct(F.col("component_id").alias("id")).alias("__key"), F.col("keep_content").alias("__own")).distinct(), "kept")
+    rows = docs.select(F.struct("*").alias("__row"), F.struct(F.col(id_col).alias("id")).alias("__key"), content(id_col, text_col).alias("__own"))
+    joined = rows.join(kept.hint("merge"), ["__key", "__own"])
     nth = F.row_number().over(Window.partitionBy("__key", "__own").orderBy(F.lit(0)))
     return joined.withColumn("__nth", nth).where("__nth = 1").select("__row.*")
 

@@ -1,4 +1,5 @@
 import os
+import time
 
 import pyarrow as pa
 
@@ -19,3 +20,18 @@ def test_cleaning_removes_what_was_stored(spark):
     assert os.path.exists(path)
     C.clean(spark)
     assert not os.path.exists(os.path.dirname(path))
+
+
+def test_discarded_tables_and_ended_shuffles_leave_no_files(spark):
+    files = lambda: [f for f in map(str, spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f]
+    before, usual = set(files()), spark.conf.get(C.SHUFFLE_CLEANUP)
+    made = C.stored(spark.range(100_000).repartition(7), "some")
+    deadline = time.time() + 20  # files go a moment after the write
+    while set(files()) - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not set(files()) - before
+    assert spark.conf.get(C.SHUFFLE_CLEANUP) == usual
+    assert made.count() == 100_000
+    folder = os.path.dirname(made.inputFiles()[0].removeprefix("file:"))
+    C.discard(made)
+    assert not os.path.exists(folder)

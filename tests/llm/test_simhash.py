@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from payloom.llm import common as C
 from payloom.llm import simhash as S
 from payloom.llm.components import connected, split_join
 from tests.llm.conftest import make_docs
@@ -148,3 +149,15 @@ def test_no_task_gathers_a_star(spark):
     rest = edges.join(least.where("cnt * 512 <= 60000"), "u")
     assert rest.groupBy("u").count().agg(F.max("count")).first()[0] == 1
     assert split_join(edges, least, "u", 60_000).count() == 60_000
+
+
+def test_near_dedup_leaves_little_behind(spark, edge_docs):
+    """Prefixes, tiles and rounds go once they are used, and whole rows are shuffled once; else all add up on disk."""
+    C.clean(spark)
+    kept = S.keep_one(edge_docs)
+    left = [path.rsplit("/", 1)[1].split("-")[0] for path in C._MADE[spark.sparkContext.applicationId]]
+    assert not {"prefixes", "grouped", "tiles", "keys"} & set(left) and left.count("edges") <= 3
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    ids = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert len(ids) == len(set(ids)) and kept.columns == edge_docs.columns
