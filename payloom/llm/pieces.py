@@ -42,7 +42,7 @@ MODEL = "piece_bpe_32k.model"
 N_BEST = 4
 UNKNOWN = 10
 SPACE = "▁"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 #: Words whose n best segmentations a worker remembers.
 CACHE_LISTS = 25_000
 #: Longer words are searched by themselves, not in numpy with others.
@@ -103,16 +103,13 @@ class Lattice:
 
     # --- one word, by the method itself
 
-    def edges(self, word: str, end: int) -> Iterator[tuple[int, int, int]]:
+    def edges(self, word: str, end: int) -> list[tuple[int, int, int]]:
         """(start, id, cost) of the edges that end at a place; an unknown character's id is -1 - its code point."""
-        single = False
-        for start in range(max(0, end - self.longest), end):
-            got = self.cost.get(word[start:end])
-            if got:
-                single |= start == end - 1
-                yield start, *got
-        if not single:
-            yield end - 1, -1 - ord(word[end - 1]), self.unknown_cost
+        piece = self.cost.get
+        found = [(start, *got) for start in range(max(0, end - self.longest), end) if (got := piece(word[start:end]))]
+        if not found or found[-1][0] != end - 1:
+            found.append((end - 1, -1 - ord(word[end - 1]), self.unknown_cost))
+        return found
 
     def forward(self, word: str, edges: list[list[tuple[int, int, int]]] | None = None) -> list[Key]:
         """The least (cost, pieces) of each prefix."""
@@ -122,7 +119,7 @@ class Lattice:
         return best
 
     def all_edges(self, word: str) -> list[list[tuple[int, int, int]]]:
-        return [list(self.edges(word, end)) for end in range(1, len(word) + 1)]
+        return [self.edges(word, end) for end in range(1, len(word) + 1)]
 
     def n_best(self, word: str, n: int) -> list[Path]:
         """The n first segmentations of a word as (cost, pieces, ids from the last to the first)."""
