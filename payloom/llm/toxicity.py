@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payloom.llm.common import ALNUM_TABLE, remainder, slices, table, utf8
+from payloom.llm.common import ALNUM_TABLE, release, remainder, slices, table, utf8
 
 BITS = 26
 FACTORS = 4
@@ -187,7 +187,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     got = rows.groupBy("id").agg(F.max("label").alias("label"), F.min("columns").alias("columns")).toPandas()
     got["order"] = [zlib.crc32(str(i).encode()) for i in got["id"]]
     got = got.sort_values(["order", "id"])
-    return fit([np.frombuffer(c, np.int32) for c in got["columns"]], got["label"].to_numpy())
+    model = fit([np.frombuffer(c, np.int32) for c in got["columns"]], got["label"].to_numpy())
+    del got
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Machine, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
