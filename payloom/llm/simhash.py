@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from payloom.llm.common import LOWER_TABLE, Bits, bit_filter, discard, slices, stored, table, utf8
-from payloom.llm.components import connected, split_join
+from payloom.llm.components import connected, forest, split_join
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -97,19 +97,6 @@ def content(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
 
 
-def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest one of its component under the edges u-v."""
-    root = np.arange(n)
-    while True:
-        before = root.copy()
-        least = np.minimum(root[u], root[v])
-        np.minimum.at(root, u, least)
-        np.minimum.at(root, v, least)
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within a (b None) or between and within the linked parts of a and b, as two arrays."""
     other = a if b is None else b

@@ -1,12 +1,14 @@
 import random
+import time
 
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
 from payloom.llm import common as C
+from payloom.llm import components as K
 from payloom.llm import simhash as S
-from payloom.llm.components import connected, split_join
+from payloom.llm.components import connected, forest, split_join
 from tests.llm.conftest import make_docs
 
 
@@ -66,6 +68,36 @@ def test_connected(spark):
     assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_few_edges_are_connected_by_one_task(spark, monkeypatch):
+    """Components of a bounded number of edges take three tables, however long their paths; a round of stars takes four."""
+    rng = random.Random(7)
+    name = rng.sample(range(-5000, 5000), 700)
+    edges = [(name[i], name[i + 1]) for i in range(400)] + [(name[rng.randrange(420, 560)], name[rng.randrange(420, 560)]) for _ in range(120)] + [(name[600], name[i]) for i in range(601, 700)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    binary = df.select(*[F.unhex(F.lpad(F.hex(F.col(c) + 5000), 16, "0")).alias(c) for c in "uv"])
+    written = []
+    monkeypatch.setattr(K, "stored", lambda df, name: written.append(name) or C.stored(df, name))
+    got = {r["node"]: r["root"] for r in connected(df).collect()}
+    assert len(written) <= 3
+    bytewise = {int(r["node"].hex(), 16) - 5000: int(r["root"].hex(), 16) - 5000 for r in connected(binary).collect()}
+    monkeypatch.setattr(K, "FEW", 0)
+    stars = {r["node"]: r["root"] for r in connected(df).collect()}
+    assert got == stars == bytewise and len(written) > 12
+    nodes = sorted(name)
+    at = {x: i for i, x in enumerate(nodes)}
+    root = forest(len(nodes), *(np.array([at[e[k]] for e in edges]) for k in (0, 1)))
+    assert {x: nodes[r] for x, r in zip(nodes, root.tolist(), strict=True) if nodes[r] != x} == got
+
+
+def test_long_paths_take_few_steps():
+    n = 200_000
+    path = np.random.default_rng(1).permutation(n)
+    began = time.process_time()
+    assert not forest(n, path[:-1], path[1:]).any()
+    assert time.process_time() - began < 20
+
+
 def test_one_of_each_group_stays(spark, edge_docs, no_docs):
     rng = random.Random(4)
     text = [f"w{rng.randrange(500)}" for _ in range(300)]
