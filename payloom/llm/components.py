@@ -4,7 +4,7 @@ Every round replaces neighbours by the smallest one, with partial aggregation be
 stars around their smallest node after about log rounds. Each round is written to the shared folder, so lineage stays
 short and a lost executor costs one round at most. Nothing is collected but two numbers a round. Of `FEW` edges at most,
 whatever the input, one task makes all components at once; a round would write four tables, each file of which costs a
-JVM on a local disk two child processes (chmod of the file and of its checksum), which count its memory again while they start.
+JVM on a local disk three child processes (chmod of folder, file and checksum), which share its memory until they start.
 
 The centre of a large star is one key with very many edges. Nodes with over 1 / `HOT` of all edges (so fewer than HOT of
 them) come to the driver and are broadcast with their smallest neighbour, so their edges stay where they are; only edges
