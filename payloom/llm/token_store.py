@@ -10,9 +10,9 @@ Files are written and read by Spark (one row per shard: partition, seq, doc_ids,
 Spark reaches will do. Positions come from shard totals: running sums over partitions (as many rows as partitions) and
 within a partition.
 
-Encoding: words (runs without white space) repeat a lot, so each worker process keeps the ids of the last `CACHE_WORDS`
-distinct words at most, found with the tokenizer's own model; texts with characters outside `SAFE` are encoded whole by
-the library. Both give the library's ids.
+Encoding: parts of words repeat a lot, so each worker process keeps the ids of `CACHE_WORDS` distinct ones before it forgets
+those that came least; those of all new parts of a slice are found by one call of the tokenizer's own model. Texts with
+characters outside `SAFE` are encoded whole by the library. Both give the library's ids.
 
 Defined results: a null text is empty and has the end id alone; ids are stored in ascending order with null ids first,
 ties in the order of the text's hash; repeated rows are stored as often as they come. Other columns are ignored.
@@ -39,8 +39,10 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Tokens after which a shard ends; documents aren't split.
 SHARD_TOKENS = 1 << 20
-#: Distinct words that a worker process remembers at most.
-CACHE_WORDS = 600_000
+#: Distinct parts of words that a worker process remembers at most, but for those of one slice.
+CACHE_WORDS = 300_000
+#: Lists whose ids are put together at once, few enough for a processor's cache.
+GATHER = 1 << 15
 BLOCK_BITS = 512
 MAGIC = b"DAC1"
 
@@ -125,8 +127,35 @@ def _classes() -> tuple[str, str]:
     return quoted("L"), quoted("N")
 
 
+class _Lists:
+    """Lists of token ids, one after another."""
+
+    def __init__(self):
+        self.start, self.size, self.pool = array("q"), array("q"), array("I")
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        sizes = sizes.astype(np.int64)
+        self.start.frombytes((len(self.pool) + np.cumsum(sizes) - sizes).tobytes())
+        self.size.frombytes(sizes.tobytes())
+        self.pool.frombytes(ids.astype(np.uint32).tobytes())
+
+    def cut(self, lists: int, ids: int) -> None:
+        """Forget all after the first lists and ids."""
+        del self.start[lists:], self.size[lists:], self.pool[ids:]
+
+    def get(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the lists at these places, and how many each has."""
+        start, size, pool = np.frombuffer(self.start, np.int64), np.frombuffer(self.size, np.int64), np.frombuffer(self.pool, np.uint32)
+        sizes, out = size[place], [np.empty(0, np.uint32)]
+        for at in range(0, len(place), GATHER):
+            part = sizes[at : at + GATHER]
+            before = np.cumsum(part)
+            out.append(pool[np.repeat(start[place[at : at + GATHER]] - before + part, part) + np.arange(before[-1])])
+        return np.concatenate(out), sizes
+
+
 class WordEncoder(dict):
-    """Maps a word to its place in `start`, `size` and `pool`, where its token ids are."""
+    """Numbers parts of words; the token ids of a part are the list at its number, list 0 is the end id. `learn` makes the lists of new parts."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
@@ -134,55 +163,63 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
+        self.model = Tokenizer(self.tokenizer.model)  # of parts as they are: no normalizer, nothing parted further
         self.cache_words = cache_words
         letters, numbers = _classes()
         self.parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+").findall
         self.unsafe = re.compile(f"[^{re.escape(SAFE)}]").search
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in {*SAFE, *SAFE.lower()} if not c.isspace()}
-        self.reset()
-
-    def reset(self) -> None:
+        self.new: list[str] = []
+        self.lists, self.seen = _Lists(), np.zeros(1, np.int64)
+        self.lists.add(np.array([END_ID]), np.ones(1))
+
+    def __missing__(self, part: str) -> int:
+        number = self[part] = len(self) + 1
+        self.new.append(part)
+        return number
+
+    def learn(self) -> None:
+        """Make the lists of the parts that were new."""
+        if self.new:
+            got = self.model.encode([p if p.isascii() else p.translate(self.as_bytes) for p in self.new], is_pretokenized=True, add_special_tokens=False)
+            self.lists.add(np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(self.new)))
+            self.new.clear()
+
+    def shrink(self) -> None:
+        """Keep the parts that came most often, half of the cache at most and none that came once."""
+        seen = self.seen[1:]
+        stays = seen > max(1, np.partition(seen, -(self.cache_words // 2) - 1)[-(self.cache_words // 2) - 1])
+        ids, sizes = self.lists.get(np.append(0, np.flatnonzero(stays) + 1))
+        parts = [part for part, stay in zip(self, stays.tolist(), strict=True) if stay]
         self.clear()
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.start, self.size, self.pool = array("q"), array("q"), array("I")
-
-    def __missing__(self, word: str) -> int:
-        place = self[word] = len(self.start)
-        self.start.append(len(self.pool))
-        for part in self.parts(word.lower()):
-            ids = self.known.get(part)
-            if ids is None:
-                ids = self.known[part] = tuple(t.id for t in self.tokenizer.model.tokenize(part if part.isascii() else part.translate(self.as_bytes)))
-            self.pool.extend(ids)
-        self.size.append(len(self.pool) - self.start[-1])
-        return place
+        self.update(zip(parts, range(1, len(parts) + 1), strict=True))
+        self.lists, self.seen = _Lists(), np.zeros(len(parts) + 1, np.int64)
+        self.lists.add(ids, sizes)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, each with the end id; number of ids of each."""
         if len(self) > self.cache_words:
-            self.reset()
-        words: list[int] = []
-        ends, whole = [], {}
-        for i, text in enumerate(texts):
-            if text and self.unsafe(text) or text and "<|" in text:
-                whole[i] = self.tokenizer.encode(text, add_special_tokens=False).ids
+            self.shrink()
+        numbers, ends, whole = [], [], []
+        for text in texts:
+            if text and (self.unsafe(text) or "<|" in text):
+                whole.append((len(numbers), self.tokenizer.encode(text, add_special_tokens=False).ids))
+                numbers.append(0)
             elif text:
-                words += map(self.__getitem__, text.split())
-            ends.append(len(words))
-        place = np.array(words, np.int64)
-        start, size, pool = np.frombuffer(self.start, np.int64), np.frombuffer(self.size, np.int64), np.frombuffer(self.pool, np.uint32)
-        sizes = size[place] if len(place) else place
-        before = np.concatenate(([0], np.cumsum(sizes)))
-        ids = pool[np.repeat(start[place] - before[:-1], sizes) + np.arange(before[-1])] if before[-1] else np.empty(0, np.uint32)
-        cuts = before[ends]
-        del start, size, pool
-        if whole:
-            pieces = np.split(ids, cuts[:-1])
-            for i, got in whole.items():
-                pieces[i] = np.array(got, np.uint32)
-            cuts, ids = np.cumsum([len(p) for p in pieces]), np.concatenate(pieces)
-        return np.insert(ids, cuts, END_ID).astype(np.uint32), np.diff(cuts, prepend=0) + 1
+                numbers += map(self.__getitem__, self.parts(text.lower()))
+            numbers.append(0)
+            ends.append(len(numbers))
+        self.learn()
+        place = np.array(numbers, np.int64)
+        known = len(self.lists.start), len(self.lists.pool)
+        self.seen = np.bincount(place, minlength=known[0]) + np.pad(self.seen, (0, known[0] - len(self.seen)))
+        for at, ids in whole:
+            place[at] = len(self.lists.start)
+            self.lists.add(np.array(ids, np.uint32), np.array([len(ids)]))
+        ids, sizes = self.lists.get(place)
+        self.lists.cut(*known)
+        return ids, np.diff(np.cumsum(sizes)[np.array(ends, np.int64) - 1], prepend=0)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -35,6 +36,30 @@ def test_words_encode_as_the_library_does():
         assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_forgets_rare_words_and_keeps_frequent_ones():
+    tokenizer, encoder = Tokenizer.from_file(S.tokenizer_path()), S.WordEncoder(S.tokenizer_path(), cache_words=400)
+    rng = random.Random(2)
+    for _ in range(30):
+        part = ["often, it's " + " ".join("".join(rng.choice("abcdeé") for _ in range(8)) for _ in range(20)) for _ in range(9)] + [None, "日本 often"]
+        ids, sizes = encoder.encode(part)
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [S.END_ID] for t in part]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert {"often", ",", "it", "'s"} <= encoder.keys() and len(encoder) <= 400 + 184
+
+
+def test_memory_of_many_distinct_words():
+    """360,000 words, each seen once: what a worker remembers is bounded and small."""
+    encoder, name = S.WordEncoder(S.tokenizer_path()), lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:08d}")
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        for at in range(0, 360_000, 18_000):
+            encoder.encode([" ".join(map(name, range(k, k + 100))) for k in range(at, at + 18_000, 100)])
+        assert tracemalloc.get_traced_memory()[0] - before < 90 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_edges(spark, edge_docs, edge_rows, no_docs, monkeypatch):
     path = shared_path(spark, "t")
     S.write_tokens(edge_docs, path)
