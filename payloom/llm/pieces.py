@@ -12,9 +12,9 @@ that can't be among the n best any more aren't queued, so a long word takes memo
 
 No piece reaches over a space that follows another character, so the lattice is a chain of words; words of over `LONG`
 characters are parted further wherever no piece that occurs in them reaches over, as in text without spaces. A worker remembers the
-best segmentation and the distance of the second of its last `CACHE_WORDS` words, found for all new words of a
+best segmentation and the distance of the second of `CACHE_WORDS` words before it forgets the rarer ones, found for all new words of a
 slice at once by forward and backward Viterbi passes in numpy (for words that stay long, by the search itself). The n best of a whole text differ from the best in at
-most n-1 words, which the distances name; only those words are searched, and their lists are merged exactly.
+most n-1 words, which the distances name; only those words are searched, no farther than the n-th best can be, and their lists are merged exactly.
 
 Defined results: null and empty texts have no pieces, one empty segmentation of score 0, and decode to the empty text;
 a text has fewer than n segmentations if there are no more; repeated rows each get their row. Decoding gives the text
@@ -28,7 +28,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 from operator import itemgetter
 
 import numpy as np
@@ -48,9 +48,15 @@ CACHE_LISTS = 25_000
 #: Longer words are searched by themselves, not in numpy with others.
 LONG = 48
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-_UNBROKEN = re.compile(f"[^{SPACE}]{{{LONG}}}").search
 INF = 1 << 60
+#: Bits of a search's key that count pieces.
+PIECES = 32
+#: Words solved at once in numpy.
+TOGETHER = 1024
 NONE = INF * 2048.0
+#: In numpy a key is cost * BIG + pieces, so that one minimum orders both; NO_KEY: of no edge or path.
+BIG = 1 << 12
+NO_KEY = 1 << 61
 
 Key = tuple[int, int]
 Path = tuple[int, int, tuple[int, ...]]
@@ -62,6 +68,11 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def word_of(name: str) -> str:
+    """The word that words() names so."""
+    return name[1:] if name[0] == " " else SPACE + name
+
+
 class Lattice:
     """The pieces of a file and the search over them."""
 
@@ -76,7 +87,9 @@ class Lattice:
         self.unknown_id = model.unk_id()
         self.cost = {n: (i, round(-model.get_score(i))) for i, (n, special) in enumerate(zip(self.names, kinds, strict=True)) if not special}
         self.unknown_cost = max(c for _, c in self.cost.values() if c < 1_000_000) + UNKNOWN
+        self.key = {n: (i, (c << PIECES) + 1) for n, (i, c) in self.cost.items()}
         self.longest = max(map(len, self.cost))
+        self.length = np.array([len(n) for n in self.names], np.int64)
         self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else n.replace(SPACE, " ").encode() for i, n in enumerate(self.names)]
         self.raw_size = np.array([len(r) for r in self.raw], np.int64)
         self.raw_start = np.cumsum(self.raw_size) - self.raw_size
@@ -90,7 +103,26 @@ class Lattice:
         self.place: dict[str, int] = {}
         self.costs, self.counts, self.extra = array("q"), array("q"), array("d")
         self.starts, self.sizes, self.pool = array("q"), array("q"), array("i")
-        self.lists: dict[tuple[str, int], list[Path]] = {}
+        self.seen = np.zeros(0, np.int64)
+        self.lists: dict[tuple[str, int], tuple[int | None, list[Path]]] = {}
+
+    def shrink(self) -> None:
+        """Keep the words that came most often, half of the cache at most and none that came once."""
+        half = self.cache_words // 2
+        seen = np.pad(self.seen, (0, len(self.costs) - len(self.seen)))
+        stays = seen > (max(1, np.partition(seen, -half - 1)[-half - 1]) if len(seen) > half else 1)
+        words = [word for word, stay in zip(self.place, stays.tolist(), strict=True) if stay]
+        kept, lists = [np.array(x)[stays] for x in (self.costs, self.counts, self.extra, self.starts, self.sizes)], self.lists
+        pool, before = np.array(self.pool), np.cumsum(kept[4])
+        if len(before) and before[-1] > 8 * self.cache_words:
+            return self.reset()
+        ids = pool[np.repeat(kept[3] - before + kept[4], kept[4]) + np.arange(before[-1] if len(before) else 0)]
+        self.reset()
+        self.lists = lists
+        self.place.update(zip(words, range(len(words)), strict=True))
+        kept[3] = before - kept[4]
+        for x, new in zip((self.costs, self.counts, self.extra, self.starts, self.sizes, self.pool), (*kept, ids), strict=True):
+            x.frombytes(new.tobytes())
 
     def _keep(self, word: str, cost: int, pieces: int, tail: tuple[int, ...], more_cost: int, more_pieces: int) -> None:
         self.place[word] = len(self.costs)
@@ -106,7 +138,7 @@ class Lattice:
     def edges(self, word: str, end: int) -> list[tuple[int, int, int]]:
         """(start, id, cost) of the edges that end at a place; an unknown character's id is -1 - its code point."""
         piece = self.cost.get
-        found = [(start, *got) for start in range(max(0, end - self.longest), end) if (got := piece(word[start:end]))]
+        found = [(start, got[0], got[1]) for start in range(max(0, end - self.longest), end) if (got := piece(word[start:end]))]
         if not found or found[-1][0] != end - 1:
             found.append((end - 1, -1 - ord(word[end - 1]), self.unknown_cost))
         return found
@@ -121,39 +153,62 @@ class Lattice:
     def all_edges(self, word: str) -> list[list[tuple[int, int, int]]]:
         return [self.edges(word, end) for end in range(1, len(word) + 1)]
 
-    def n_best(self, word: str, n: int) -> list[Path]:
-        """The n first segmentations of a word as (cost, pieces, ids from the last to the first)."""
-        edges = self.all_edges(word)
-        prefix = self.forward(word, edges)
-        # a suffix: (the one it extends, its first piece's id, where it begins, its cost, its pieces)
-        queue: list[tuple[int, int, int, tuple]] = [(*prefix[-1], 0, (None, 0, len(word), 0, 0))]
-        least: list[tuple[int, int]] = []  # the n smallest keys queued so far, negated: each is a segmentation's
+    def n_best(self, word: str, n: int, over: int | None = None) -> list[Path]:
+        """The n first segmentations of a word as (cost, pieces, ids from the last to the first); those that cost at most `over` more than the first, if given."""
+        # a key is cost << PIECES | pieces, so that keys are added and compared as one number
+        edges: list[list[tuple[int, int, int]]] = []
+        prefix, piece = [0], self.key.get
+        for end in range(1, len(word) + 1):
+            steps, best = [], INF << PIECES
+            for start in range(max(0, end - self.longest), end):
+                if got := piece(word[start:end]):
+                    name, step = got
+                    steps.append((start, name, step))
+                    if prefix[start] + step < best:
+                        best = prefix[start] + step
+            if not steps or steps[-1][0] != end - 1:
+                step = (self.unknown_cost << PIECES) + 1
+                steps.append((end - 1, -1 - ord(word[end - 1]), step))
+                best = min(best, prefix[-1] + step)
+            edges.append(steps)
+            prefix.append(best)
+        # a suffix: (the one it extends, its first piece's id, where it begins, its key)
+        queue: list[tuple[int, int, tuple]] = [(prefix[-1], 0, (None, 0, len(word), 0))]
+        top = prefix[-1] + (over + 1 << PIECES) if over is not None else INF << PIECES
+        least: list[int] = []  # the n smallest keys queued so far, negated: each is a segmentation's
         out: list[Path] = []
         count = 0
         while queue and len(out) < n:
-            key, open_ = queue[0][:2], []
-            while queue and queue[0][:2] == key:
-                open_.append(heapq.heappop(queue)[3])
+            key, open_ = queue[0][0], []
+            while queue and queue[0][0] == key:
+                open_.append(heapq.heappop(queue)[2])
             if len(open_) > 1:
                 open_ = heapq.nsmallest(n - len(out), open_, key=self._tail)
             open_.reverse()
             while open_ and len(out) < n:
                 suffix = open_.pop()
-                _, _, at, spent, pieces = suffix
+                _, _, at, spent = suffix
                 if at == 0:
-                    out.append((*key, self._tail(suffix)))
+                    out.append((key >> PIECES, key & (1 << PIECES) - 1, self._tail(suffix)))
                     continue
                 same = []
                 for start, name, step in edges[at - 1]:
                     so_far = spent + step
-                    more = (prefix[start][0] + so_far, prefix[start][1] + pieces + 1)
+                    more = prefix[start] + so_far
                     if more == key:
-                        same.append((suffix, name, start, so_far, pieces + 1))
-                    elif len(least) < n or more <= (-least[0][0], -least[0][1]):
-                        (heapq.heappush if len(least) < n else heapq.heappushpop)(least, (-more[0], -more[1]))
+                        same.append((suffix, name, start, so_far))
+                    elif more < top:
+                        if len(least) < n:
+                            heapq.heappush(least, -more)
+                        elif more <= -least[0]:
+                            heapq.heapreplace(least, -more)
+                        else:
+                            continue
                         count += 1
-                        heapq.heappush(queue, (*more, count, (suffix, name, start, so_far, pieces + 1)))
-                open_ += sorted(same, key=itemgetter(1), reverse=True)
+                        heapq.heappush(queue, (more, count, (suffix, name, start, so_far)))
+                if len(same) > 1:
+                    same.sort(key=itemgetter(1), reverse=True)
+                open_ += same
         return out
 
     @staticmethod
@@ -175,7 +230,7 @@ class Lattice:
         with np.errstate(over="ignore"):
             for length in range(1, min(self.longest, n) + 1):
                 h = self._mix(h[: n - length + 1], chars[length - 1 :])
-                at = np.flatnonzero(self._look_up(h)[0]) if length > 1 else np.empty(0, np.int64)
+                at = np.flatnonzero(self._look_up(h) >= 0) if length > 1 else np.empty(0, np.int64)
                 np.add.at(over, at + 1, 1)
                 np.add.at(over, at + length, -1)
         cuts = np.flatnonzero(np.cumsum(over)[1:n] == 0) + 1
@@ -196,16 +251,24 @@ class Lattice:
         top = np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)
         self.first = np.append(np.searchsorted(self.codes, top), len(self.codes))
         self.probes = int(np.diff(self.first).max())
-
-    def _look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are pieces', and where those are."""
-        at = self.first[(h >> np.uint64(44)).astype(np.int64)]
-        found = np.full(h.shape, -1, np.int64)
+        self.used = np.diff(self.first) > 0
+        # of a slot's piece, and at -1 of none
+        self.slot_key = np.append(self.code_cost * BIG + 1, NO_KEY)
+        self.slot_id = np.append(self.code_id, -1).astype(np.int32)
+
+    def _look_up(self, h: np.ndarray) -> np.ndarray:
+        """Where the pieces with these hashes are; -1: nowhere."""
+        flat = h.ravel()
+        top = (flat >> np.uint64(44)).astype(np.int64)
+        out = np.full(len(flat), -1, np.int64)
+        may = np.flatnonzero(self.used[top])
+        at, want = self.first[top[may]], flat[may]
         for _ in range(self.probes):
             inside = np.minimum(at, len(self.codes) - 1)
-            found = np.where(self.codes[inside] == h, inside, found)
+            hit = self.codes[inside] == want
+            out[may[hit]] = inside[hit]
             at = at + 1
-        return found >= 0, found
+        return out.reshape(h.shape)
 
     @staticmethod
     def _mix(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -233,75 +296,73 @@ class Lattice:
         flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         rows = np.repeat(np.arange(count), size)
         chars[np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size), rows] = flat
-        # a key is cost * BIG + pieces, so that one minimum orders both
-        big, none = 1 << 12, 1 << 61
+        big, none = BIG, NO_KEY
         most = min(self.longest, width)
         key = np.full((width + 1, most + 1, count), none, np.int64)  # [end, length, word]
-        name = np.full((width + 1, most + 1, count), -1, np.int64)
+        name = np.full((width + 1, most + 1, count), -1, np.int32)
         h = np.ones((width, count), np.uint64)
         with np.errstate(over="ignore"):
             for length in range(1, most + 1):
                 starts = width - length + 1
                 h = self._mix(h[:starts], chars[length - 1 : length - 1 + starts])
-                hit, slot = self._look_up(h)
-                key[length:, length][hit] = self.code_cost[slot[hit]] * big + 1
-                name[length:, length][hit] = self.code_id[slot[hit]]
+                slot = self._look_up(h)
+                key[length:, length] = self.slot_key[slot]
+                name[length:, length] = self.slot_id[slot]
         for end in range(1, width + 1):
             lost = (key[end, 1] == none) & (size >= end)
             key[end, 1, lost] = self.unknown_cost * big + 1
             name[end, 1, lost] = -1 - chars[end - 1, lost].astype(np.int64)
-        left = np.full((width + 1, count), none, np.int64)
-        left[0] = 0
+        # forward: the best of each prefix, and of its last edges the one with the smallest id
+        left, last = np.zeros((width + 1, count), np.int64), np.zeros((width + 1, count), np.int32)
         for end in range(1, width + 1):
-            lengths = np.arange(1, min(most, end) + 1)
-            left[end] = np.minimum(none, (left[end - lengths] + key[end, lengths]).min(axis=0))
+            m = min(most, end)
+            through = left[end - m : end][::-1] + key[end, 1 : m + 1]
+            best = through.min(axis=0)
+            last[end] = np.where(through == best, name[end, 1 : m + 1], np.iinfo(np.int32).max).min(axis=0)
+            np.minimum(best, none, out=left[end])
         right = np.full((width + 1, count), none, np.int64)
         right[size, np.arange(count)] = 0
-        for start in range(width - 1, -1, -1):
-            lengths = np.arange(1, min(most, width - start) + 1)
-            right[start] = np.minimum(right[start], (right[start + lengths] + key[start + lengths, lengths]).min(axis=0))
+        for end in range(width, 0, -1):
+            m = min(most, end)
+            before = right[end - m : end][::-1]
+            np.minimum(before, key[end, 1 : m + 1] + right[end], out=before)
         total = left[size, np.arange(count)]
-        # from the end, the best edge; ties by the smaller id
-        at, of, ids, on_path = size.copy(), [], [], np.zeros_like(key, bool)
-        while True:
-            open_ = np.flatnonzero(at > 0)
-            if not len(open_):
-                break
-            lengths = np.arange(1, most + 1)[:, None]
-            start = at[open_][None, :] - lengths
-            through = np.where(start >= 0, left[np.maximum(start, 0), open_[None, :]] + key[at[open_][None, :], lengths, open_[None, :]], none)
-            names = name[at[open_][None, :], lengths, open_[None, :]]
-            best = through.min(axis=0)
-            pick = np.where(through == best, names, none).argmin(axis=0)
-            on_path[at[open_], pick + 1, open_] = True
+        # from the end, the best edges; on_path: their lengths
+        at, of, ids, on_path = size.copy(), [], [], np.zeros((width + 1, count), np.int64)
+        while len(open_ := np.flatnonzero(at)):
+            ids.append(last[at[open_], open_])
             of.append(open_)
-            ids.append(names[pick, np.arange(len(open_))])
-            at[open_] -= pick + 1
+            length = np.where(ids[-1] < 0, 1, self.length[ids[-1]])
+            on_path[at[open_], open_] = length
+            at[open_] -= length
         second = np.full(count, none, np.int64)
         for end in range(1, width + 1):
-            lengths = np.arange(1, min(most, end) + 1)
-            through = left[end - lengths] + key[end, lengths] + right[end]
-            second = np.minimum(second, np.where(on_path[end, lengths], none, through).min(axis=0))
+            m = min(most, end)
+            through = left[end - m : end][::-1] + key[end, 1 : m + 1]
+            through += right[end]
+            here = np.flatnonzero(on_path[end])
+            through[on_path[end, here] - 1, here] = none
+            np.minimum(second, through.min(axis=0), out=second)
         alone = second >= none
         more_cost = np.where(alone, INF, second // big - total // big)
         more_pieces = np.where(alone, 0, second % big - total % big)
         return total // big, total % big, more_cost, more_pieces, np.concatenate(of), np.concatenate(ids)
 
     def learn(self, words: set[str]) -> None:
-        """Solve the words that aren't known yet."""
+        """Solve the words, given by their names, that aren't known yet."""
         if len(self.place) > self.cache_words or len(self.pool) > 16 * self.cache_words:
-            self.reset()
+            self.shrink()
         new = sorted(words - self.place.keys(), key=len)
-        short = [w for w in new if len(w) <= LONG]
-        for at in range(0, len(short), 512):
-            self._learn_short(short[at : at + 512])
-        for w in new[len(short) :]:
-            paths = self.n_best(w, 2)
+        short = [w for w in new if len(word_of(w)) <= LONG]
+        for at in range(0, len(short), TOGETHER):
+            self._learn_short(short[at : at + TOGETHER])
+        for w in sorted(set(new) - set(short)):
+            paths = self.n_best(word_of(w), 2)
             more = (paths[1][0] - paths[0][0], paths[1][1] - paths[0][1]) if len(paths) > 1 else (INF, 0)
             self._keep(w, *paths[0], *more)
 
     def _learn_short(self, words: list[str]) -> None:
-        cost, pieces, more_cost, more_pieces, of, ids = self._solve(words)
+        cost, pieces, more_cost, more_pieces, of, ids = self._solve(list(map(word_of, words)))
         order = np.argsort(of[::-1], kind="stable")
         of, ids = of[::-1][order], ids[::-1][order]
         sizes = np.bincount(of, minlength=len(words))
@@ -322,22 +383,31 @@ class Lattice:
         self.sizes.frombytes(sizes.astype(np.int64).tobytes())
         self.pool.frombytes(ids.astype(np.int32).tobytes())
 
-    def word_list(self, word: str, n: int) -> list[Path]:
-        got = self.lists.get((word, n))
-        if got is None:
+    def word_list(self, word: str, n: int, over: int | None = None) -> list[Path]:
+        """As n_best, of a word by its name; there may be some that cost more."""
+        known, got = self.lists.get((word, n), (-1, []))
+        if known is not None and (over is None or over > known):
             if len(self.lists) > CACHE_LISTS:
                 self.lists.clear()
-            got = self.lists[word, n] = self.n_best(word, n)
+            over = over if over is None else (1 << over.bit_length()) - 1  # so that few words are searched again
+            got = self.n_best(word_of(word), n, over)
+            self.lists[word, n] = over, got
         return got
 
     # --- whole texts
 
     def words(self, text: str | None) -> list[str]:
+        """Names of a text's words: a word that has one space in front by what follows it, others by a space and the word."""
         if not text:
             return []
-        marked = SPACE + text.replace(" ", SPACE)
-        words = _WORDS(marked)
-        return words if not _UNBROKEN(marked) else [p for w in words for p in self.parts(w)]
+        if SPACE not in text and "  " not in text and text[0] != " " != text[-1]:
+            names = text.split(" ")
+            if max(map(len, names)) < LONG:
+                return names
+        words = _WORDS(SPACE + text.replace(" ", SPACE))
+        if max(map(len, words)) > LONG:
+            words = [p for w in words for p in self.parts(w)]
+        return [w[1:] if w[0] == SPACE and w[1:2] not in ("", SPACE) else " " + w for w in words]
 
     def search(self, words: list[str], extra: np.ndarray, n: int) -> list[tuple[int, int, dict[int, tuple[int, ...]]]]:
         """The n best of a chain of known words: cost and pieces over the best, and ids (last first) of the words that differ from it."""
@@ -346,16 +416,18 @@ class Lattice:
         kth = min(n - 2, len(words) - 1)
         limit = np.partition(extra, kth)[kth]
         near = np.flatnonzero((extra <= limit) & (extra < NONE))
+        # n - 1 words have a second segmentation that is as near as limit: none of the n best is farther
+        over = int(limit // 4096) + 1 if kth == n - 2 and limit < NONE else None
         if len(near) > n - 1:  # ties: a deviation that is smaller from the end comes first if it is later, else if it is earlier
             under = [i for i in near.tolist() if extra[i] < limit]
             tied = [i for i in near.tolist() if extra[i] == limit]
-            smaller = {i for i in tied if (two := self.word_list(words[i], n))[1][2] < two[0][2]}
+            smaller = {i for i in tied if (two := self.word_list(words[i], n, over))[1][2] < two[0][2]}
             tied = sorted(smaller, reverse=True) + [i for i in tied if i not in smaller]
             near = np.array(sorted(under + tied[: n - 1 - len(under)]))
         # exact merge over the chosen words, from the first to the last
         partial: list[tuple[int, int, tuple]] = [(0, 0, ())]
         for i in near.tolist():
-            options = self.word_list(words[i], n)
+            options = self.word_list(words[i], n, over)
             best = options[0]
             partial = heapq.nsmallest(n, ((a + c - best[0], b + p - best[1], (ids, *chosen)) for a, b, chosen in partial for c, p, ids in options))
         order = near.tolist()[::-1]
@@ -399,9 +471,10 @@ class Lattice:
         """Of each text: pieces and crc32 of the best ids (little-endian unsigned 32-bit), number of segmentations, their scores, pieces and crc32s,
         whether decoding each of them gives the text back."""
         split = [self.words(t) for t in texts]
-        self.learn({w for words in split for w in words})
-        place = np.array([k for words in split for k in map(self.place.__getitem__, words)], np.int64)
+        self.learn(set().union(*split))
         ends = np.cumsum([len(words) for words in split])
+        place = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, ends[-1] if len(ends) else 0)
+        self.seen = np.bincount(place, minlength=len(self.costs)) + np.pad(self.seen, (0, len(self.costs) - len(self.seen)))
         costs, extra, starts, sizes, pool = np.frombuffer(self.costs, np.int64), np.frombuffer(self.extra, np.float64), np.frombuffer(self.starts, np.int64), np.frombuffer(self.sizes, np.int64), np.frombuffer(self.pool, np.int32)
         cost, extra, size = (x[place] if len(place) else np.empty(0, x.dtype) for x in (costs, extra, sizes))
         before = np.concatenate(([0], np.cumsum(size)))

@@ -97,3 +97,31 @@ def test_each_segmentation_is_decoded(monkeypatch):
     assert lattice.batch(["several words here"], 4)[0][-1]
     monkeypatch.setattr(P.Lattice, "search", wrong)
     assert not lattice.batch(["several words here"], 4)[0][-1]
+
+
+def test_frequent_words_are_solved_once(monkeypatch):
+    """When words are forgotten, the frequent ones stay; the results are those of a lattice that forgets nothing."""
+    lattice, whole, rng, solved = P.Lattice(P.model_path(), cache_words=400), P.Lattice(P.model_path()), random.Random(7), []
+    solve = P.Lattice._solve
+    monkeypatch.setattr(P.Lattice, "_solve", lambda self, words: (solved.extend(words * (self is lattice)), solve(self, words))[1])
+    for _ in range(30):
+        texts = ["often  " + " ".join("".join(rng.choice("abcde☃") for _ in range(8)) for _ in range(20)) + " often" for _ in range(9)]
+        assert lattice.batch(texts, 4) == whole.batch(texts, 4)
+        assert len(lattice.place) <= 400 + 200 and len(lattice.place) == len(lattice.costs)
+    assert solved.count("▁often") == 1 and len(solved) > 5000
+
+
+def test_search_ends_at_a_cost():
+    lattice, rng = P.Lattice(P.model_path()), random.Random(8)
+    for _ in range(100):
+        word = "▁" + "".join(rng.choice("abtheinorés☃x") for _ in range(rng.randint(0, 9)))
+        want = every(lattice, word)[:4]
+        for over in (0, 5, 500, 50_000, 1 << 40):
+            assert lattice.n_best(word, 4, over) == [p for p in want if p[0] <= want[0][0] + over]
+
+
+def test_names_of_words():
+    lattice = P.Lattice(P.model_path())
+    for text in ("a b", " a", "a ", "a  b", "▁a", "a▁ b", " ", "   ", "x" * 47, "x" * 48, "a " + "的" * 200 + " b", "a\nb\u00a0c d"):
+        assert "".join(map(P.word_of, lattice.words(text))) == P.SPACE + text.replace(" ", P.SPACE)
+        assert lattice.encode(text)[0][0] == -lattice.forward(P.SPACE + text.replace(" ", P.SPACE))[-1][0]
