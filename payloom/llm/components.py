@@ -22,7 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from payloom.llm.common import discard, stored
+from payloom.llm.common import discard
+from payloom.llm.common import stored_by_workers as stored
 
 #: A key with more than 1 / HOT of all rows, and LEAST_HOT at least, is hot.
 HOT = 512

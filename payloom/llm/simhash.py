@@ -38,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from payloom.llm.common import LOWER_TABLE, Bits, bit_filter, discard, slices, stored, table, utf8
+from payloom.llm.common import LOWER_TABLE, Bits, bit_filter, discard, slices, table, utf8
+from payloom.llm.common import stored_by_workers as stored
 from payloom.llm.components import connected, forest, split_join
 
 SHINGLE_WORDS = 3

@@ -193,3 +193,18 @@ def test_near_dedup_leaves_little_behind(spark, edge_docs):
     assert plan.count("Exchange hashpartitioning") == 2
     ids = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
     assert len(ids) == len(set(ids)) and kept.columns == edge_docs.columns
+
+
+def test_near_dedup_starts_no_processes_for_files(spark, edge_docs, tmp_path):
+    """A child process that a JVM starts shares its memory until it runs, so each counts an executor's memory twice."""
+    jvm = spark._jvm
+    watch = jvm.jdk.jfr.Recording()
+    watch.enable("jdk.ProcessStart")
+    watch.start()
+    assert S.keep_one(edge_docs).count() > 5
+    watch.stop()
+    path = jvm.java.nio.file.Path.of(str(tmp_path / "started.jfr"), spark.sparkContext._gateway.new_array(jvm.String, 0))
+    watch.dump(path)
+    watch.close()
+    started = [e.getString("command") for e in jvm.jdk.jfr.consumer.RecordingFile.readAllEvents(path)]
+    assert not [c for c in started if "chmod" in c]
