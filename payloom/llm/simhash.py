@@ -14,11 +14,14 @@ When one document of each group is to be kept, groups are made by the exact Jacc
 five-word shingles (as 64-bit hashes). Equal sets are reduced to one first. Blocks come from prefix filtering: in an order
 of shingles that all texts share, sets of similarity 0.8 have a shingle in common among the first fifth of each, so texts
 meet in the blocks of those shingles and nowhere else; no pair is lost there. Shingles that very many texts have come last
-in the order, so a common passage makes no large block unless texts consist of it. Within a block 128-bit fingerprints are
+in the order, so a common passage makes no large block unless texts consist of it. Within a block 256-bit fingerprints are
 compared by exclusive-or and bit counts, large blocks in tiles of like size and population count, of which only fitting
 pairs meet, each pair a unit of work. Candidates differ in CANDIDATE bits at most, which loses a pair of similarity 0.8
-with a probability below one in a million. Tiles give spanning forests of candidates; within each component of those all
+with a probability below one in a million, and few others differ in so few: false candidates chain texts into components,
+which would grow with the square of the corpus. Tiles give spanning forests of candidates; within each component of those all
 pairs are verified by their sets, in cells of CELL texts, before anything links, so no row is made for a pair as such.
+Blocks of more than PART_ROWS texts in all, and cells of more than PART_SETS sets, are compared in parts, one after another, so
+that what is shuffled at a time doesn't grow with their number.
 
 Defined results: null and wordless texts have fingerprint zero and link like others; fewer words than a shingle are one
 shingle; component_id is the smallest id reached, ignoring nulls (null if there are only null ids); repeated rows each
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from hashlib import md5
 from itertools import product
 
@@ -193,10 +197,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 SIMILARITY = 0.8
 SIMILAR_WORDS = 5
-#: Differing bits of two 128-bit fingerprints that a candidate may have. At Jaccard 0.8 a bit differs with probability 0.1515;
-#: ties of the majority in short texts make that 0.1875 at worst (4 against 5 shingles), and 0.1612 otherwise. Beyond 48 of 128
-#: bits lie 2e-7 of the pairs at 0.1875, 3e-9 at 0.1612 and 2e-10 of long pairs.
-CANDIDATE = 48
+#: The longs of a 256-bit fingerprint, and the differing bits that a candidate may have. At Jaccard 0.8 a bit differs with probability
+#: 0.1515; ties of the majority in short texts make that 0.1875 at worst (4 against 5 shingles), and 0.1612 otherwise. Beyond 84 of
+#: 256 bits lie 3e-8 of the pairs at 0.1875, 2e-11 at 0.1612 and 6e-13 of long pairs; of unlike texts 2e-8 are within (of 128 bits
+#: within 48, which miss no fewer of the alike, 3e-3).
+PRINT = ("a", "b", "c", "d")
+CANDIDATE = 84
 #: A shingle with more than this share of all shingles, so one of 1 / COMMON at most, comes last in every text's order.
 COMMON = 1e-6
 LEAST_COMMON = 64
@@ -204,6 +210,8 @@ LEAST_COMMON = 64
 TILE = 2048
 #: Shingles of a prefix that make the first blocks.
 FIRST = 4
+#: Texts in blocks, and sets in pairs of cells, that are shuffled at a time: some GB of disk.
+PART_ROWS, PART_SETS = 8_000_000, 500_000
 #: Nodes of a cell in which sets are compared exactly, and shingles of them at once.
 CELL, COLUMNS = 512, 8192
 #: Blocks of so many texts at most are compared many at a time.
@@ -273,9 +281,9 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def set_prints(texts: DataFrame, shingle_words: int) -> DataFrame:
-    """(id, content, body) -> id, content, node (digest of the set), n (its size), a, b (128-bit fingerprint) of each text; and rows
-    with no node that count shingles that a part of a task has often (h, c), and how many it has in all (h null)."""
-    names = ["id", "content", "node", "n", "a", "b", "h", "c"]
+    """(id, content, body) -> id, content, node (digest of the set) of each text; and rows with no node that count shingles
+    that a part of a task has often (h, c), and how many it has in all (h null)."""
+    names = ["id", "content", "node", "h", "c"]
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,25 +294,23 @@ def set_prints(texts: DataFrame, shingle_words: int) -> DataFrame:
             h, c = h[c >= 8], c[c >= 8]
             k = len(h) + 1
             none = lambda t: pa.nulls(k, t)
-            return pa.RecordBatch.from_arrays([none(id_type), none(pa.int64()), none(pa.binary()), none(pa.int64()), none(pa.int64()), none(pa.int64()), pa.array([*h.view(np.int64).tolist(), None], pa.int64()), pa.array([*c.tolist(), size], pa.int64())], names)
+            return pa.RecordBatch.from_arrays([none(id_type), none(pa.int64()), none(pa.binary()), pa.array([*h.view(np.int64).tolist(), None], pa.int64()), pa.array([*c.tolist(), size], pa.int64())], names)
 
         for batch in slices(batches):
             id_type = batch.column(0).type
             sets = [shingle_set(t, words, shingle_words) for t in batch.column(2).to_pylist()]
             nodes = pa.array([md5(s.tobytes(), usedforsecurity=False).digest() for s in sets], pa.binary())
-            a, b = (_signed(np.array([majority(remixed(s, i)) for s in sets], np.uint64)) for i in (1, 2))
-            n = np.array([len(s) for s in sets], np.int64)
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, pa.array(n), a, b, none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, none, none], names)
             held += sets
-            size += int(n.sum())
+            size += sum(map(len, sets))
             if size > FLUSH_HASHES:
                 yield often()
                 held, size = [], 0
         if size:
             yield often()
 
-    return texts.mapInArrow(run, f"id {kind}, content long, node binary, n long, a long, b long, h long, c long")
+    return texts.mapInArrow(run, f"id {kind}, content long, node binary, h long, c long")
 
 
 def common_shingles(prints: DataFrame) -> np.ndarray:
@@ -317,7 +323,7 @@ def common_shingles(prints: DataFrame) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, reps: Bits, common: np.ndarray, similarity: float, shingle_words: int) -> DataFrame:
-    """(content, body) -> node, n, a, b, keys (the prefix) of the texts that reps lets through."""
+    """(content, body) -> node, n, a, b, c, d (256-bit fingerprint), keys (the prefix) of the texts that reps lets through."""
     shared = texts.sparkSession.sparkContext.broadcast((reps, common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,37 +335,37 @@ def prefixes(texts: DataFrame, reps: Bits, common: np.ndarray, similarity: float
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
             flat = np.concatenate([np.empty(0, np.uint64), *keys])
             nodes = pa.array([md5(x.tobytes(), usedforsecurity=False).digest() for x in sets], pa.binary())
-            a, b = (_signed(np.array([majority(remixed(x, i)) for x in sets], np.uint64)) for i in (1, 2))
-            yield pa.RecordBatch.from_arrays([nodes, pa.array([len(x) for x in sets], pa.int64()), a, b, pa.ListArray.from_arrays(offsets, _signed(flat))], ["node", "n", "a", "b", "keys"])
+            bits = [_signed(np.array([majority(remixed(x, i)) for x in sets], np.uint64)) for i in range(1, len(PRINT) + 1)]
+            yield pa.RecordBatch.from_arrays([nodes, pa.array([len(x) for x in sets], pa.int64()), *bits, pa.ListArray.from_arrays(offsets, _signed(flat))], ["node", "n", *PRINT, "keys"])
 
-    return texts.select("content", "body").mapInArrow(run, "node binary, n long, a long, b long, keys array<long>")
+    return texts.select("content", "body").mapInArrow(run, "node binary, n long, a long, b long, c long, d long, keys array<long>")
 
 
 def chosen_keys(rows: DataFrame, keys: Bits) -> DataFrame:
-    """(node, n, a, b, group, keys) -> (key, node, n, a, b, group), a row for each key that the filter lets through."""
+    """(node, n, a, b, c, d, group, keys) -> (key, node, n, a, b, c, d, group), a row for each key that the filter lets through."""
     shared = rows.sparkSession.sparkContext.broadcast(keys)
-    names = ["node", "n", "a", "b", "group"]
+    names = ["node", "n", *PRINT, "group"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
-            column = batch.column(5)
+            column = batch.column(len(names))
             flat = column.flatten().to_numpy()
             owner = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
             let = shared.value.has(flat)
             at = pa.array(owner[let])
-            yield pa.RecordBatch.from_arrays([pa.array(flat[let]), *(batch.column(i).take(at) for i in range(5))], ["key", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[let]), *(batch.column(i).take(at) for i in range(len(names)))], ["key", *names])
 
-    return rows.select(*names, "keys").mapInArrow(run, "key long, node binary, n long, a long, b long, group long")
+    return rows.select(*names, "keys").mapInArrow(run, "key long, node binary, n long, a long, b long, c long, d long, group long")
 
 
 def tiled(rows: DataFrame, similarity: float) -> DataFrame:
-    """(key, n_key, node, n, a, b, maybe group) -> (key, size, band, salt, n_salts, all): the texts of a block in tiles.
+    """(key, n_key, node, n, a, b, c, d, maybe group) -> (key, size, band, salt, n_salts, all): the texts of a block in tiles.
 
     A block of more than TILE texts is parted by size (ranges one similarity wide), population count and a hash.
     """
-    fields = [c for c in ("node", "n", "a", "b", "group") if c in rows.columns]
+    fields = [c for c in ("node", "n", *PRINT, "group") if c in rows.columns]
     hot = lambda c: F.when(F.col("n_salts") > 1, c).otherwise(0).cast("int")
-    pops = F.bit_count("a") + F.bit_count("b")
+    pops = reduce(Column.__add__, map(F.bit_count, PRINT))
     placed = rows.withColumn("n_salts", F.ceil(F.col("n_key") / F.lit(TILE)).cast("int")).select(
         "key", "n_salts", hot(F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / similarity))).alias("size"), hot(F.floor(pops / _BAND)).alias("band"),
         hot(F.pmod(F.xxhash64("node"), F.col("n_salts"))).alias("salt"), F.struct(*fields).alias("one"),
@@ -387,14 +393,14 @@ class _Rows:
 
     def __init__(self, values: pa.StructArray):
         self.node = values.field("node")
-        self.n, self.a, self.b = (values.field(c).to_numpy() for c in ("n", "a", "b"))
-        self.a, self.b = self.a.view(np.uint64), self.b.view(np.uint64)
+        self.n = values.field("n").to_numpy()
+        self.bits = [values.field(c).to_numpy().view(np.uint64) for c in PRINT]
         grouped = any(f.name == "group" for f in values.type)
         self.group = values.field("group").to_numpy() if grouped else None
 
     def near(self, i: np.ndarray, other: _Rows, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
         """Of the pairs (i, j) those that can be similar."""
-        far = np.bitwise_count(self.a[i] ^ other.a[j]) + np.bitwise_count(self.b[i] ^ other.b[j])
+        far = sum(np.bitwise_count(x[i] ^ y[j]).astype(np.int16) for x, y in zip(self.bits, other.bits, strict=True))
         keep = (far <= CANDIDATE) & (np.minimum(self.n[i], other.n[j]) >= similarity * np.maximum(self.n[i], other.n[j]) - 1e-9)
         if self.group is not None:
             keep &= self.group[i] != other.group[j]
@@ -417,7 +423,7 @@ def candidates(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         root = np.arange(len(nodes))
         step = max(1, (1 << 20) // max(1, len(other.n)))
         for at in range(0, len(x.n), step):
-            far = np.bitwise_count(x.a[at : at + step, None] ^ other.a[None, :]) + np.bitwise_count(x.b[at : at + step, None] ^ other.b[None, :])
+            far = sum(np.bitwise_count(p[at : at + step, None] ^ q[None, :]).astype(np.int16) for p, q in zip(x.bits, other.bits, strict=True))
             i, j = np.nonzero(far <= CANDIDATE)
             i, j = x.near(i + at, other, j, similarity)
             moved = np.flatnonzero(root != np.arange(len(nodes)))
@@ -498,10 +504,24 @@ def verified(roots: DataFrame, reps: DataFrame, texts: DataFrame, similarity: fl
         return pa.table([nodes.take(pa.array(moved)), nodes.take(pa.array(root[moved]))], names=["u", "v"])
 
     made = texts.select("content", "body").mapInArrow(sets, "content long, shingles binary").join(asked.hint("merge"), "content").dropDuplicates(["node"])
+    total = sizes.agg(F.sum(F.col("m") * F.ceil(F.col("m") / CELL))).first()[0] or 0
+    parts = math.ceil(total / PART_SETS)
     own = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
     several = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda o: F.struct(F.least(o, F.col("cell")).alias("low"), F.greatest(o, F.col("cell")).alias("high")))
-    visits = made.withColumn("pair", F.explode(F.when(F.col("cells") > 1, several).otherwise(own)))
-    return visits.select("root", "pair", "cell", "node", "shingles").groupBy("root", "pair").applyInArrow(compare, "u binary, v binary")
+
+    def linked(rows: DataFrame, k: int = 0) -> DataFrame:
+        pairs = F.when(F.col("cells") > 1, several).otherwise(own)
+        if parts > 1:
+            pairs = F.filter(pairs, lambda pair: F.pmod(F.xxhash64("root", pair), F.lit(parts)) == k)
+        visits = rows.withColumn("pair", F.explode(pairs))
+        return visits.select("root", "pair", "cell", "node", "shingles").groupBy("root", "pair").applyInArrow(compare, "u binary, v binary")
+
+    if parts <= 1:
+        return linked(made)
+    made = stored(made, "sets")
+    found = [stored(linked(made, k), "links") for k in range(parts)]
+    discard(made)
+    return reduce(DataFrame.union, found)
 
 
 def similar_links(reps: DataFrame, texts: DataFrame, common: np.ndarray, similarity: float = SIMILARITY, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
@@ -513,7 +533,7 @@ def similar_links(reps: DataFrame, texts: DataFrame, common: np.ndarray, similar
     """
     chosen = bit_filter(reps.select(F.col("first.content").alias("content")), "content")
     found = stored(prefixes(texts, chosen, common, similarity, shingle_words), "prefixes")
-    rows = found.select("node", "n", "a", "b", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
+    rows = found.select("node", "n", *PRINT, F.explode(F.slice("keys", 1, FIRST)).alias("key"))
     counts = rows.groupBy("key").agg(F.count("*").alias("n_key")).where("n_key > 1")
     tiles = stored(tiled(rows.join(counts, "key"), similarity), "tiles")
     first = connected(candidates(tile_pairs(tiles), similarity))
@@ -524,11 +544,16 @@ def similar_links(reps: DataFrame, texts: DataFrame, common: np.ndarray, similar
     discard(found)
     blocks = grouped.select(F.explode("keys").alias("key"), "group").groupBy("key").agg(F.count("*").alias("n_key"), F.min("group").alias("low"), F.max("group").alias("high"))
     blocks = stored(blocks.where("low <> high").select("key", "n_key"), "keys")
-    again = stored(tiled(chosen_keys(grouped, bit_filter(blocks, "key")).join(blocks, "key"), similarity), "tiles")
+    parts = max(1, math.ceil((blocks.agg(F.sum("n_key")).first()[0] or 0) / PART_ROWS))
+    links = []
+    for k in range(parts):
+        some = blocks.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k)
+        again = stored(tiled(chosen_keys(grouped, bit_filter(some, "key")).join(some, "key"), similarity), "tiles")
+        links.append(stored(candidates(tile_pairs(again), similarity), "links"))
+        discard(again)
     discard(grouped, blocks)
-    links = candidates(tile_pairs(again), similarity).union(first.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    roots = connected(links)
-    discard(again)
+    roots = connected(reduce(DataFrame.union, links, first.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    discard(*links)
     return verified(roots, reps, texts, similarity, shingle_words)
 
 

@@ -208,3 +208,21 @@ def test_near_dedup_starts_no_processes_for_files(spark, edge_docs, tmp_path):
     watch.close()
     started = [e.getString("command") for e in jvm.jdk.jfr.consumer.RecordingFile.readAllEvents(path)]
     assert not [c for c in started if "chmod" in c]
+
+
+def test_candidates_are_few_and_in_parts(spark, monkeypatch):
+    """Unlike texts of one block chained into components of candidates, all pairs of which were shuffled and verified."""
+    rng = random.Random(6)
+    texts = [" ".join(["one", "passage", "for", "every", "text", *(f"w{rng.randrange(10**6)}" for _ in range(60))]) for _ in range(600)]
+    near = [t.rsplit(" ", 2)[0] + " other end" for t in texts[:20]]
+    rows = S.utf8(F.col("text")).alias("body")
+    docs = make_docs(spark, list(enumerate(texts + near)))
+    found = S.prefixes(docs.select(F.col("doc_id").alias("content"), rows), S.Bits(np.full(C.FILTER_BITS // 8, 255, np.uint8)), np.empty(0, np.uint64), 0.8, 5)
+    blocks = found.drop("keys").select(F.lit(1).alias("key"), F.lit(620).alias("n_key"), "*")
+    assert connected(S.candidates(S.tile_pairs(S.tiled(blocks, 0.8)))).count() == 20
+    want = set(range(600))
+    assert {r["doc_id"] for r in S.keep_one(docs).collect()} == want
+    monkeypatch.setattr(S, "PART_ROWS", 50)
+    monkeypatch.setattr(S, "PART_SETS", 16)
+    monkeypatch.setattr(S, "CELL", 8)
+    assert {r["doc_id"] for r in S.keep_one(docs).collect()} == want
