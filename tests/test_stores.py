@@ -67,6 +67,24 @@ def test_long_grams_by_runs(spark, n, monkeypatch):
     assert {bytes(g): c for g, c in zip(grams, counts.tolist(), strict=True)} == {g: 2 * c for g, c in expected([block.tobytes()], n).items()}
 
 
+def test_long_grams_are_shuffled_compressed(monkeypatch):
+    """Runs filled the disk with 4 bytes a gram; a task's packs have all of them in fewer, and come back by ranges of keys."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeiouthns") for _ in range(rng.randint(1, 8))) for _ in range(3000)]
+    data = [" ".join(rng.choice(words) for _ in range(250)).encode() for _ in range(300)] * 2
+    runs = [G._runs(*block, 40) for block in G._blocks(iter([pa.record_batch([pa.array(data, pa.binary())], ["payload"])]), 0)]
+    monkeypatch.setattr(G, "UNIT", 400_000)
+    packs = list(G._packs(iter(runs + runs[:1])))
+    assert sum(b.nbytes for b in packs) < 2.6 * sum(len(p) - 39 for p in data)
+    rows = sorted((r for b in packs for r in b.to_pylist()), key=lambda r: r["bucket"])
+    monkeypatch.setattr(G, "UNIT", 500)
+    back = pa.Table.from_batches(G._unpacks(iter([pa.RecordBatch.from_pylist(rows, packs[0].schema)])))
+    assert back["key"].to_pylist() == sorted(back["key"].to_pylist())
+    back = G._distinct(back)
+    want = G._distinct(pa.concat_tables(runs + runs[:1])).sort_by([("key", "ascending"), ("body", "ascending")])
+    assert back.sort_by([("key", "ascending"), ("body", "ascending")]).to_pylist() == want.to_pylist()
+
+
 def test_only_the_sizes_asked_are_counted(spark):
     """Counting grams that a filter would drop took longer than the limit at 0.1 GB."""
     data = [bytes(range(k)) for k in (0, 2, 38, 39, 40, 60)]
